@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing
+from quire.llm import mixing, packing, personal, toxicity
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
+    "op3_personal_data": personal.query,
     "op7_packing": packing.query,
+    "op9_toxicity": toxicity.query,
 }
 SQL = {
     "op2_source_mixing": mixing.SQL,

@@ -17,6 +17,10 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Separators under which only ASCII letters, digits and bytes of other scripts make words.
+PLAIN = np.ones(256, bool)
+PLAIN[128:] = False
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -58,13 +62,18 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
-def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first byte, end byte, index of each row's first word and the end)."""
-    solid = ~_SPACE[data]
+def hashed(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, heads: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """(hash of each word, first byte, end byte, index of each row's first word and the end).
+
+    For each length in ``heads`` there follows the hash of each word's first bytes, 0 for a word not longer.
+    """
+    solid = ~separators[data]
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64)
+        return np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64), *[np.zeros(0, U64)] * len(heads)
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edge = offsets[(offsets > 0) & (offsets < n)]
@@ -77,7 +86,12 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = np.zeros(n + 1, U64)
     np.cumsum(_BYTE[data] * power[:n], out=total[1:])
     value = (total[end] - total[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(value), start, end, np.searchsorted(start, offsets)
+    out = [mix(value), start, end, np.searchsorted(start, offsets)]
+    for size in heads:
+        stop = np.minimum(start + size, end)
+        head = mix((total[stop] - total[start]) * inverse[start] + U64(size * 0xA0761D6478BD642F % (1 << 64)))
+        out.append(np.where(end - start > size, head, U64(0)))
+    return tuple(out)
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
