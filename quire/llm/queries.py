@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, personal, toxicity
+from quire.llm import mixing, packing, personal, toxicity, vector_dedup
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
     "op3_personal_data": personal.query,
     "op7_packing": packing.query,
     "op9_toxicity": toxicity.query,
+    "op10_vector_dedup": vector_dedup.query,
 }
 SQL = {
     "op2_source_mixing": mixing.SQL,

@@ -45,8 +45,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets into them) of runs of rows of about CHUNK bytes; null is empty."""
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets into them) of runs of rows of about ``most`` bytes; null is empty."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_binary())
@@ -56,7 +56,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         end = min(end, n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
@@ -112,3 +112,61 @@ def shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, n
             part = np.where(left > j, part, U64(0))
         out = mix(out * U64(0x9FB21C651E98DF25) + part)
     return out, bounds
+
+
+class Index:
+    """Places of sorted 64-bit hashes, by linear probing in a table of at most half load."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = U64(64 - bits)
+        home = (keys >> self.shift).astype(np.int64)
+        at = np.arange(len(keys))
+        slot = at + np.maximum.accumulate(home - at) if len(keys) else at
+        self.table = np.full((1 << bits) + len(keys) + 1, -1, np.int32)
+        self.table[slot] = at
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        out = self.table[slot]
+        if not len(self.keys):
+            return out
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        while len(open_):
+            slot[open_] += 1
+            now = self.table[slot[open_]]
+            out[open_] = now
+            open_ = open_[(now >= 0) & (self.keys[now] != hashes[open_])]
+        return out
+
+
+class Tally:
+    """Counts per 64-bit key, merged whenever many have come together."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.most, self.held, self.parts = most, 0, []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        found, back = np.unique(keys, return_inverse=True) if counts is not None else (None, None)
+        if counts is None:
+            found, total = np.unique(keys, return_counts=True)
+        else:
+            total = np.bincount(back, weights=counts, minlength=len(found)).astype(np.int64)
+        self.parts.append((found, total))
+        self.held += len(found)
+
+    def full(self) -> bool:
+        return self.held > self.most
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All that was added since the last call."""
+        if not self.parts:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        keys, counts = np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts])
+        self.parts, self.held = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
