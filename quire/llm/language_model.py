@@ -36,6 +36,8 @@ SLOTS = 1 << 19
 SEGMENT = 1 << 13
 ORDERS = 3
 CLASSES = 512
+#: Groups of frequent words that come together, in effect languages and registers.
+THEMES = 12
 #: Training texts that the mixing weights are learned on at most; their bits are not in the predictors.
 SAMPLE = 1500
 FOLDS = 10
@@ -94,6 +96,7 @@ class Vocabulary:
     rank: np.ndarray  # class of each symbol: 0 for a rare one; then the escape and the end
     code: np.ndarray  # of each symbol, then the escape and the end
     length: np.ndarray
+    theme: np.ndarray  # of each class
     byte_code: np.ndarray  # of each byte and the end of a word
     byte_length: np.ndarray
     tokens: int
@@ -153,9 +156,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     second = np.where(latest >= 0, latest[latest], -1)
     one = np.where(latest >= first, rank[latest], 0)
     two = np.where(second >= first, rank[second], 0)
-    near = (latest == at - 1) & (one > 0)
-    context1 = (one * 2 + near).astype(U) * U(0xC2B2AE3D27D4EB4F)
-    context2 = (two * 4096 + one * 2 + near).astype(U) * U(0x165667B19E3779F9)
+    near = np.where(latest == at - 1, one, 0)
+    theme = v.theme[one] * (THEMES + 1) + v.theme[two]
+    context1 = (theme + 1).astype(U) * U(0xC2B2AE3D27D4EB4F)
+    context2 = (theme * 4096 + near).astype(U) * U(0x165667B19E3779F9)
     who, node, bit = _bits(v.code[tokens], v.length[tokens])
     slots = [_slot(node, U(0), 0), _slot(node, context1[who], 1), _slot(node, context2[who], 2)]
     bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [row[who]]
@@ -168,9 +172,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         byte = np.where(offset < size[word] - 1, _LOWER[data[np.minimum(start[rare][word] + offset, len(data) - 1)]], 0).astype(np.int64)
         byte[total - 1] = 256
         back = lambda k: np.where(offset >= k, np.concatenate([np.zeros(k, np.int64), byte[:-k]]) + 1, 0)
-        b1, b2, b3 = back(1), back(2), back(3)
-        pair = b1 * 512 + b2
-        c0, c1, c2 = b1.astype(U), pair.astype(U), (pair * 512 + b3).astype(U)
+        c0 = back(1) * 512 + back(2)
+        c1 = c0 * 512 + back(3)
+        c2 = (c1 * 512 + back(4)) * 512 + back(5)
+        c0, c1, c2 = c0.astype(U), c1.astype(U), c2.astype(U)
         who, node, bit = _bits(v.byte_code[byte], v.byte_length[byte])
         node = node + U(1 << 40)
         for k, c in enumerate((c0, c1, c2)):
@@ -183,25 +188,34 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
 
 @dataclass
 class Predictors:
-    stretch: np.ndarray  # [order, slot]
-    known: np.ndarray  # [order, slot], 0 to 3
+    table: np.ndarray  # [order, slot]: stretched probability in steps of 1/512, times 4, and how well it is known, 0 to 3
     weights: np.ndarray  # [gate, order + 1]
     refined: np.ndarray  # [gate, bucket]
 
 
+def entries(pair: np.ndarray) -> np.ndarray:
+    """Table entries of slots with counts [slot, bit]."""
+    stretch = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)).clip(-10, 10)
+    return (np.rint(stretch * 512) * 4 + np.digitize(pair.sum(axis=1), [1, 8, 100])).astype(np.int16)
+
+
 def gate_and_inputs(p: Predictors, c: Coded) -> tuple[np.ndarray, np.ndarray]:
     x = np.empty((ORDERS + 1, len(c.bits)), np.float32)
+    gate = c.spelled * np.int8(4)
     for k in range(ORDERS):
-        x[k] = p.stretch[k][c.slots[k]]
+        entry = p.table[k][c.slots[k]]
+        np.multiply(entry >> 2, np.float32(1 / 512), out=x[k])
+        if k:
+            gate = (gate + (entry & 3).astype(np.int8)) * np.int8(4 if k == 1 else 1)
     x[ORDERS] = 0.3
-    gate = c.spelled * np.int8(16) + p.known[1][c.slots[1]] * np.int8(4) + p.known[2][c.slots[2]]
     return gate, x
 
 
 def mixed(p: Predictors, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = p.weights[:, 0][gate] * x[0]
+    weights = np.ascontiguousarray(p.weights.T)
+    out = weights[0][gate] * x[0]
     for k in range(1, ORDERS + 1):
-        out += p.weights[:, k][gate] * x[k]
+        out += weights[k][gate] * x[k]
     return np.clip(out, -_REACH + 0.05, _REACH - 0.05)
 
 
@@ -226,7 +240,7 @@ def learn_mixing(p: Predictors, v: Vocabulary, texts: pa.Array, rounds: int = 3)
     p.weights[:] = np.array([0.4, 0.3, 0.4, 0.0], np.float32)
     grid = (np.arange(4 * _REACH + 1) - 2 * _REACH) / 2
     p.refined[:] = grid.astype(np.float32)
-    sums = np.full(p.weights.shape, 1e-2)
+    sums = np.full(p.weights.shape, 1e-4)
     ones, all_ = np.zeros(p.refined.shape), np.zeros(p.refined.shape)
     for turn in range(rounds):
         for _, _, data, offsets in words.chunks(texts, CHUNK):
@@ -243,7 +257,7 @@ def learn_mixing(p: Predictors, v: Vocabulary, texts: pa.Array, rounds: int = 3)
                 for k in range(ORDERS + 1):
                     grad = np.bincount(g, weights=error * part[k], minlength=_GATES) / len(g)
                     sums[:, k] += grad * grad
-                    p.weights[:, k] += (0.05 * grad / np.sqrt(sums[:, k])).astype(np.float32)
+                    p.weights[:, k] += (0.2 * grad / np.sqrt(sums[:, k])).astype(np.float32)
     prior = 1 / (1 + np.exp(-grid))
     share = (ones + 30 * prior) / (all_ + 30)
     p.refined[:] = np.clip(np.log(share / (1 - share)), -_REACH, _REACH).astype(np.float32)
@@ -303,7 +317,40 @@ def vocabulary(counts: DataFrame, coded: int, counted: int) -> Vocabulary:
     rank[top] = np.arange(1, len(top) + 1)
     rank[-1] = 0
     byte_code, byte_length = huffman(np.array([few.get(b, 0) + 1 for b in range(257)]))
-    return Vocabulary(keys, n, symbol, rank, code, length, byte_code, byte_length, tokens + ends, distinct + (ends > 0), ends)
+    return Vocabulary(keys, n, symbol, rank, code, length, np.zeros(CLASSES + 1, np.int64), byte_code, byte_length, tokens + ends, distinct + (ends > 0), ends)
+
+
+def themes(v: Vocabulary, texts: pa.Array, rounds: int = 20) -> np.ndarray:
+    """A theme (0: none) of each class of frequent words, by clustering their counts per text."""
+    seen = []
+    for _, _, data, offsets in words.chunks(texts, CHUNK):
+        hashes, _, _, rows = words.hashed(data, offsets)
+        place = v.find(hashes)
+        own = place >= 0
+        symbol = np.where(own, v.symbol[place] if len(v.symbol) else -1, -1)
+        rank = np.where(symbol >= 0, v.rank[symbol], 0)
+        row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+        seen.append(np.bincount(row * (CLASSES + 1) + rank, minlength=(len(rows) - 1) * (CLASSES + 1)).reshape(-1, CLASSES + 1))
+    out = np.zeros(CLASSES + 1, np.int64)
+    if not seen:
+        return out
+    x = np.log1p(np.concatenate(seen)[:, 1:]).T
+    used = np.flatnonzero(x.any(axis=1))
+    if not len(used):
+        return out
+    x = x[used] / np.linalg.norm(x[used], axis=1, keepdims=True)
+    centers = [x[0]]
+    while len(centers) < min(THEMES, len(used)):  # the word least like any center so far
+        centers.append(x[np.argmin(np.max(x @ np.array(centers).T, axis=1))])
+    centers = np.array(centers)
+    for _ in range(rounds):
+        near = np.argmax(x @ centers.T, axis=1)
+        for k in range(len(centers)):
+            if (near == k).any():
+                mean = x[near == k].sum(axis=0)
+                centers[k] = mean / np.linalg.norm(mean)
+    out[used + 1] = near + 1
+    return out
 
 
 def gather(docs: DataFrame, v) -> DataFrame:
@@ -328,13 +375,10 @@ def gather(docs: DataFrame, v) -> DataFrame:
             for one in part.column("counts"):
                 total += np.frombuffer(one.as_buffer(), np.int32)
         pair = total.reshape(-1, 2).astype(float)
-        seen = pair.sum(axis=1)
-        stretch = np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)).clip(-10, 10).astype(np.float32)
-        known = np.digitize(seen, [1, 8, 100]).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([stretch.tobytes()], pa.binary()), pa.array([known.tobytes()], pa.binary())], ["segment", "stretch", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([entries(pair).tobytes()], pa.binary())], ["segment", "entries"])
 
     each = docs.select(F.col("text").cast("string")).mapInArrow(run, "segment int, counts binary")
-    return each.groupBy("segment").applyInArrow(add, "segment int, stretch binary, known binary")
+    return each.groupBy("segment").applyInArrow(add, "segment int, entries binary")
 
 
 def _score(v, p):
@@ -383,16 +427,17 @@ def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED, sample: i
     learned = docs.where(part != 0).select("text").mapInArrow(_count_words, "kind int, key long, n long")
     counts = cut(learned.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"))
     voc = vocabulary(counts, coded, counted)
+    chosen = docs.where(part == MIXER_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    texts = chosen.select("text").toArrow().column("text").combine_chunks()
+    voc.theme = themes(voc, texts)
+    voc.index = None
     sent = spark.sparkContext.broadcast(voc)
     predictors = Predictors(
-        np.zeros((ORDERS, SLOTS), np.float32), np.zeros((ORDERS, SLOTS), np.int8), np.zeros((_GATES, ORDERS + 1), np.float32), np.zeros((_GATES, 4 * _REACH + 1), np.float32)
+        np.zeros((ORDERS, SLOTS), np.int16), np.zeros((_GATES, ORDERS + 1), np.float32), np.zeros((_GATES, 4 * _REACH + 1), np.float32)
     )
     for row in gather(docs.where((part != 0) & (part != MIXER_FOLD)), sent).toLocalIterator():
         at = row["segment"] * SEGMENT
-        predictors.stretch.reshape(-1)[at : at + SEGMENT] = np.frombuffer(row["stretch"], np.float32)
-        predictors.known.reshape(-1)[at : at + SEGMENT] = np.frombuffer(row["known"], np.int8)
-    chosen = docs.where(part == MIXER_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    texts = chosen.select("text").toArrow().column("text").combine_chunks()
+        predictors.table.reshape(-1)[at : at + SEGMENT] = np.frombuffer(row["entries"], np.int16)
     predictors = learn_mixing(predictors, voc, texts)
     model = spark.sparkContext.broadcast(predictors)
     schema = "key long, doc_id long, n_tokens long, known long, total double, score double, bytes long, rest array<struct<h:long,n:long>>"

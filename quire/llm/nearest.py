@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the order of its nearest pivots and posted in the
-inverted files of the first few.  A query reads the files of its own first pivots;
-in a file, its candidates are ranked by the footrule distance between the two
-orders (a pivot beyond the kept prefix counts as the place after it), and the best
-of each file are reranked by the exact measure.  The number of pivots follows the
-square root of the number of vectors; files are split into blocks of bounded size.
-Vectors that are equal are indexed once, with the ids that could be among the nearest.
+Every vector is represented by the order of its nearest pivots.  The vectors are
+dealt to blocks of bounded size, and a block posts each of its vectors, with the
+pivot's place in its order, in the inverted files of its first pivots.  A query
+reads the files of its own first pivots in a block and so adds up the footrule
+distance to every posted vector (a pivot that only one of the two orders has counts
+as lying after the other's kept part); the nearest by footrule are reranked by the
+exact measure and the block's best go on.  Blocks meet blocks of queries, so no task
+holds more than one of each.  Equal vectors are indexed once, with the ids that can
+be among the nearest.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,163 +25,130 @@ from quire.llm.common import cut, table
 from quire.llm.vectors import matrix, usable
 
 K = 20
-#: Pivots kept of a vector's order, files it is posted in, files a query reads.
-PREFIX = 12
-POSTED = 5
-READ = 5
-#: Candidates of a query that one block of a file passes on, by footrule distance.
-PASSED = 160
-BLOCK = 4096
-
-
-def pivot_count(n: int) -> int:
-    return max(8, min(4096, 2 * math.isqrt(max(n, 1))))
+#: Pivots (vectors of smallest hash), and how many of a vector's order are kept.
+PIVOTS = 256
+PREFIX = 64
+#: Of a block's vectors, the share and the least number that are reranked.  The share is above a
+#: third, as a group of near copies may hold a third of all rows and its orders are nearly the same.
+SHARE = 0.4
+LEAST = 400
+BLOCK = 8192
+QUERIES = 1024
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first (by cosine; ties to the smaller number)."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    out = np.empty((len(unit), min(prefix, len(pivots))), np.int32)
+    out = np.empty((len(unit), min(prefix, len(pivots))), np.int16)
     for lo in range(0, len(unit), 2048):
         near = unit[lo : lo + 2048] @ pivots.T
         out[lo : lo + 2048] = np.argsort(-near, axis=1, kind="stable")[:, : out.shape[1]]
     return out
 
 
-def footrule(a: np.ndarray, b: np.ndarray, pivots: int) -> np.ndarray:
-    """Distances [row of a, row of b] of prefixes; a missing pivot is at the place after the prefix."""
-    size = a.shape[1]
-    place = np.full((len(b), pivots), size, np.int16)
-    np.put_along_axis(place, b.astype(np.int64), np.arange(size, dtype=np.int16)[None, :], axis=1)
-    out = np.empty((len(a), len(b)), np.int32)
-    whole = size * (size + 1) // 2
-    for i, order in enumerate(a):
-        own = place[:, order]
-        # Of b's pivots that a lacks: each is as far from the end as its place says.
-        shared = np.where(own < size, size - own, 0).sum(axis=1)
-        out[i] = np.abs(own - np.arange(size)).sum(axis=1) + whole - shared
-    return out
+class Files:
+    """Inverted files of a block: for each pivot the vectors posted there and their places."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        n, self.size = order.shape
+        flat = order.ravel()
+        by = np.argsort(flat, kind="stable")
+        self.bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
+        self.vector, self.place = (by // self.size).astype(np.int32), (by % self.size).astype(np.int32)
+        self.count = n
 
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Distance of a query's order to each vector's.
 
-def index(distinct: DataFrame, pivots: np.ndarray, prefix: int, posted: int) -> DataFrame:
-    """(vid, order) of each distinct vector."""
+        Both orders alone cost ``size * (size + 1)``; a shared pivot takes off what
+        either place lacks to the end and adds the difference of the places.
+        """
+        out = np.full(self.count, self.size * (self.size + 1), np.int32)
+        for place, pivot in enumerate(order.tolist()):
+            lo, hi = self.bounds[pivot], self.bounds[pivot + 1]
+            own = self.place[lo:hi]
+            out[self.vector[lo:hi]] -= 2 * (self.size - np.maximum(own, place))
+        return out
 
+
+def _ordered(pivots: dict[int, np.ndarray], prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = orders(matrix(batch.column(1)), pivots, prefix)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.int32()))], ["vid", "order"])
-
-    return distinct.select("vid", "embedding").mapInArrow(run, "vid long, order array<int>")
+            at = batch.schema.get_field_index("embedding")
+            out: list = []
+            sizes = np.array([len(v) for v in batch.column(at)], np.int64)
+            found: dict[int, np.ndarray] = {}
+            for dims in np.unique(sizes):
+                own = np.flatnonzero(sizes == dims)
+                if dims in pivots:
+                    order = orders(matrix(batch.column(at).take(pa.array(own))), pivots[dims], prefix)
+                    found |= dict(zip(own.tolist(), order, strict=True))
+            out = [found.get(i) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int16()))], [*batch.schema.names, "order"])
+
+    return run
+
+
+def _meet(pivots: dict[int, int], k: int, share: float, least: int):
+    def run(key: tuple, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        ids_, scores, lists = [], [], []
+        for dims in {len(v) for v in asked["embedding"]}:
+            some, mine = asked[asked["embedding"].map(len) == dims], rows[rows["embedding"].map(len) == dims]
+            if not len(mine):
+                continue
+            q, v = np.stack(some["embedding"].to_numpy()), np.stack(mine["embedding"].to_numpy())
+            first = mine["vid"].to_numpy()
+            ids = mine["ids"].to_numpy()
+            take = max(least, int(share * len(v)))
+            files = Files(np.stack(mine["order"].to_numpy()), pivots[dims]) if dims in pivots else None
+            for i, query_id in enumerate(some["query_id"].tolist()):
+                near = np.arange(len(v))
+                if files is not None and take < len(v):
+                    near = np.argpartition(files.footrule(np.asarray(some["order"].iloc[i])), take - 1)[:take]
+                score = np.einsum("ij,j->i", v[near], q[i])
+                best = np.lexsort((first[near], -score))[: k + 1]
+                ids_ += [query_id] * len(best)
+                scores += score[best].tolist()
+                lists += [ids[j] for j in near[best]]
+        return pd.DataFrame({"query_id": pd.Series(ids_, dtype="int64"), "score": pd.Series(scores, dtype="float64"), "ids": lists})
+
+    return run
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = K, prefix: int = PREFIX, posted: int = POSTED, read: int = READ, passed: int = PASSED, block: int = BLOCK
+    vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, block: int = BLOCK
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries`` among ``vectors``.
 
     Both have (vec_id, embedding).  Vectors that are null, zero or hold null or
-    non-finite components take no part; a query's own id is no candidate; ties go to
-    the smaller id.  With fewer than ``k`` found, the query is compared with all
-    vectors instead, in blocks.  Repeated rows count once.
+    non-finite components take no part, nor does a null id; vectors of other lengths
+    are no candidates; a query's own id is no candidate; ties go to the smaller id.
+    Repeated rows count once; a block that is smaller than ``least`` is searched whole,
+    so ``k`` are returned wherever there are as many.
     """
-    spark = vectors.sparkSession
-    good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("query_id").isNotNull())
+    both = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
-    ranked = good.dropDuplicates(["vec_id", "embedding"]).withColumn("vh", F.xxhash64("embedding"))
-    least = ranked.withColumn("n", F.row_number().over(Window.partitionBy("vh", "embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    distinct = cut(least.groupBy("vh", "embedding").agg(F.min("vec_id").alias("vid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    n = distinct.count()
-    m = pivot_count(n)
-    chosen = distinct.orderBy(F.xxhash64("vh", "vid"), "vid").limit(m).select("embedding").toArrow().column(0)  # m vectors at most
-    pivots = matrix(chosen)
-    if not len(pivots):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    order = index(distinct, pivots, prefix, posted)
-    order = cut(order.join(distinct.select("vid", "vh"), "vid"))
-    qorder = index(asked.select(F.col("query_id").alias("vid"), "embedding"), pivots, prefix, read).withColumnRenamed("vid", "query_id").withColumnRenamed("order", "qorder")
-    files = order.select(F.posexplode(F.slice("order", 1, posted)).alias("place", "pivot"), "vid", "order")
-    sizes = files.groupBy("pivot").count()  # one row a pivot
-    blocks = {r["pivot"]: -(-r["count"] // block) for r in sizes.collect()}
-    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, b in blocks.items() if b > 1 for x in (p, b)]), F.col("pivot")), F.lit(1)) if any(b > 1 for b in blocks.values()) else F.lit(1)
-    posts = files.withColumn("block", F.pmod(F.xxhash64("vid"), many.cast("long")))
-    reads = qorder.select("query_id", F.posexplode(F.slice("qorder", 1, read)).alias("place", "pivot"), "qorder")
-    reads = reads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many.cast("long") - 1)))
-
-    def meet(key: tuple, asked_: pd.DataFrame, posted_: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked_) or not len(posted_):
-            return pd.DataFrame({"query_id": [], "vid": [], "distance": []})
-        vid, stored = posted_["vid"].to_numpy(), np.stack(posted_["order"].to_numpy())
-        parts = []
-        for lo in range(0, len(asked_), 256):
-            some = asked_.iloc[lo : lo + 256]
-            distance = footrule(np.stack(some["qorder"].to_numpy()), stored, len(pivots))
-            take = min(passed, len(vid))
-            best = np.argpartition(distance, take - 1, axis=1)[:, :take]
-            parts.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), take), "vid": vid[best].ravel(), "distance": np.take_along_axis(distance, best, axis=1).ravel()}))
-        return pd.concat(parts)
-
-    met = reads.groupBy("pivot", "block").cogroup(posts.groupBy("pivot", "block")).applyInPandas(meet, "query_id long, vid long, distance int")
-    pairs = met.select("query_id", "vid").distinct()
-    scored = rerank(pairs, asked, distinct)
-    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = cut(each.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
-    least_found = min(k, n_rows(good) - 1)
-    short = asked.join(found.groupBy("query_id").count().where(F.col("count") >= least_found), "query_id", "left_anti")
-    rest = exhaustive(cut(short), distinct, k)
-    return found.select("query_id", "rank", "vec_id", "score").unionByName(rest)
-
-
-def n_rows(good: DataFrame) -> int:
-    return good.select("vec_id").distinct().count()
-
-
-def rerank(pairs: DataFrame, asked: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Exact inner products of (query_id, vid) pairs."""
-    joined = pairs.join(distinct.select("vid", "ids", F.col("embedding").alias("v")), "vid").join(asked.select("query_id", F.col("embedding").alias("q")), "query_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q, v = batch.column("q"), batch.column("v")
-            score = np.einsum("ij,ij->i", matrix(q), matrix(v)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("ids"), pa.array(score)], ["query_id", "ids", "score"])
-
-    return joined.where(F.size("q") == F.size("v")).select("query_id", "ids", "q", "v").mapInArrow(run, "query_id long, ids array<long>, score double")
-
-
-def exhaustive(asked: DataFrame, distinct: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """The exact way for queries that found too few: blocks of queries against all vectors."""
-    n = asked.count()
-    blocks = -(-n // block)
-    if not n:
-        return asked.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    left = asked.withColumn("part", at)
-    shards = max(1, distinct.count() // 8192)
-    left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = distinct.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("shard", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int"))
-
-    def meet(key: tuple, some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for dims in {len(x) for x in some["embedding"]}:
-            q, v = some[some["embedding"].map(len) == dims], rows[rows["embedding"].map(len) == dims]
-            if not len(q) or not len(v):
-                continue
-            score = np.stack(q["embedding"].to_numpy()) @ np.stack(v["embedding"].to_numpy()).T
-            for i, query_id in enumerate(q["query_id"]):
-                best = np.argsort(-score[i], kind="stable")[: 2 * k + 2] if len(v) <= 2 * k + 2 else np.flatnonzero(score[i] >= np.partition(score[i], -(k + 1))[-(k + 1)])
-                for j in best:
-                    for vec_id in v["ids"].iloc[j]:
-                        if vec_id != query_id:
-                            parts.append((query_id, vec_id, score[i][j]))
-        return pd.DataFrame(parts, columns=["query_id", "vec_id", "score"])
-
-    met = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    ranked = both(vectors).withColumn("h", F.xxhash64("embedding")).groupBy("vec_id", "h", "embedding").agg(F.lit(1).alias("one"))
+    first = Window.partitionBy("h", "embedding").orderBy("vec_id")
+    few = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+    distinct = cut(few.groupBy("h", "embedding").agg(F.min("vec_id").alias("vid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    asked = cut(both(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding"))
+    sample = distinct.orderBy(F.xxhash64("h", "vid"), "vid").limit(pivots).select("embedding").collect()
+    by: dict[int, list] = {}
+    for row in sample:
+        by.setdefault(len(row[0]), []).append(np.array(row[0]))
+    points = {dims: np.stack(v) for dims, v in by.items()}
+    points = {dims: v / np.linalg.norm(v, axis=1, keepdims=True) for dims, v in points.items()}
+    shards, parts = max(1, -(-distinct.count() // block)), max(1, -(-asked.count() // QUERIES))
+    index = distinct.select("vid", "ids", "embedding").mapInArrow(_ordered(points, prefix), "vid long, ids array<long>, embedding array<double>, order array<short>")
+    posts = index.withColumn("shard", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    reads = asked.mapInArrow(_ordered(points, prefix), "query_id long, embedding array<double>, order array<short>")
+    reads = reads.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    meet = _meet({dims: len(v) for dims, v in points.items()}, k, share, least)
+    met = reads.groupBy("part", "shard").cogroup(posts.groupBy("part", "shard")).applyInPandas(meet, "query_id long, score double, ids array<long>")
+    each = met.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
