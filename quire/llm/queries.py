@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import language_model, mixing, nearest, packing, personal, toxicity, vector_dedup
+from quire.llm import language_model, mixing, nearest, ngram_join, packing, personal, toxicity, vector_dedup
 
 QUERIES = {
     "op2_source_mixing": mixing.query,
     "op3_personal_data": personal.query,
     "op4_nearest": nearest.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_packing": packing.query,
     "op8_language_model": language_model.query,
     "op9_toxicity": toxicity.query,
