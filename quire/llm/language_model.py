@@ -354,26 +354,38 @@ def themes(v: Vocabulary, texts: pa.Array, rounds: int = 20) -> np.ndarray:
 
 
 def gather(docs: DataFrame, v) -> DataFrame:
-    """Bit counts of all ``docs`` per predictor slot: (segment, int32 pairs as bytes), one row a segment."""
+    """Table entries of all ``docs``: (segment, entries), one row a segment; the counts in between are sent compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((ORDERS, 2 * SLOTS), np.int32)
+        held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
+
+        def settle() -> None:
+            for k, some in enumerate(held):
+                if some:
+                    counts[k] += np.bincount(np.concatenate(some), minlength=2 * SLOTS).astype(np.int32)
+                    some.clear()
+
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
                 c = encode(v.value, data, offsets)
                 for k in range(ORDERS):
-                    counts[k] += np.bincount(c.slots[k] * 2 + c.bits, minlength=2 * SLOTS).astype(np.int32)
+                    held[k].append(c.slots[k] * np.int32(2) + c.bits)
+                if sum(len(x) for x in held[0]) > 6 * SLOTS:
+                    settle()
+        settle()
         parts = counts.reshape(-1, 2 * SEGMENT)
         used = np.flatnonzero(parts.any(axis=1))
         for lo in range(0, len(used), 16):
             own = used[lo : lo + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([parts[i].tobytes() for i in own], pa.binary())], ["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([zlib.compress(parts[i].astype(np.int32 if parts[i].max() > 65535 else np.uint16).tobytes(), 1) for i in own], pa.binary())], ["segment", "counts"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SEGMENT, np.int64)
         for part in parts:
             for one in part.column("counts"):
-                total += np.frombuffer(one.as_buffer(), np.int32)
+                raw = zlib.decompress(one.as_py())
+                total += np.frombuffer(raw, np.uint16 if len(raw) == 4 * SEGMENT else np.int32)
         pair = total.reshape(-1, 2).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([entries(pair).tobytes()], pa.binary())], ["segment", "entries"])
 
