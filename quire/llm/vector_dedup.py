@@ -27,7 +27,7 @@ from quire.llm.vectors import matrix, usable
 LEAST = 0.93
 SHARD = 1000
 CENTROIDS = 4096
-BLOCK = 4096
+BLOCK = 2048
 OVERLAP = 4
 DEGREE = 24
 BEAM = 16
@@ -60,40 +60,45 @@ def robust_prune(unit: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, p
     return out
 
 
-def padded(lists: list[np.ndarray], n: int) -> np.ndarray:
-    """Adjacency as rows of equal length, both ways; n stands for none."""
-    rows = np.concatenate([np.full(len(x), i) for i, x in enumerate(lists)]) if lists else np.zeros(0, np.int64)
-    cols = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate([np.stack([rows, cols], 1), np.stack([cols, rows], 1)]).astype(np.int64), axis=0)
-    degree = np.bincount(pairs[:, 0], minlength=n) if len(pairs) else np.zeros(n, np.int64)
-    out = np.full((n, max(1, int(degree.max(initial=0)))), n, np.int64)
-    out[pairs[:, 0], np.arange(len(pairs)) - np.repeat(np.cumsum(degree) - degree, degree)] = pairs[:, 1]
+def padded(lists: list[np.ndarray], n: int, back: int = DEGREE) -> np.ndarray:
+    """Adjacency as rows of equal length, with up to ``back`` edges the other way each; n stands for none."""
+    degree = np.array([len(x) for x in lists], np.int64)
+    rows, cols = np.repeat(np.arange(n), degree), np.concatenate(lists).astype(np.int64)
+    order = np.argsort(cols, kind="stable")
+    into = np.bincount(cols, minlength=n)
+    turn = np.arange(len(cols)) - np.repeat(np.cumsum(into) - into, into)
+    kept = order[turn < back]
+    rows, cols = np.concatenate([rows, cols[kept]]), np.concatenate([cols, rows[kept]])
+    order = np.argsort(rows, kind="stable")
+    rows, cols = rows[order], cols[order]
+    degree = np.bincount(rows, minlength=n)
+    out = np.full((n, max(1, int(degree.max(initial=0)))), n, np.int32)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(degree) - degree, degree)] = cols
     return out
 
 
-def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs in range: a greedy beam from the medoid, then outwards over nodes in range.
+def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
+    """Whether [query, node] was found in range: a greedy beam from the medoid, then outwards over nodes in range.
 
     ``own`` is each query's own node, or -1; its neighbours are seen as well.
     """
-    n, all_q, all_v = len(unit), [], []
+    n = len(unit)
+    found = np.zeros((len(queries), n), bool)
     medoid = int(np.argmax(unit @ unit.mean(axis=0)))
     ext = np.vstack([unit, np.zeros((1, unit.shape[1]))])
-    step = max(1, min(256, (1 << 22) // max(1, n)))
+    step = max(16, (1 << 17) // (n + 1))
     for lo in range(0, len(queries), step):
         q = queries[lo : lo + step]
         count = len(q)
-        rows = np.arange(count)
-        seen = np.zeros((count, n + 1), bool)
-        seen[:, n] = True
         score = np.full((count, n + 1), -3.0)
         score[:, medoid] = q @ unit[medoid]
-        seen[:, medoid] = True
-        pool = np.full((count, beam), n)
-        pool[:, 0] = medoid
+        seen = np.zeros((count, n + 1), bool)
+        seen[:, [n, medoid]] = True
         done = np.zeros((count, n + 1), bool)
         done[:, n] = True
-        active = rows
+        pool = np.full((count, beam), n)
+        pool[:, 0] = medoid
+        active = np.arange(count)
         while len(active):
             todo = np.where(done[active[:, None], pool[active]], -4.0, score[active[:, None], pool[active]])
             best = pool[active, np.argmax(todo, axis=1)]
@@ -115,21 +120,24 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own:
         with_own = np.flatnonzero(mine >= 0)
         seen[with_own, mine[with_own]] = True
         score[with_own, mine[with_own]] = np.einsum("ij,ij->i", q[with_own], unit[mine[with_own]])
-        fr, fv = np.nonzero(score[:, :n] >= least)
+        hits = found[lo : lo + step]
+        hits[:] = score[:, :n] >= least
+        fr, fv = np.nonzero(hits)
         while len(fr):
-            all_q.append(fr + lo)
-            all_v.append(fv)
-            keys = np.unique((fr[:, None] * (n + 1) + graph[fv]).ravel())
-            r, v = keys // (n + 1), keys % (n + 1)
-            fresh = ~seen[r, v]
-            r, v = r[fresh], v[fresh]
-            seen[r, v] = True
-            value = np.einsum("ij,ij->i", q[r], ext[v])
-            hit = value >= least
-            fr, fv = r[hit], v[hit]
-    if not all_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(all_q), np.concatenate(all_v)
+            next_r, next_v = [], []
+            for at in range(0, len(fr), 8192):
+                near = graph[fv[at : at + 8192]]
+                r, v = np.repeat(fr[at : at + 8192], near.shape[1]), near.ravel()
+                fresh = ~seen[r, v]
+                key = np.unique(r[fresh] * (n + 1) + v[fresh])
+                r, v = key // (n + 1), key % (n + 1)
+                seen[r, v] = True
+                hit = np.einsum("ij,ij->i", q[r], ext[v]) >= least
+                hits[r[hit], v[hit]] = True
+                next_r.append(r[hit])
+                next_v.append(v[hit])
+            fr, fv = np.concatenate(next_r), np.concatenate(next_v)
+    return found
 
 
 def _assign(centroids: dict[str, np.ndarray], overlap: int):
@@ -166,6 +174,21 @@ def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": cid, "near": [cid[x].tolist() for x in robust_prune(unit)]})
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The first row of each row's component of a symmetric relation."""
+    root = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if root[i] < 0:
+            reached = np.zeros(len(linked), bool)
+            reached[i] = True
+            front = reached
+            while front.any():
+                front = linked[front].any(axis=0) & ~reached
+                reached |= front
+            root[reached] = i
+    return root
+
+
 def _search(least: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Rows (x, y, n): links of x counted here (y null), a pair across homes or blocks (n null), or an edge of a home's forest (n -1)."""
@@ -189,31 +212,22 @@ def _search(least: float):
         if len(asked):  # homes of other blocks of this cell
             q = np.stack(asked["v"].to_numpy())
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            a, b = range_search(unit, graph, q, np.full(len(q), -1), least)
+            a, b = np.nonzero(range_search(unit, graph, q, np.full(len(q), -1), least))
             parts.append((asked["cid"].to_numpy()[a], cid[b], None))
         else:
             at = np.flatnonzero(home)
-            a, b = range_search(unit, graph, unit[at], at, least)
-            a = at[a]
-            keep = a != b
-            a, b = a[keep], b[keep]
-            inside = home[b]
-            parts.append((cid[a[~inside]], cid[b[~inside]], None))
-            pair = np.unique(np.concatenate([a[inside] * len(cid) + b[inside], b[inside] * len(cid) + a[inside]]))
-            a, b = pair // len(cid), pair % len(cid)
-            links = np.bincount(a, weights=copies[b], minlength=len(cid)).astype(np.int64)
-            linked = np.flatnonzero(links)
-            parts.append((cid[linked], None, links[linked]))
-            root = np.arange(len(cid))
-            while len(a):
-                low = root.copy()
-                np.minimum.at(low, a, root[b])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
-            moved = np.flatnonzero(root != np.arange(len(cid)))
-            parts.append((cid[moved], cid[root[moved]], np.full(len(moved), -1)))
+            hits = range_search(unit, graph, unit[at], at, least)
+            a, b = np.nonzero(hits[:, ~home])
+            parts.append((cid[at[a]], cid[np.flatnonzero(~home)[b]], None))
+            own = hits[:, home]
+            own |= own.T
+            np.fill_diagonal(own, False)
+            links_ = own @ copies[home]
+            linked = np.flatnonzero(links_)
+            parts.append((cid[at[linked]], None, links_[linked]))
+            root = _roots(own)
+            moved = np.flatnonzero(root != np.arange(len(at)))
+            parts.append((cid[at[moved]], cid[at[root[moved]]], np.full(len(moved), -1)))
         out = [pd.DataFrame({"x": x, "y": pd.array([None] * len(x) if y is None else y, "Int64"), "n": pd.array([None] * len(x) if n is None else n, "Int64")}) for x, y, n in parts]
         return pd.concat(out) if out else empty
 
