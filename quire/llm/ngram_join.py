@@ -197,7 +197,8 @@ def _across(percent: int):
             other = np.flatnonzero(label[lo:i] != label[i]) + lo
             if not len(other):
                 continue
-            most = 1 + np.minimum(n[i] - place[i], n[other] - place[other]) - 1
+            # At most all places before are shared as well; a bound that holds at every shared token, as they are counted.
+            most = np.minimum(place[i], place[other]) + np.minimum(n[i] - place[i], n[other] - place[other])
             other = other[most >= least_overlap(int(n[i]), n[other].astype(np.int64), percent)]
             if len(other):
                 yield [np.minimum(cid[other], cid[i]), np.maximum(cid[other], cid[i]), np.where(cid[other] < cid[i], n[other], n[i]), np.where(cid[other] < cid[i], n[i], n[other])]
