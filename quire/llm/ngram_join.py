@@ -190,7 +190,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(percent: int):
     """Pairs of classes of different components that share a token, by size and place; input sorted by token and size."""
 
-    def pairs(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def pairs(run: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         cid, n, place, label = run
         for i in range(1, len(cid)):
             lo = int(np.searchsorted(n, -(-(percent * int(n[i])) // 100)))
@@ -206,14 +206,18 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         out: list[list[np.ndarray]] = []
+        waiting = 0
         token_held = None
 
-        def close() -> None:
+        def close() -> int:
+            new = []
             if held:
-                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0]
                 if len(cols[0]) > 1 and (cols[3] != cols[3][0]).any():
-                    out.extend(pairs(cols))
+                    new = list(pairs(cols))
+                    out.extend(new)
                 held.clear()
+            return sum(len(x[0]) for x in new)
 
         def flush() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -228,10 +232,11 @@ def _across(percent: int):
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if token_held is None or token[lo] != token_held:
-                    close()
+                    waiting += close()
                     token_held = token[lo]
                 held.append([c[lo:hi] for c in cols[1:]])
-                if sum(len(x[0]) for x in out) > 100_000:
+                if waiting > 100_000:
+                    waiting = 0
                     yield flush()
         close()
         if out:
