@@ -43,23 +43,29 @@ U = np.uint64
 _MASK = U((1 << HASH) - 1)
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, k: int, top: tuple | None) -> Iterator[np.ndarray]:
-    """The distinct tokens of each row, from rare to frequent."""
+def _sets(data: np.ndarray, offsets: np.ndarray, k: int, top: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of all rows, each row's from rare to frequent, and the rows' bounds."""
     hashes, _, _, rows = words.hashed(data, offsets)
     tokens, bounds = words.shingles(hashes, rows, k)
+    if not len(tokens):
+        return tokens, bounds
     tokens &= _MASK
-    if top is not None and len(tokens):
+    if top is not None:
         index, classes = top
         place = index.find(tokens)
         tokens |= np.where(place >= 0, classes[place], U(0))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield np.unique(tokens[lo:hi]) if hi - lo > 1 else tokens[lo:hi]
+        tokens[lo:hi].sort()
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    new[bounds[:-1][bounds[:-1] < len(tokens)]] = True
+    return tokens[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set, whatever the classes of its tokens."""
-    total = words.mix((tokens & _MASK) + U(0x632BE59BD9B4E019)).sum(dtype=U)
-    return int(words.mix(np.array([total ^ U(len(tokens) * 0x9E3779B97F4A7C15 % (1 << 64))], U)).view(np.int64)[0])
+def classes_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set, whatever the classes of its tokens."""
+    total = np.concatenate([np.zeros(1, U), np.cumsum(words.mix((tokens & _MASK) + U(0x632BE59BD9B4E019)), dtype=U)])
+    return words.mix((total[bounds[1:]] - total[bounds[:-1]]) ^ (np.diff(bounds).astype(U) * U(0x9E3779B97F4A7C15))).view(np.int64)
 
 
 def least_overlap(a, b, percent: int):
@@ -67,7 +73,7 @@ def least_overlap(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n, percent: int):
     return n - -(-(percent * n) // 100) + 1
 
 
@@ -85,17 +91,14 @@ def _sign(k: int):
             return pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(n[own]), pa.array(token[own].view(np.int64))], names)
 
         for batch in batches:
-            size, cid = [], []
-            for _, _, data, offsets in words.chunks(batch.column(1)):
-                parts = []
-                for tokens in _sets(data, offsets, k, None):
-                    size.append(len(tokens))
-                    cid.append(class_of(tokens) if len(tokens) else None)
-                    parts.append(tokens)
-                tally.add(np.concatenate(parts))
+            for first, end, data, offsets in words.chunks(batch.column(1)):
+                tokens, bounds = _sets(data, offsets, k, None)
+                n = np.diff(bounds)
+                cid = pa.array(classes_of(tokens, bounds), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(end - first, np.int32)), batch.column(0).slice(first, end - first), pa.array(n), cid], names)
+                tally.add(tokens)
                 if tally.full():
                     yield shared()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), np.int32)), batch.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64())], names)
         yield shared()
 
     return run
@@ -136,20 +139,18 @@ def _post(k: int, percent: int, sent):
         top = _top(sent)
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0)):
-                parts, cids, sizes = [], [], []
-                for tokens in _sets(data, offsets, k, top):
-                    if len(tokens):
-                        parts.append(tokens[: prefix_length(len(tokens), percent)])
-                        cids.append(class_of(tokens))
-                        sizes.append(len(tokens))
-                if not parts:
+                tokens, bounds = _sets(data, offsets, k, top)
+                size = np.diff(bounds)
+                count = np.where(size > 0, prefix_length(size, percent), 0)
+                n = np.repeat(size, count)
+                if not len(n):
                     continue
-                count = np.array([len(p) for p in parts])
-                n = np.repeat(np.array(sizes), count)
                 place = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count)
+                prefix = tokens[np.repeat(bounds[:-1], count) + place]
+                cid = np.repeat(classes_of(tokens, bounds), count)
                 bucket = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(bucket), pa.array(np.repeat(np.array(cids, np.int64), count)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))],
+                    [pa.array(prefix.view(np.int64)), pa.array(bucket), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))],
                     ["token", "bucket", "cid", "n", "place"],
                 )
 
@@ -311,16 +312,13 @@ def _kept_sets(k: int, sent, bitmap):
         top, wanted, given = _top(sent), np.unpackbits(np.frombuffer(bitmap.value, np.uint8)), set()
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0)):
-                cids, tokens_ = [], []
-                for tokens in _sets(data, offsets, k, top):
-                    if len(tokens):
-                        cid = class_of(tokens)
-                        if wanted[cid % BITMAP] and cid not in given:
-                            if len(given) < 1_000_000:
-                                given.add(cid)
-                            cids.append(cid)
-                            tokens_.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(tokens_, pa.binary())], ["cid", "tokens"])
+                tokens, bounds = _sets(data, offsets, k, top)
+                found, first = np.unique(classes_of(tokens, bounds), return_index=True)
+                own = [(cid, i) for cid, i in zip(found[wanted[found & (BITMAP - 1)] == 1].tolist(), first[wanted[found & (BITMAP - 1)] == 1].tolist(), strict=True) if cid not in given]
+                if len(given) < 1_000_000:
+                    given.update(cid for cid, _ in own)
+                sets = [tokens[bounds[i] : bounds[i + 1]].tobytes() for _, i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([cid for cid, _ in own], pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
 
     return run
 
@@ -356,18 +354,22 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     live = cut(sorted_.mapInArrow(_shared, "token long, bucket int, cid long, n int, place int, lead long"))
     release(spark)
 
-    # The sets of the classes that share a token with another.
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[live.select(F.pmod(F.col("cid"), F.lit(BITMAP)).alias("bit")).distinct().toArrow().column(0).to_numpy()] = 1  # BITMAP rows at most
-    bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-    wanted = live.select("cid").distinct()
-    kept = text.mapInArrow(_kept_sets(k, sent, bitmap), "cid long, tokens binary")
-    sets = cut(kept.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")))
-    release(spark)
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes in ``pairs``, read off the texts again; a bitmap of fixed size keeps most others out."""
+        one = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.pmod(F.col("cid"), F.lit(BITMAP)).alias("bit"))
+        bits = np.zeros(BITMAP, np.uint8)
+        bits[one.distinct().toArrow().column(0).to_numpy()] = 1  # BITMAP rows at most
+        bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
+        kept = text.mapInArrow(_kept_sets(k, sent, bitmap), "cid long, tokens binary")
+        sets = cut(kept.groupBy("cid").agg(F.first("tokens").alias("tokens")))
+        release(spark)
+        return sets
 
+    wanted = live.select("cid").distinct()
     led = live.where("lead <> cid").groupBy("cid", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     led = led.where("shared >= 1 + n * 0.02").groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
-    near = cut(verify(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")), sets, percent))
+    led = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")))
+    near = cut(verify(led, sets_of(led), percent))
     nodes = cut(wanted.select(F.col("cid").alias("id")))
     first = cut(components(nodes, near))
 
@@ -380,7 +382,8 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     beyond = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     wide = shared.where(F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= need)
-    more = cut(verify(wide.select("a", "b"), sets, percent))
+    wide = cut(wide.select("a", "b"))
+    more = cut(verify(wide, sets_of(wide), percent))
 
     final = components(first.select(F.col("component_id").alias("id")).distinct(), _between(more, first))
     of = first.join(final.select(F.col("id").alias("component_id"), F.col("component_id").alias("root")), "component_id")
