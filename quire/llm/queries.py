@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import language_model, mixing, nearest, ngram_join, packing, personal, toxicity, vector_dedup
+from quire.llm import language_model, line_dedup, mixing, nearest, ngram_join, packing, personal, toxicity, vector_dedup
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_source_mixing": mixing.query,
     "op3_personal_data": personal.query,
     "op4_nearest": nearest.query,
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_vector_dedup": vector_dedup.query,
 }
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op2_source_mixing": mixing.SQL,
 }
