@@ -5,14 +5,16 @@ one, in the order of (doc_id, line number), is similar enough (a Jaccard similar
 of 0.8 or more by default, so an equal line as well); lines without a token stay.
 
 Tokens are ordered by rarity: a sketch of fixed size counts all tokens of the corpus,
-and a token's key leads with the class of its count.  Prefix filter: let a line of n
-tokens begin with a common mark.  If two lines are similar enough, fewer marks and
-tokens differ than gaps lie between their first shared tokens, so that two tokens
-that follow each other in the one order do so in the other, within the first
+and a token's key leads with the class of its count.  Prefix filter: if two lines are
+similar enough, fewer tokens differ than gaps lie between their first shared tokens,
+so that two shared tokens follow each other in both orders, within the first
 2a + b + 2 places, where a and b tokens are in one of the lines only; that is at most
-0.4 n + 2 places for 0.8.  Posting neighbours instead of single tokens keeps the
-lists short.  Lists that one line has alone are dropped in one sorted pass; what is
-left passes the length and positional filters and is verified on whole token sets.
+0.4 n + 2 places of n for 0.8.  (Lines of fewer than ``SHORT`` tokens also have their
+first token follow a common mark, as they may share too few.)  Posting neighbours
+instead of single tokens keeps the lists short.  Lists that one line has alone are
+dropped in one sorted pass; what is left passes the length and positional filters and
+is verified on whole token sets, which are read off the texts again for the lines of
+candidate pairs only.
 
 Groups of near copies do not become all their pairs: a line is first compared with
 the earliest line of its size in its lists, and only a line that this does not
@@ -33,6 +35,8 @@ PERCENT = 80
 #: Cells of the frequency sketch and of the filter of wanted lines.
 SKETCH = 1 << 19
 FILTER = 1 << 20
+#: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
+SHORT = 8
 _NONE = (1 << 63) - 1
 
 
@@ -83,15 +87,25 @@ def postings(docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
     each = lines(docs).where("trim(line) <> ''").select(F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
     each = each.withColumn("n", F.size("t")).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
     pair = F.transform("p", lambda x, i: F.xxhash64(x, F.when(i > 0, F.element_at(F.col("p"), i)).otherwise(F.lit(0).cast("long"))))
-    return each.select("lh", "n", F.posexplode(pair).alias("place", "key"))
+    return each.select("lh", "n", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of (x, y) pairs that are similar enough."""
+def _similar(pairs: DataFrame, docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
+    """The ``x`` of (x, y) pairs that are similar enough, on the whole sets of the lines concerned."""
+    pairs = cut(pairs)
+    release(docs.sparkSession)
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("lh")).distinct()
+    cells = _cell(wanted.select(F.pmod("lh", F.lit(FILTER)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy(), FILTER)
+    maybe = lines(docs).select("line", F.xxhash64("line").alias("lh")).where(_read(cells, F.pmod("lh", F.lit(FILTER))) == 1)
+    kept = maybe.join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
+    sets = cut(kept.select("lh", tokens(F.col("line"), classes).alias("t")))
+    release(docs.sparkSession)
     a = sets.select(F.col("lh").alias("x"), F.col("t").alias("tx"))
     b = sets.select(F.col("lh").alias("y"), F.col("t").alias("ty"))
     shared = F.size(F.array_intersect("tx", "ty"))
-    return pairs.join(a, "x").join(b, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared)).select("x").distinct()
+    out = cut(pairs.join(a, "x").join(b, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared)).select("x").distinct())
+    free(sets)
+    return out
 
 
 def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
@@ -101,16 +115,10 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     list_ = Window.partitionBy("key")
     posted = postings(docs, classes, percent)
     shared = posted.withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_)).where("lo <> hi")
-    shared = cut(shared.select("key", "lh", "n", "place"))
+    shared = cut(shared.select("key", "lh", "n", "place").distinct())  # equal lines post alike
     release(spark)
-    live = cut(shared.dropDuplicates(["key", "lh"]).join(first, "lh"))
+    live = cut(shared.join(first, "lh"))
     free(shared)
-
-    wanted = live.select("lh").distinct()
-    cells = _cell(wanted.select(F.pmod("lh", F.lit(FILTER)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy(), FILTER)
-    maybe = lines(docs).select("line", F.xxhash64("line").alias("lh")).where(_read(cells, F.pmod("lh", F.lit(FILTER))) == 1)
-    kept = maybe.join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
-    sets = cut(kept.select("lh", tokens(F.col("line"), classes).alias("t")))
     release(spark)
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
@@ -118,7 +126,7 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     lead = sized.groupBy("key", "bucket").agg(F.min(F.struct("at", "lh")).alias("lead")).select("key", "bucket", F.col("lead.lh").alias("y"))
     led = sized.join(lead, ["key", "bucket"]).where("lh <> y").groupBy(F.col("lh").alias("x"), "y").agg(F.count("*").alias("n"))
     best = led.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
-    settled = cut(_similar(best, sets, percent))
+    settled = _similar(best, docs, classes, percent)
 
     rest = live.join(settled.withColumnRenamed("x", "lh"), "lh", "left_anti")
     x = rest.select("key", F.col("lh").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("at").alias("ax"))
@@ -126,7 +134,7 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("nx") * 100 >= F.col("ny") * percent)
     most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     pairs = x.join(y, "key").where(F.col("ay") < F.col("ax")).where(fits & (most >= need(F.col("nx"), F.col("ny"), percent))).select("x", "y").distinct()
-    return settled.unionByName(cut(_similar(pairs, sets, percent))).select(F.col("x").alias("lh"))
+    return settled.unionByName(_similar(pairs, docs, classes, percent)).select(F.col("x").alias("lh"))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
