@@ -94,11 +94,12 @@ def token_count(text_norm: Column) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """The n-grams in order, with repeats; none for a shorter text."""
-    chars = F.split(text, "(?!^)(?!$)")  # one by one, so that a place in the text costs no scan
     size = F.length(text)
-    rest = F.slice(chars, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
-    whole = lambda x, i: F.concat(x, *[F.element_at(chars, i + 1 + k) for k in range(1, n)])
-    return F.when(size >= n, F.transform(rest, whole)).otherwise(F.array().cast("array<string>"))
+    chars = F.split(text, "(?!^)(?!$)")
+    out = chars
+    for k in range(1, n):  # shifted lists side by side: linear, where cutting out each gram would scan the text again
+        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(size, F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.when(size >= n, F.slice(out, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
 
 def grams_of(text: str, n: int) -> list[str]:
