@@ -10,17 +10,18 @@ size), so that sorted tokens go from rare to frequent.  Equal sets are one class
 * First every class is compared with the first class of its size in the lists
   they share.  That settles groups of near copies in linear work.
 * Then all pairs in a list whose classes are not yet connected are candidates, by
-  size, by place and by the number of prefix tokens shared.  A pair inside a
-  component could not change it, so no link between components is lost.
-* Candidates are verified block by block: the ordered sets form a trie (sorted
-  sequences, a node for each shared beginning); one traversal carries the overlap
-  with the probe down the shared paths and leaves a subtree when the elements left
-  cannot reach the bound.
+  size, by place and by the number of prefix tokens shared, sent on as a class and a
+  cluster it meets.  A pair inside a component could not change it, so no link
+  between components is lost.
+* Candidates are verified block by block: the ordered sets of a block form a trie
+  (sorted sequences, a node for each shared beginning); one traversal carries the
+  overlap with the probe down the shared paths and leaves a subtree when the elements
+  left cannot reach the bound.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,16 @@ from quire.llm.common import components, cut, release, table
 WORDS = 4
 PERCENT = 85
 #: N-grams whose frequency is known to all tasks, at most.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
+#: A task reports n-grams that at least so many of its texts have.
+SEEN = 2
+#: Lists of at least so many classes of one size have several leaders.
+LONG, LEADERS = 8, 8
 #: Bits of a token's hash; the rest is its frequency class.
 HASH = 57
 BITMAP = 1 << 21
 MEMBERS = 256
+PROBES = 512
 U = np.uint64
 _MASK = U((1 << HASH) - 1)
 
@@ -86,7 +92,7 @@ def _sign(k: int):
 
         def shared() -> pa.RecordBatch:
             token, n = tally.take()
-            own = n >= 4
+            own = n >= SEEN
             size = int(own.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(n[own]), pa.array(token[own].view(np.int64))], names)
 
@@ -189,20 +195,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(percent: int):
-    """Pairs of classes of different components that share a token, by size and place; input sorted by token and size."""
+    """(x, cluster, spare) for each list in which x meets a class of another component in that cluster.
 
-    def pairs(run: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-        cid, n, place, label = run
-        for i in range(1, len(cid)):
-            lo = int(np.searchsorted(n, -(-(percent * int(n[i])) // 100)))
-            other = np.flatnonzero(label[lo:i] != label[i]) + lo
+    A pair is emitted from the side of the smaller cluster.  ``spare`` is the least
+    number of shared prefix tokens that one of the classes met would need.  Input is
+    sorted by token and size.
+    """
+
+    def relations(run: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        cid, n, place, label, cluster = run
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        suffix = -(-(percent * n) // 100) - 1
+        for i in range(len(cid)):
+            lo, hi = np.searchsorted(n, [-(-(percent * n[i]) // 100), 100 * n[i] // percent + 1])
+            other = np.flatnonzero((label[lo:hi] != label[i]) & (cluster[lo:hi] >= cluster[i])) + lo
             if not len(other):
                 continue
+            need = least_overlap(n[i], n[other], percent)
             # At most all places before are shared as well; a bound that holds at every shared token, as they are counted.
-            most = np.minimum(place[i], place[other]) + np.minimum(n[i] - place[i], n[other] - place[other])
-            other = other[most >= least_overlap(int(n[i]), n[other].astype(np.int64), percent)]
+            fits = np.minimum(place[i], place[other]) + np.minimum(n[i] - place[i], n[other] - place[other]) >= need
+            other, need = other[fits], need[fits]
             if len(other):
-                yield [np.minimum(cid[other], cid[i]), np.maximum(cid[other], cid[i]), np.where(cid[other] < cid[i], n[other], n[i]), np.where(cid[other] < cid[i], n[i], n[other])]
+                spare = need - np.maximum(suffix[i], suffix[other])
+                order = np.argsort(cluster[other], kind="stable")
+                name = cluster[other][order]
+                first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+                yield [np.full(len(first), cid[i]), name[first], np.minimum.reduceat(spare[order], first)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -215,7 +233,7 @@ def _across(percent: int):
             if held:
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)] if len(held) > 1 else held[0]
                 if len(cols[0]) > 1 and (cols[3] != cols[3][0]).any():
-                    new = list(pairs(cols))
+                    new = list(relations(cols))
                     out.extend(new)
                 held.clear()
             return sum(len(x[0]) for x in new)
@@ -223,7 +241,7 @@ def _across(percent: int):
         def flush() -> pa.RecordBatch:
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["a", "b", "na", "nb"])
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["x", "cluster", "spare"])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -246,18 +264,24 @@ def _across(percent: int):
     return run
 
 
-def traverse(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
+def walk_order(members: list[np.ndarray]) -> list[int]:
+    """The members in the order in which a walk over their trie comes to them."""
+    return sorted(range(len(members)), key=lambda i: members[i][::-1].tobytes())
+
+
+def traverse(probe: np.ndarray, members: list[np.ndarray], percent: int, order: list[int] | None = None, wanted: Callable[[int], bool] | None = None) -> Iterator[int]:
     """The members similar enough to the probe, by one walk over the trie of the members' ordered sets.
 
     Sets are walked from frequent to rare tokens, which near copies share longest.
     Neighbours in sorted order share the trie's path of their common beginning, and
     with it the overlap counted there; a subtree is left at the first token after
-    which the tokens to come cannot make up what is missing.
+    which the tokens to come cannot make up what is missing.  A member that is not
+    ``wanted`` when the walk comes to it is passed over.
     """
-    order = sorted(range(len(members)), key=lambda i: members[i][::-1].tobytes())
-    found = []
     path, carried, dead = np.zeros(0, U), np.zeros(1, np.int64), None
-    for i in order:
+    for i in walk_order(members) if order is None else order:
+        if wanted is not None and not wanted(i):
+            continue
         member = members[i][::-1]
         size = min(len(path), len(member))
         apart = np.flatnonzero(path[:size] != member[:size])
@@ -275,8 +299,7 @@ def traverse(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list
             dead = (int(lost[0]), need - len(member))
         else:
             dead = None
-            found.append(i)
-    return found
+            yield i
 
 
 def _verify(percent: int):
@@ -284,7 +307,7 @@ def _verify(percent: int):
         if not len(members) or not len(probes):
             return pd.DataFrame({"a": [], "b": []})
         probe = np.frombuffer(probes["set"].iloc[0], U)
-        found = traverse(probe, [np.frombuffer(x, U) for x in members["tokens"]], percent)
+        found = list(traverse(probe, [np.frombuffer(x, U) for x in members["tokens"]], percent))
         return pd.DataFrame({"a": np.full(len(found), key[0], np.int64), "b": members["b"].to_numpy()[found]})
 
     return run
@@ -299,6 +322,49 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("a", "block").cogroup(probes.groupBy("probe", "part")).applyInPandas(_verify(percent), "a long, b long")
 
 
+def _connect(percent: int):
+    def run(key: tuple, members: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        """Links between components, as few as connect what is similar enough here."""
+        out: list[tuple[int, int]] = []
+        if len(members) and len(probes):
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = x = root.get(up, up)
+                return x
+
+            sets = [np.frombuffer(x, U) for x in members["tokens"]]
+            labels, ids = members["label"].tolist(), members["cid"].tolist()
+            order = walk_order(sets)
+            for x, label, tokens in zip(probes["x"].tolist(), probes["own"].tolist(), probes["set"], strict=True):
+                for i in traverse(np.frombuffer(tokens, U), sets, percent, order, lambda i: find(labels[i]) != find(label)):  # noqa: B023
+                    a, b = find(labels[i]), find(label)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((x, ids[i]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def connect(met: DataFrame, marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found between the classes x of ``met`` (x, cluster) and the members of those clusters.
+
+    A cluster's members come in blocks, each a trie, and so do the classes that walk
+    it; what is connected already is not compared again.  ``marked``: cid, label, cluster.
+    """
+    size = marked.join(met.select("cluster").distinct(), "cluster").groupBy("cluster").agg(F.ceil(F.count("*") / MEMBERS).cast("long").alias("blocks"))
+    walkers = met.groupBy("cluster").agg(F.ceil(F.count("*") / PROBES).cast("long").alias("parts"))
+    shape = size.join(walkers, "cluster")
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    members = marked.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).join(sets, "cid").withColumn("part", each("parts"))
+    probes = met.join(shape, "cluster").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
+    probes = probes.join(marked.select(F.col("cid").alias("x"), F.col("label").alias("own")), "x").join(sets.select(F.col("cid").alias("x"), F.col("tokens").alias("set")), "x")
+    probes = probes.withColumn("block", each("blocks")).select(F.col("cluster").alias("c"), F.col("block").alias("k"), F.col("part").alias("p"), "x", "own", "set")
+    return members.groupBy("cluster", "block", "part").cogroup(probes.groupBy("c", "k", "p")).applyInPandas(_connect(percent), "a long, b long")
+
+
 def _by(name: str):
     from pyspark.sql import Window
 
@@ -356,9 +422,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets of the classes in ``pairs``, read off the texts again; a bitmap of fixed size keeps most others out."""
-        one = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.pmod(F.col("cid"), F.lit(BITMAP)).alias("bit"))
+        one = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+        one = one.select(F.pmod(F.col("cid"), F.lit(BITMAP)).alias("bit")).distinct()
         bits = np.zeros(BITMAP, np.uint8)
-        bits[one.distinct().toArrow().column(0).to_numpy()] = 1  # BITMAP rows at most
+        bits[one.toArrow().column(0).to_numpy()] = 1  # BITMAP rows at most
         bitmap = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
         kept = text.mapInArrow(_kept_sets(k, sent, bitmap), "cid long, tokens binary")
         sets = cut(kept.groupBy("cid").agg(F.first("tokens").alias("tokens")))
@@ -366,24 +433,35 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         return sets
 
     wanted = live.select("cid").distinct()
-    led = live.where("lead <> cid").groupBy("cid", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    led = led.where("shared >= 1 + n * 0.02").groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
-    led = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b")))
-    near = cut(verify(led, sets_of(led), percent))
+    # The first class leads a list, and of a long one also the first by several hashes.
+    hashed = [F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
+    long_ = live.groupBy("token", "bucket").agg(F.count("*").alias("size"), *hashed).where(F.col("size") >= LONG)
+    long_ = long_.select("token", "bucket", F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("leads"))
+    led = live.join(long_, ["token", "bucket"], "left").select("cid", "n", F.explode(F.coalesce("leads", F.array("lead"))).alias("lead"))
+    led = led.where("lead <> cid").groupBy("cid", "lead").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    rank = F.row_number().over(_by("cid").orderBy(F.desc("shared"), "lead"))
+    led = led.where("shared >= 1 + n * 0.02").withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+    length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    led = cut(led.select(F.col("lead").alias("a"), F.col("cid").alias("b"), "rank", "shared", length.alias("length")))
+    near = cut(verify(led.select("a", "b"), sets_of(led), percent))
     nodes = cut(wanted.select(F.col("cid").alias("id")))
     first = cut(components(nodes, near))
 
-    marked = live.join(first.select(F.col("id").alias("cid"), F.col("component_id").alias("label")), "cid")
-    several = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    marked = marked.join(several, "token").select("token", "cid", "n", "place", "label")
-    marked = marked.repartition("token").sortWithinPartitions("token", "n", "cid")
-    across = marked.mapInArrow(_across(percent), "a long, b long, na int, nb int")
-    shared = across.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").cast("long").alias("na"), F.first("nb").cast("long").alias("nb"))
-    beyond = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    wide = shared.where(F.col("shared") + F.greatest(beyond("na"), beyond("nb")) >= need)
-    wide = cut(wide.select("a", "b"))
-    more = cut(verify(wide, sets_of(wide), percent))
+    # Classes with a common leader that many of their tokens share are one cluster of candidates.
+    close = led.where("rank = 1 and shared >= 0.3 * length").select(F.col("b").alias("cid"), F.col("a").alias("cluster"))
+    marked = first.select(F.col("id").alias("cid"), F.col("component_id").alias("label")).join(close, "cid", "left")
+    marked = cut(marked.withColumn("cluster", F.coalesce("cluster", "cid")))
+    listed = live.join(marked, "cid")
+    several = listed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    listed = listed.join(several, "token").select("token", "cid", "n", "place", "label", "cluster")
+    listed = listed.repartition("token").sortWithinPartitions("token", "n", "cid")
+    across = listed.mapInArrow(_across(percent), "x long, cluster long, spare long")
+    met = across.groupBy("x", "cluster").agg(F.count("*").alias("shared"), F.min("spare").alias("spare"))
+    met = cut(met.where("shared >= spare").select("x", "cluster"))
+    release(spark)
+    meeting = marked.join(met.select("cluster").distinct(), "cluster").select(F.col("cid").alias("a")).unionByName(met.select(F.col("x").alias("a")))
+    more = cut(connect(met, marked, sets_of(meeting.withColumn("b", F.col("a"))), percent))
+    release(spark)
 
     final = components(first.select(F.col("component_id").alias("id")).distinct(), _between(more, first))
     of = first.join(final.select(F.col("id").alias("component_id"), F.col("component_id").alias("root")), "component_id")
