@@ -77,15 +77,29 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def depths(parents: DataFrame) -> DataFrame:
-    """(conv_id, pos, parent) with ``depth``, the number of replies up to the first message."""
-    state = cut(parents.select("conv_id", "pos", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
+    """(conv_id, pos, parent) with ``depth``, the number of replies up to the first message.
+
+    A run of messages that each reply to the one before is one step; pointers are
+    doubled between the starts of runs only, and only for those not at the top yet.
+    """
+    starts = F.col("parent").isNull() | (F.col("parent") != F.col("pos") - 1)
+    running = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut(parents.withColumn("start", F.max(F.when(starts, F.col("pos"))).over(running)))
+    above = placed.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("start").alias("up"))
+    heads = placed.where("pos = start").select("conv_id", "pos", "parent")
+    joined = heads.join(above, heads["conv_id"].eqNullSafe(above["c"]) & (heads["parent"] == above["p"]), "left")
+    state = cut(joined.select("conv_id", "pos", "up", F.when(F.col("up").isNull(), 0).otherwise(F.col("parent") - F.col("up") + 1).alias("depth")))
     while state.where("up is not null").limit(1).count():
-        above = state.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = state.join(above, state["conv_id"].eqNullSafe(above["c"]) & (state["up"] == above["p"]), "left")
-        after = cut(joined.select("conv_id", "pos", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        on = state.where("up is not null")
+        next_ = state.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        joined = on.join(next_, on["conv_id"].eqNullSafe(next_["c"]) & (on["up"] == next_["p"]))
+        moved = joined.select("conv_id", "pos", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        after = cut(state.where("up is null").unionByName(moved))
         free(state)
         state = after
-    return state.select("conv_id", "pos", "depth")
+    tops = state.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), "depth")
+    out = placed.join(tops, placed["conv_id"].eqNullSafe(tops["c"]) & (placed["start"] == tops["p"]))
+    return out.select("conv_id", "pos", (F.col("depth") + F.col("pos") - F.col("start")).alias("depth"))
 
 
 def link(messages: DataFrame) -> DataFrame:
