@@ -33,8 +33,8 @@ from quire.llm.common import cut, free, release, table
 
 PERCENT = 80
 #: Cells of the frequency sketch and of the filter of wanted lines.
-SKETCH = 1 << 19
-FILTER = 1 << 20
+SKETCH = 1 << 16
+FILTER = 1 << 19
 #: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
 SHORT = 8
 _NONE = (1 << 63) - 1
@@ -46,23 +46,33 @@ def lines(docs: DataFrame) -> DataFrame:
     return named.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _cell(values: np.ndarray, size: int, what: np.ndarray | int = 1) -> bytes:
-    out = np.zeros(size, np.uint8)
-    out[values] = what
-    return out.tobytes()
-
-
 def _read(cells: bytes, at: Column) -> Column:
     """The byte (below 128) of a constant array at a place."""
     return F.ascii(F.substring(F.lit(bytearray(cells)), (at + 1).cast("int"), 1).cast("string"))
 
 
+def _members(values: DataFrame) -> bytes:
+    """A filter of the one column of ``values``: four cells a byte, FILTER of them whatever the input."""
+    cell = values.toDF("v").select(F.pmod("v", F.lit(FILTER)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(FILTER, np.uint8)
+    bits[cell] = 1
+    return (bits.reshape(-1, 4) << np.arange(4, dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
+
+
+def _maybe(cells: bytes, value: Column) -> Column:
+    at = F.pmod(value, F.lit(FILTER)).cast("int")
+    bit = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), at.bitwiseAND(F.lit(3)) + 1)
+    return _read(cells, F.shiftright(at, 2)).bitwiseAND(bit) != 0
+
+
 def sketch(docs: DataFrame) -> bytes:
     """The frequency class of each cell of the sketch, from the tokens of all lines."""
     token = lines(docs).select(F.explode(F.split("line", " ")).alias("token"))
     counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
     n = counted.column("n").to_numpy()
-    return _cell(counted.column("cell").to_numpy(), SKETCH, np.clip(np.log2(np.maximum(n, 1)) * 3, 1, 126).astype(np.uint8))
+    out = np.zeros(SKETCH, np.uint8)
+    out[counted.column("cell").to_numpy()] = np.clip(np.log2(np.maximum(n, 1)) * 3, 1, 126).astype(np.uint8)
+    return out.tobytes()
 
 
 def tokens(line: Column, classes: bytes) -> Column:
@@ -83,58 +93,65 @@ def need(nx: Column, ny: Column, percent: int) -> Column:
 
 
 def postings(docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
-    """(key, lh, n, place) of the neighbours in each line's prefix."""
-    each = lines(docs).where("trim(line) <> ''").select(F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
+    """(key, lh, d, sized) of the neighbours in each line's prefix; sized is n * 2^32 + place."""
+    each = lines(docs).where("trim(line) <> ''").select("d", F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
     each = each.withColumn("n", F.size("t")).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
     pair = F.transform("p", lambda x, i: F.xxhash64(x, F.when(i > 0, F.element_at(F.col("p"), i)).otherwise(F.lit(0).cast("long"))))
-    return each.select("lh", "n", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
+    listed = each.select("lh", "d", "n", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
+    return listed.select("key", "lh", "d", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("sized"))
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
-    """The ``x`` of (x, y) pairs that are similar enough, on the whole sets of the lines concerned."""
+    """The (x, y) pairs that are similar enough, on the whole sets of the lines concerned."""
     pairs = cut(pairs)
     release(docs.sparkSession)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("lh")).distinct()
-    cells = _cell(wanted.select(F.pmod("lh", F.lit(FILTER)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy(), FILTER)
-    maybe = lines(docs).select("line", F.xxhash64("line").alias("lh")).where(_read(cells, F.pmod("lh", F.lit(FILTER))) == 1)
+    cells = _members(wanted)
+    maybe = lines(docs).select("line", F.xxhash64("line").alias("lh")).where(_maybe(cells, F.col("lh")))
     kept = maybe.join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
     sets = cut(kept.select("lh", tokens(F.col("line"), classes).alias("t")))
     release(docs.sparkSession)
     a = sets.select(F.col("lh").alias("x"), F.col("t").alias("tx"))
     b = sets.select(F.col("lh").alias("y"), F.col("t").alias("ty"))
     shared = F.size(F.array_intersect("tx", "ty"))
-    out = cut(pairs.join(a, "x").join(b, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared)).select("x").distinct())
+    out = cut(pairs.join(a, "x").join(b, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared)).select("x", "y"))
     free(sets)
     return out
 
 
+def later(similar: DataFrame, first: DataFrame) -> DataFrame:
+    """(lh): of each pair the line that comes later."""
+    x, y = (first.select(F.col("lh").alias(c), F.col("at").alias(f"a{c}")) for c in "xy")
+    return similar.join(x, "x").join(y, "y").select(F.when(F.col("ax") > F.col("ay"), F.col("x")).otherwise(F.col("y")).alias("lh")).distinct()
+
+
 def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """(lh): lines whose first occurrence (``first``: lh, at) comes after a similar line."""
     spark = docs.sparkSession
     classes = sketch(docs)
+    # One exchange and one sort by list: equal lines post alike and stay once, then lists of one line go.
+    once = F.row_number().over(Window.partitionBy("key", "lh").orderBy("d"))
     list_ = Window.partitionBy("key")
-    posted = postings(docs, classes, percent)
-    shared = posted.withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_)).where("lo <> hi")
-    shared = cut(shared.select("key", "lh", "n", "place").distinct())  # equal lines post alike
-    release(spark)
-    live = cut(shared.join(first, "lh"))
-    free(shared)
+    posted = postings(docs, classes, percent).repartition("key").withColumn("again", once).where("again = 1").drop("again")
+    told = posted.withColumn("lead", F.min(F.struct("d", "lh")).over(list_)).withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_))
+    n, place = F.shiftright("sized", 32).cast("int"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    live = cut(told.where("lo <> hi").select("key", "lh", "d", n.alias("n"), place.alias("place"), F.col("lead.lh").alias("lead")))
+    del posted, told
     release(spark)
 
-    bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
-    sized = live.withColumn("bucket", bucket)
-    lead = sized.groupBy("key", "bucket").agg(F.min(F.struct("at", "lh")).alias("lead")).select("key", "bucket", F.col("lead.lh").alias("y"))
-    led = sized.join(lead, ["key", "bucket"]).where("lh <> y").groupBy(F.col("lh").alias("x"), "y").agg(F.count("*").alias("n"))
+    led = live.where("lh <> lead").groupBy(F.col("lh").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("n"))
     best = led.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
-    settled = _similar(best, docs, classes, percent)
+    settled = cut(later(_similar(best, docs, classes, percent), first))
+    release(spark)
 
-    rest = live.join(settled.withColumnRenamed("x", "lh"), "lh", "left_anti")
-    x = rest.select("key", F.col("lh").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("at").alias("ax"))
-    y = live.select("key", F.col("lh").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("at").alias("ay"))
+    rest = live.join(settled, "lh", "left_anti")
+    x = rest.select("key", F.col("lh").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("d").alias("dx"))
+    y = live.select("key", F.col("lh").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("d").alias("dy"))
     fits = (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("nx") * 100 >= F.col("ny") * percent)
     most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    pairs = x.join(y, "key").where(F.col("ay") < F.col("ax")).where(fits & (most >= need(F.col("nx"), F.col("ny"), percent))).select("x", "y").distinct()
-    return settled.unionByName(_similar(pairs, docs, classes, percent)).select(F.col("x").alias("lh"))
+    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & fits & (most >= need(F.col("nx"), F.col("ny"), percent)))
+    found = later(_similar(both.select("x", "y").distinct(), docs, classes, percent), first)
+    return settled.unionByName(found)
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
