@@ -340,7 +340,7 @@ def tei_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = testbed.lines(spark, sf_dir)
     escaped = F.replace(F.replace(F.replace(F.col("text_raw"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("]]>"), F.lit("]]&gt;"))
     lb = F.substring_index("line_id", "_p", -1)
-    one = F.concat(F.lit('<juan n="'), F.col("juan"), F.lit('"/><lb n="'), lb, F.lit('"/>'), escaped)
+    one = F.concat(F.lit('<lb n="'), lb, F.lit('"/><juan n="'), F.col("juan"), F.lit('"/>'), escaped)
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", one.alias("x")))), lambda s: s["x"]), "\n")
     text = F.concat(F.lit('<TEI xml:id="'), F.regexp_replace("path", r"\.xml$", ""), F.lit('"><teiHeader><lb n="x"/></teiHeader><text><body>'), F.col("body"), F.lit("</body></text></TEI>"))
     files = lines.groupBy("path").agg(body.alias("body")).select("path", F.encode(text, "UTF-8").alias("content"))

@@ -117,6 +117,5 @@ def read_lines(files: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, root: str, glob: str = "*.xml") -> DataFrame:
     """(path below ``root``, content, xml_sha256) of all documents of a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
-    below = F.substring_index(F.col("path"), base, -1)
+    below = F.substring_index(F.col("path"), root.rstrip("/").removeprefix("file://") + "/", -1)
     return found.select(below.alias("path"), "content", F.sha2("content", 256).alias("xml_sha256"))
