@@ -80,6 +80,13 @@ def resolve(tag: str, pinned: dict) -> str:
     return found
 
 
+def check_pins(fetched: dict[str, str], pinned: dict[str, str]) -> None:
+    """What was fetched must be what the release pins."""
+    wrong = sorted(k for k, sha in pinned.items() if fetched.get(k) != sha)
+    if wrong:
+        raise CorpusError(f"fetched commits differ from the pinned ones: {', '.join(wrong)}")
+
+
 def utc_now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
@@ -113,10 +120,12 @@ class Store:
             os.rename(aside, target)
             return target
 
-    def use(self, tag: str, build=None) -> str:
+    def use(self, tag: str, build=None, pinned: dict[str, str] | None = None) -> str:
         """Make a complete corpus current, building it first where a builder is given; a failed build changes nothing."""
         if not self.complete(tag):
             raise CorpusError(f"{tag} is not complete; fetch it first")
+        if pinned:
+            check_pins(json.loads((self.root / tag / "FETCHED.json").read_text()).get("pins", {}), pinned)
         if build is not None:
             build(self.root / tag)
         _replace(self.root / "CURRENT", tag + "\n")

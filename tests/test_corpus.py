@@ -252,6 +252,8 @@ def test_store(tmp_path):
         store.use("2026R2", failing)
     with pytest.raises(corpus.CorpusError):
         store.use("2024R1")
+    with pytest.raises(corpus.CorpusError):
+        store.use("2026R2", pinned={"xml": "abc"})
     assert store.current() == "2025R1" and store.prune(dry=True) == ["2026R2"] and store.tags() == ["2025R1", "2026R2"]
     with pytest.raises(corpus.CorpusError):
         store.prune(["2025R1"])
