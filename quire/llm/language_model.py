@@ -30,7 +30,7 @@ from quire.llm import words
 from quire.llm.common import cut, table
 
 #: Bounds of what is sent to every task: coded words, words with counts, slots per predictor.
-CODED = 1 << 17
+CODED = 1 << 18
 COUNTED = 1 << 20
 SLOTS = 1 << 19
 SEGMENT = 1 << 13
@@ -112,13 +112,12 @@ class Vocabulary:
         return self.index.find(hashes)
 
 
-def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, node, bit) of each bit of a run of codes; a node is the bits before, led by a 1."""
-    owner = np.repeat(np.arange(len(code)), length)
-    left = np.cumsum(length)[owner] - np.arange(len(owner))  # bits to come, this one included
-    code = code[owner] | (U(1) << length.astype(U))[owner]
-    left = left.astype(U)
-    return owner, code >> left, (code >> (left - U(1)) & U(1)).astype(np.int8)
+def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, bit) of each bit of a run of codes; a node is the bits before, led by a 1."""
+    total = int(length.sum())
+    left = (np.repeat(np.cumsum(length), length) - np.arange(total)).astype(U)  # bits to come, this one included
+    code = np.repeat(code | (U(1) << length.astype(U)), length)
+    return code >> left, (code >> (left - U(1)) & U(1)).astype(np.int8)
 
 
 def _slot(node: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
@@ -160,9 +159,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     theme = v.theme[one] * (THEMES + 1) + v.theme[two]
     context1 = (theme + 1).astype(U) * U(0xC2B2AE3D27D4EB4F)
     context2 = (theme * 4096 + near).astype(U) * U(0x165667B19E3779F9)
-    who, node, bit = _bits(v.code[tokens], v.length[tokens])
-    slots = [_slot(node, U(0), 0), _slot(node, context1[who], 1), _slot(node, context2[who], 2)]
-    bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [row[who]]
+    length = v.length[tokens]
+    node, bit = _bits(v.code[tokens], length)
+    slots = [_slot(node, U(0), 0), _slot(node, np.repeat(context1, length), 1), _slot(node, np.repeat(context2, length), 2)]
+    bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [np.repeat(row, length)]
     rare = np.flatnonzero(symbol < 0)
     if len(rare):
         size = end[rare] - start[rare] + 1
@@ -176,13 +176,14 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         c1 = c0 * 512 + back(3)
         c2 = (c1 * 512 + back(4)) * 512 + back(5)
         c0, c1, c2 = c0.astype(U), c1.astype(U), c2.astype(U)
-        who, node, bit = _bits(v.byte_code[byte], v.byte_length[byte])
+        length = v.byte_length[byte]
+        node, bit = _bits(v.byte_code[byte], length)
         node = node + U(1 << 40)
         for k, c in enumerate((c0, c1, c2)):
-            slots[k] = np.concatenate([slots[k], _slot(node, (c * U(0x9FB21C651E98DF25))[who], k)])
+            slots[k] = np.concatenate([slots[k], _slot(node, np.repeat(c * U(0x9FB21C651E98DF25), length), k)])
         bits.append(bit)
         spelled.append(np.ones(len(bit), np.int8))
-        of.append(owner[rare][word][who])
+        of.append(np.repeat(owner[rare][word], length))
     return Coded(slots, np.concatenate(bits), np.concatenate(spelled), np.concatenate(of), place, hashes, rows)
 
 
@@ -203,7 +204,7 @@ def gate_and_inputs(p: Predictors, c: Coded) -> tuple[np.ndarray, np.ndarray]:
     x = np.empty((ORDERS + 1, len(c.bits)), np.float32)
     gate = c.spelled * np.int8(4)
     for k in range(ORDERS):
-        entry = p.table[k][c.slots[k]]
+        entry = np.take(p.table[k], c.slots[k], mode="clip")
         np.multiply(entry >> 2, np.float32(1 / 512), out=x[k])
         if k:
             gate = (gate + (entry & 3).astype(np.int8)) * np.int8(4 if k == 1 else 1)
@@ -212,11 +213,13 @@ def gate_and_inputs(p: Predictors, c: Coded) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mixed(p: Predictors, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-    weights = np.ascontiguousarray(p.weights.T)
-    out = weights[0][gate] * x[0]
+    weights, place = np.ascontiguousarray(p.weights.T), gate.astype(np.intp)
+    out = np.take(weights[0], place, mode="clip") * x[0]
     for k in range(1, ORDERS + 1):
-        out += weights[k][gate] * x[k]
-    return np.clip(out, -_REACH + 0.05, _REACH - 0.05)
+        part = np.take(weights[k], place, mode="clip")
+        part *= x[k]
+        out += part
+    return np.clip(out, -_REACH + 0.05, _REACH - 0.05, out=out)
 
 
 def bucket(z: np.ndarray) -> np.ndarray:
@@ -230,9 +233,11 @@ def costs(p: Predictors, c: Coded) -> np.ndarray:
     """-log10 of the probability of each bit."""
     gate, x = gate_and_inputs(p, c)
     z = mixed(p, gate, x)
-    z = (z + p.refined.ravel()[gate.astype(np.int32) * (4 * _REACH + 1) + bucket(z)]) * np.float32(_STEP / 2)
-    at = np.rint(np.clip(z, -_REACH * _STEP, _REACH * _STEP)).astype(np.int32)
-    return _COST[np.where(c.bits == 1, at, -at) + _REACH * _STEP]
+    cell = gate.astype(np.intp) * (4 * _REACH + 1) + bucket(z)
+    z += np.take(p.refined.ravel(), cell, mode="clip")
+    z *= np.float32(_STEP / 2)
+    z *= (c.bits * np.int8(2) - np.int8(1)).astype(np.float32)
+    return np.take(_COST, np.rint(z).astype(np.intp) + _REACH * _STEP, mode="clip")
 
 
 def learn_mixing(p: Predictors, v: Vocabulary, texts: pa.Array, rounds: int = 3) -> Predictors:
