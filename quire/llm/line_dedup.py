@@ -23,9 +23,6 @@ remove is compared with every earlier line it shares a list with.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +34,7 @@ SKETCH = 1 << 16
 FILTER = 1 << 19
 #: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
 SHORT = 8
+_BITS = (1, 2, 4, 8)
 _NONE = (1 << 63) - 1
 
 
@@ -46,36 +44,40 @@ def lines(docs: DataFrame) -> DataFrame:
     return named.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _read(cells: bytes, at: Column) -> Column:
-    """The byte (below 128) of a constant array at a place."""
-    return F.ascii(F.substring(F.lit(bytearray(cells)), (at + 1).cast("int"), 1).cast("string"))
+def _cells(codes: DataFrame, size: int) -> Column:
+    """A constant of ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or 1."""
+    whole = codes.sparkSession.range(size).select(F.col("id").cast("int").alias("cell")).join(codes, "cell", "left")
+    each = F.struct("cell", F.char(F.coalesce("code", F.lit(1)).cast("long")).alias("c"))
+    text = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["c"]), "").alias("text")).first()["text"]
+    return F.lit(text).cast("binary")
+
+
+def _read(cells: Column, at: Column) -> Column:
+    """The byte at a place of such a constant."""
+    return F.ascii(F.substring(cells, (at + 1).cast("int"), 1).cast("string"))
 
 
-def _members(values: DataFrame) -> bytes:
-    """A filter of the one column of ``values``: four cells a byte, FILTER of them whatever the input."""
-    cell = values.toDF("v").select(F.pmod("v", F.lit(FILTER)).cast("int").alias("c")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(FILTER, np.uint8)
-    bits[cell] = 1
-    return (bits.reshape(-1, 4) << np.arange(4, dtype=np.uint8)).sum(axis=1).astype(np.uint8).tobytes()
+def _members(values: DataFrame) -> Column:
+    """A filter of the one column of ``values``: FILTER cells, four a byte, whatever the input."""
+    cell = values.toDF("v").select(F.pmod("v", F.lit(FILTER)).cast("int").alias("c")).distinct()
+    bit = F.element_at(F.array(*map(F.lit, _BITS)), F.col("c").bitwiseAND(F.lit(3)) + 1)
+    return _cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4)
 
 
-def _maybe(cells: bytes, value: Column) -> Column:
+def _maybe(cells: Column, value: Column) -> Column:
     at = F.pmod(value, F.lit(FILTER)).cast("int")
-    bit = F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), at.bitwiseAND(F.lit(3)) + 1)
+    bit = F.element_at(F.array(*map(F.lit, _BITS)), at.bitwiseAND(F.lit(3)) + 1)
     return _read(cells, F.shiftright(at, 2)).bitwiseAND(bit) != 0
 
 
-def sketch(docs: DataFrame) -> bytes:
+def sketch(docs: DataFrame) -> Column:
     """The frequency class of each cell of the sketch, from the tokens of all lines."""
     token = lines(docs).select(F.explode(F.split("line", " ")).alias("token"))
-    counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
-    n = counted.column("n").to_numpy()
-    out = np.zeros(SKETCH, np.uint8)
-    out[counted.column("cell").to_numpy()] = np.clip(np.log2(np.maximum(n, 1)) * 3, 1, 126).astype(np.uint8)
-    return out.tobytes()
+    counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    return _cells(counted.select("cell", F.greatest(F.lit(1), F.least(F.lit(126), F.floor(F.log2("n") * 3))).cast("int").alias("code")), SKETCH)
 
 
-def tokens(line: Column, classes: bytes) -> Column:
+def tokens(line: Column, classes: Column) -> Column:
     """The distinct token keys of a line from rare to frequent."""
     empty = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda x: F.xxhash64(x))), F.xxhash64(F.lit("")))
     key = lambda x: F.shiftleft(_read(classes, F.pmod(x, F.lit(SKETCH))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
@@ -92,7 +94,7 @@ def need(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - 1e-9)
 
 
-def postings(docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
+def postings(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
     """(key, lh, d, sized) of the neighbours in each line's prefix; sized is n * 2^32 + place."""
     each = lines(docs).where("trim(line) <> ''").select("d", F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
     each = each.withColumn("n", F.size("t")).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
@@ -101,7 +103,7 @@ def postings(docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
     return listed.select("key", "lh", "d", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("sized"))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, classes: bytes, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
     """The (x, y) pairs that are similar enough, on the whole sets of the lines concerned."""
     pairs = cut(pairs)
     release(docs.sparkSession)
