@@ -94,6 +94,19 @@ def need(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - 1e-9)
 
 
+def least_shared(nx: Column, ny: Column, percent: int) -> Column:
+    """Neighbours that two similar lines of these sizes share in their prefixes, at least.
+
+    With a and b tokens of one line only, ``min(px - a, py - b)`` shared tokens are in
+    both prefixes of px and py places, and at most a + b of the gaps between them are
+    broken.
+    """
+    shared = need(nx, ny, percent)
+    a, b = nx - shared, ny - shared
+    inside = F.least(prefix_places(nx, percent) - a, prefix_places(ny, percent) - b)
+    return F.greatest(F.lit(1), inside - 1 - a - b)
+
+
 def postings(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
     """(key, lh, d, sized) of the neighbours in each line's prefix; sized is n * 2^32 + place."""
     each = lines(docs).where("trim(line) <> ''").select("d", F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
@@ -141,8 +154,9 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     del posted, told
     release(spark)
 
-    led = live.where("lh <> lead").groupBy(F.col("lh").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("n"))
-    best = led.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+    led = live.where("lh <> lead").groupBy(F.col("lh").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    same = least_shared(F.col("n"), F.col("n"), percent)
+    best = led.where(F.col("shared") >= same).groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
     settled = cut(later(_similar(best, docs, classes, percent), first))
     release(spark)
 
@@ -150,9 +164,14 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     x = rest.select("key", F.col("lh").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("d").alias("dx"))
     y = live.select("key", F.col("lh").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("d").alias("dy"))
     fits = (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("nx") * 100 >= F.col("ny") * percent)
+    a = need(F.col("nx"), F.col("ny"), percent)
     most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & fits & (most >= need(F.col("nx"), F.col("ny"), percent)))
-    found = later(_similar(both.select("x", "y").distinct(), docs, classes, percent), first)
+    # Places of a shared token differ by tokens of one line only.
+    near = (F.col("px") - F.col("py") <= F.col("nx") - a) & (F.col("py") - F.col("px") <= F.col("ny") - a)
+    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & fits & (most >= a) & near)
+    pairs = both.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    pairs = pairs.where(F.col("shared") >= least_shared(F.col("nx"), F.col("ny"), percent)).select("x", "y")
+    found = later(_similar(pairs, docs, classes, percent), first)
     return settled.unionByName(found)
 
 
