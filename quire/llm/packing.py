@@ -36,20 +36,27 @@ def tokenizer(name: str):
     """
     if name not in _loaded:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(public_tokenizers.path(name))
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as file:
+        path = public_tokenizers.path(name)
+        with open(path) as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
+        with open(path.replace(".json", ".tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        del ranks
+        whole: list = []  # loaded when a text needs it
 
         def ids(text: str) -> list[int]:
             if any(s in text for s in special):
-                return whole.encode(text, add_special_tokens=False).ids
+                if not whole:
+                    from tokenizers import Tokenizer
+
+                    whole.append(Tokenizer.from_file(path))
+                return whole[0].encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _loaded[name] = ids

@@ -25,7 +25,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes hashed together; a longer text is a piece of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
