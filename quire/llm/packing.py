@@ -24,6 +24,8 @@ from quire.llm.common import cut, table
 LENGTH = 2048
 GROUP = 8192
 END = 1
+#: Texts that are Python strings at once.
+SLICE = 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 _loaded: dict[str, tuple] = {}
 
@@ -69,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = tokenizer(vocabulary)
         salt = 0
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.array([*ids(text or ""), END], "<u4")
