@@ -35,6 +35,8 @@ FILTER = 1 << 19
 #: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
 SHORT = 8
 _BITS = (1, 2, 4, 8)
+#: Cells of a line's odd sketch, which with size and place fill one number.
+PARITIES = 39
 _NONE = (1 << 63) - 1
 
 
@@ -107,13 +109,45 @@ def least_shared(nx: Column, ny: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), inside - 1 - a - b)
 
 
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, by.cast("int"))
+
+
+def odd_sketch(t: Column) -> Column:
+    """Of each of PARITIES cells whether an odd number of a line's tokens hash to it: two lines' sketches
+    differ in at most as many cells as there are tokens in one of them only."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_shift(one, F.pmod(x, F.lit(PARITIES)))))
+
+
+def packed(n: Column, place: Column, odd: Column) -> Column:
+    """A size, a place and an odd sketch in one number; of lines of 2^12 tokens and more, negative, without the sketch."""
+    small = F.shiftleft(odd, 24).bitwiseOR(F.shiftleft(n.cast("long"), 12)).bitwiseOR(place.cast("long"))
+    return F.when(n < 4096, small).otherwise(-(F.shiftleft(n.cast("long"), 31) + place))
+
+
+def unpacked(sized: Column) -> tuple[Column, Column, Column]:
+    """(n, place, odd sketch or null)."""
+    small, mask = sized >= 0, F.lit(4095)
+    n = F.when(small, F.shiftright(sized, 12).bitwiseAND(mask)).otherwise(F.shiftright(-sized, 31))
+    place = F.when(small, sized.bitwiseAND(mask)).otherwise((-sized).bitwiseAND(F.lit((1 << 31) - 1)))
+    return n.cast("int"), place.cast("int"), F.when(small, F.shiftright(sized, 24))
+
+
+def may_be(nx: Column, ny: Column, sx: Column, sy: Column, percent: int) -> Column:
+    """Sizes are near enough, and the odd sketches differ in no more bits than tokens may differ."""
+    sizes = (ny * 100 >= nx * percent) & (nx * 100 >= ny * percent)
+    differ = F.coalesce(F.bit_count(sx.bitwiseXOR(sy)), F.lit(0))
+    return sizes & (differ <= nx + ny - 2 * need(nx, ny, percent))
+
+
 def postings(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """(key, lh, d, sized) of the neighbours in each line's prefix; sized is n * 2^32 + place."""
+    """(key, lh, d, sized) of the neighbours in each line's prefix."""
     each = lines(docs).where("trim(line) <> ''").select("d", F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
-    each = each.withColumn("n", F.size("t")).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
+    each = each.withColumn("n", F.size("t")).withColumn("odd", odd_sketch(F.col("t"))).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
     pair = F.transform("p", lambda x, i: F.xxhash64(x, F.when(i > 0, F.element_at(F.col("p"), i)).otherwise(F.lit(0).cast("long"))))
-    listed = each.select("lh", "d", "n", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
-    return listed.select("key", "lh", "d", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("sized"))
+    listed = each.select("lh", "d", "n", "odd", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
+    return listed.select("key", "lh", "d", packed(F.col("n"), F.col("place"), F.col("odd")).alias("sized"))
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
@@ -148,28 +182,30 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("key", "lh").orderBy("d"))
     list_ = Window.partitionBy("key")
     posted = postings(docs, classes, percent).repartition("key").withColumn("again", once).where("again = 1").drop("again")
-    told = posted.withColumn("lead", F.min(F.struct("d", "lh")).over(list_)).withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_))
-    n, place = F.shiftright("sized", 32).cast("int"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    live = cut(told.where("lo <> hi").select("key", "lh", "d", n.alias("n"), place.alias("place"), F.col("lead.lh").alias("lead")))
+    lead = F.min(F.struct("d", "lh", "sized")).over(list_)
+    told = posted.withColumn("lead", lead).withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_))
+    live = cut(told.where("lo <> hi").select("key", "lh", "d", "sized", F.col("lead.lh").alias("lead"), F.col("lead.sized").alias("led")))
     del posted, told
     release(spark)
 
-    led = live.where("lh <> lead").groupBy(F.col("lh").alias("x"), F.col("lead").alias("y")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    n, _, odd = unpacked(F.col("sized"))
+    first_n, _, first_odd = unpacked(F.col("led"))
+    led = live.where((F.col("lh") != F.col("lead")) & may_be(n, first_n, odd, first_odd, percent)).groupBy(F.col("lh").alias("x"), F.col("lead").alias("y"))
+    led = led.agg(F.count("*").alias("shared"), F.first(n).alias("n"))
     same = least_shared(F.col("n"), F.col("n"), percent)
     best = led.where(F.col("shared") >= same).groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
     settled = cut(later(_similar(best, docs, classes, percent), first))
     release(spark)
 
     rest = live.join(settled, "lh", "left_anti")
-    x = rest.select("key", F.col("lh").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("d").alias("dx"))
-    y = live.select("key", F.col("lh").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("d").alias("dy"))
-    fits = (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("nx") * 100 >= F.col("ny") * percent)
-    a = need(F.col("nx"), F.col("ny"), percent)
-    most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    # Places of a shared token differ by tokens of one line only.
-    near = (F.col("px") - F.col("py") <= F.col("nx") - a) & (F.col("py") - F.col("px") <= F.col("ny") - a)
-    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & fits & (most >= a) & near)
-    pairs = both.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    x = rest.select("key", F.col("lh").alias("x"), F.col("sized").alias("zx"), F.col("d").alias("dx"))
+    y = live.select("key", F.col("lh").alias("y"), F.col("sized").alias("zy"), F.col("d").alias("dy"))
+    (nx, px, sx), (ny, py, sy) = unpacked(F.col("zx")), unpacked(F.col("zy"))
+    a = need(nx, ny, percent)
+    most = F.least(px, py) + F.least(nx - px, ny - py)
+    near = (px - py <= nx - a) & (py - px <= ny - a)  # places of a shared token differ by tokens of one line only
+    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & may_be(nx, ny, sx, sy, percent) & (most >= a) & near)
+    pairs = both.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(nx).alias("nx"), F.first(ny).alias("ny"))
     pairs = pairs.where(F.col("shared") >= least_shared(F.col("nx"), F.col("ny"), percent)).select("x", "y")
     found = later(_similar(pairs, docs, classes, percent), first)
     return settled.unionByName(found)
