@@ -139,7 +139,7 @@ def _gram_sql(sizes: tuple[int, ...]) -> str:
 
 @register("ngrams_1_3", f"WITH {LINES_SQL}, g AS ({_gram_sql((1, 2, 3))}) SELECT line_id, size, count(*) AS grams, count(DISTINCT gram) AS kinds, min(gram) AS first, max(gram) AS last FROM g GROUP BY ALL")
 def ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = testbed.lines(spark, sf_dir).select("line_id", "text_norm").repartition(spark.sparkContext.defaultParallelism)
+    lines = testbed.lines(spark, sf_dir)
     sized = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), tx.grams(F.col("text_norm"), n).alias("list")) for n in (1, 2, 3)]))
     each = lines.select("line_id", sized.alias("s")).where(F.size("s.list") > 0)
     grams = F.col("s.list")
@@ -151,7 +151,7 @@ def ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ngram_df", f"WITH {LINES_SQL}, g AS ({_gram_sql((2,))}) SELECT gram, count(*) AS tf, count(DISTINCT line_id) AS df FROM g GROUP BY gram")
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = testbed.lines(spark, sf_dir).select("text_norm").repartition(spark.sparkContext.defaultParallelism)  # one small file is one task
+    lines = testbed.lines(spark, sf_dir).select("text_norm")
     lines = lines.select(tx.grams(F.col("text_norm"), 2).alias("g"))
     tf = lines.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"))
     df = lines.select(F.explode(F.array_distinct("g")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
