@@ -17,8 +17,8 @@ is verified on whole token sets, which are read off the texts again for the line
 candidate pairs only.
 
 Groups of near copies do not become all their pairs: a line is first compared with
-the earliest line of its size in its lists, and only a line that this does not
-remove is compared with every earlier line it shares a list with.
+the earliest line of its lists and, in long lists, with a few more, and only a line
+that this does not remove is compared with every earlier line it shares a list with.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ from quire.llm.common import cut, free, release, table
 
 PERCENT = 80
 #: Cells of the frequency sketch and of the filter of wanted lines.
-SKETCH = 1 << 16
+SKETCH = 1 << 17
 FILTER = 1 << 19
 #: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
 SHORT = 8
 _BITS = (1, 2, 4, 8)
 #: Cells of a line's odd sketch, which with size and place fill one number.
 PARITIES = 39
+#: Lists of at least so many lines also have several leaders chosen by hash.
+LONG, LEADERS = 8, 12
 _NONE = (1 << 63) - 1
 
 
@@ -188,12 +190,18 @@ def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     del posted, told
     release(spark)
 
+    several = [F.min_by(F.struct("lh", "d", "sized"), F.xxhash64("lh", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
+    long_ = live.groupBy("key").agg(F.count("*").alias("size"), *several).where(F.col("size") >= LONG)
+    long_ = long_.select("key", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
+    more = live.select("key", "lh", "d", "sized").join(long_, "key").where(F.col("l.d") <= F.col("d"))
+    met = live.select("lh", "sized", "lead", "led").unionByName(more.select("lh", "sized", F.col("l.lh").alias("lead"), F.col("l.sized").alias("led")))
     n, _, odd = unpacked(F.col("sized"))
     first_n, _, first_odd = unpacked(F.col("led"))
-    led = live.where((F.col("lh") != F.col("lead")) & may_be(n, first_n, odd, first_odd, percent)).groupBy(F.col("lh").alias("x"), F.col("lead").alias("y"))
+    led = met.where((F.col("lh") != F.col("lead")) & may_be(n, first_n, odd, first_odd, percent)).groupBy(F.col("lh").alias("x"), F.col("lead").alias("y"))
     led = led.agg(F.count("*").alias("shared"), F.first(n).alias("n"))
     same = least_shared(F.col("n"), F.col("n"), percent)
-    best = led.where(F.col("shared") >= same).groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
+    best = led.where(F.col("shared") >= same).withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("x", "y")
     settled = cut(later(_similar(best, docs, classes, percent), first))
     release(spark)
 
