@@ -1,13 +1,15 @@
-"""Scoring texts by online logistic context mixing over the bits of their words.
+"""Scoring texts by logistic context mixing over the bits of their words.
 
 A text is its lower-cased words and an end.  Each frequent word has a Huffman code;
 any other is an escape and its bytes, which have a code of their own.  Every bit is
 predicted by hashed-context predictors (order 0, and two that see the latest frequent
 words or the bytes before); their stretched probabilities are mixed with weights that
-a gate picks by how well the contexts are known, learned online, and the result is
-refined by an adaptive map of (gate, prediction).
+a gate picks by how well the contexts are known, and the result is refined by an
+adaptive map of (gate, prediction).  Weights, map and themes are learned from one
+whole fold of the training texts, by passes in which each task adds up sums of fixed
+size.
 
-What the predictors know are bit counts gathered from all training texts: each task
+What the predictors know are bit counts gathered from all other training texts: each task
 adds up arrays of fixed size, and the arrays are summed segment by segment.  Word
 counts for the base score are exact: frequent words are looked up in a table of
 bounded size, the others are joined.
@@ -38,8 +40,7 @@ ORDERS = 3
 CLASSES = 512
 #: Groups of frequent words that come together, in effect languages and registers.
 THEMES = 12
-#: Training texts that the mixing weights are learned on at most; their bits are not in the predictors.
-SAMPLE = 1500
+#: Training texts of the mixer's fold teach themes, mixing weights and map, all others the predictors.
 FOLDS = 10
 MIXER_FOLD = 9
 CHUNK = 1 << 18
@@ -240,29 +241,66 @@ def costs(p: Predictors, c: Coded) -> np.ndarray:
     return np.take(_COST, np.rint(z).astype(np.intp) + _REACH * _STEP, mode="clip")
 
 
-def learn_mixing(p: Predictors, v: Vocabulary, texts: pa.Array, rounds: int = 3) -> Predictors:
-    """Learns the gated weights online, batch by batch, then the adaptive map."""
-    p.weights[:] = np.array([0.4, 0.3, 0.4, 0.0], np.float32)
+def _mixing_sums(v, p):
+    """Each task's sums over its texts: per gate the loss, gradient and curvature of the weights, then the map's counts and ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pred, key = p.value, TaskContext.get().partitionId()
+        loss, slope, curve = np.zeros(_GATES), np.zeros((_GATES, ORDERS + 1)), np.zeros((_GATES, ORDERS + 1, ORDERS + 1))
+        all_, ones = np.zeros(pred.refined.shape), np.zeros(pred.refined.shape)
+        for batch in batches:
+            for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
+                c = encode(v.value, data, offsets)
+                gate, x = gate_and_inputs(pred, c)
+                z = mixed(pred, gate, x)
+                at = gate.astype(np.int64) * pred.refined.shape[1] + bucket(z)
+                all_ += np.bincount(at, minlength=all_.size).reshape(all_.shape)
+                ones += np.bincount(at, weights=c.bits, minlength=all_.size).reshape(all_.shape)
+                loss += np.bincount(gate, weights=np.log1p(np.exp(-z * (c.bits * np.int8(2) - np.int8(1)))), minlength=_GATES)
+                share = 1 / (1 + np.exp(-z))
+                error, spread = c.bits - share, share * (1 - share)
+                for j in range(ORDERS + 1):
+                    slope[:, j] += np.bincount(gate, weights=error * x[j], minlength=_GATES)
+                    for k in range(j + 1):
+                        curve[:, j, k] += np.bincount(gate, weights=spread * x[j] * x[k], minlength=_GATES)
+        sums = np.concatenate([part.ravel() for part in (loss, slope, curve, all_, ones)])
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["task", "sums"])
+
+    return run
+
+
+def learn_mixing(p: Predictors, v, texts: DataFrame, rounds: int = 12) -> Predictors:
+    """Newton passes over all ``texts`` for each gate's weights, then the adaptive map at the weights of the least loss.
+
+    A pass adds up sums of fixed size in every task; a gate whose loss rose goes back by half.
+    """
     grid = (np.arange(4 * _REACH + 1) - 2 * _REACH) / 2
+    p.weights[:] = start = np.array([0.4, 0.3, 0.4, 0.0], np.float32)
     p.refined[:] = grid.astype(np.float32)
-    sums = np.full(p.weights.shape, 1e-4)
-    ones, all_ = np.zeros(p.refined.shape), np.zeros(p.refined.shape)
-    for turn in range(rounds):
-        for _, _, data, offsets in words.chunks(texts, CHUNK):
-            c = encode(v, data, offsets)
-            gate, x = gate_and_inputs(p, c)
-            for lo in range(0, len(gate), 20_000):
-                g, part, bit = gate[lo : lo + 20_000], x[:, lo : lo + 20_000], c.bits[lo : lo + 20_000]
-                z = mixed(p, g, part)
-                if turn == rounds - 1:
-                    at = g.astype(np.int64) * p.refined.shape[1] + bucket(z)
-                    all_ += np.bincount(at, minlength=all_.size).reshape(all_.shape)
-                    ones += np.bincount(at, weights=bit, minlength=all_.size).reshape(all_.shape)
-                error = bit - 1 / (1 + np.exp(-z))
-                for k in range(ORDERS + 1):
-                    grad = np.bincount(g, weights=error * part[k], minlength=_GATES) / len(g)
-                    sums[:, k] += grad * grad
-                    p.weights[:, k] += (0.2 * grad / np.sqrt(sums[:, k])).astype(np.float32)
+    best, least, counts = p.weights.astype(float), np.full(_GATES, np.inf), np.zeros((2, *p.refined.shape))
+    step, before = np.zeros(best.shape), np.inf
+    for _ in range(rounds):
+        sent = texts.sparkSession.sparkContext.broadcast(p)
+        rows = texts.mapInArrow(_mixing_sums(v, sent), "task long, sums binary").collect()
+        sent.destroy()
+        sums = np.zeros(_GATES * (1 + (ORDERS + 1) * (ORDERS + 2)) + 2 * p.refined.size)
+        for row in sorted(rows, key=lambda r: r["task"]):
+            sums += np.frombuffer(row["sums"])
+        loss, slope, curve, seen = np.split(sums, np.cumsum([_GATES, _GATES * (ORDERS + 1), _GATES * (ORDERS + 1) ** 2]))
+        slope, curve, seen = slope.reshape(best.shape), curve.reshape(_GATES, ORDERS + 1, ORDERS + 1), seen.reshape(counts.shape)
+        curve = curve + np.tril(curve, -1).transpose(0, 2, 1) + np.eye(ORDERS + 1)
+        loss = loss + 0.5 * ((p.weights - start) ** 2).sum(axis=1)
+        better = loss < least
+        least[better], best[better], counts[:, better] = loss[better], p.weights[better], seen[:, better]
+        newton = np.linalg.solve(curve, (slope - (p.weights - start))[:, :, None])[:, :, 0]
+        step = np.where(better[:, None], newton, step / 2)
+        now = float(least.sum())
+        if not rows or max(before - now, float((loss - least).sum())) <= 1e-4 * now:
+            break
+        before = now
+        p.weights[:] = best + step
+    p.weights[:] = best
+    all_, ones = counts
     prior = 1 / (1 + np.exp(-grid))
     share = (ones + 30 * prior) / (all_ + 30)
     p.refined[:] = np.clip(np.log(share / (1 - share)), -_REACH, _REACH).astype(np.float32)
@@ -325,36 +363,51 @@ def vocabulary(counts: DataFrame, coded: int, counted: int) -> Vocabulary:
     return Vocabulary(keys, n, symbol, rank, code, length, np.zeros(CLASSES + 1, np.int64), byte_code, byte_length, tokens + ends, distinct + (ends > 0), ends)
 
 
-def themes(v: Vocabulary, texts: pa.Array, rounds: int = 20) -> np.ndarray:
-    """A theme (0: none) of each class of frequent words, by clustering their counts per text."""
-    seen = []
-    for _, _, data, offsets in words.chunks(texts, CHUNK):
-        hashes, _, _, rows = words.hashed(data, offsets)
-        place = v.find(hashes)
-        own = place >= 0
-        symbol = np.where(own, v.symbol[place] if len(v.symbol) else -1, -1)
-        rank = np.where(symbol >= 0, v.rank[symbol], 0)
-        row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        seen.append(np.bincount(row * (CLASSES + 1) + rank, minlength=(len(rows) - 1) * (CLASSES + 1)).reshape(-1, CLASSES + 1))
+def _together(v):
+    """Each task's sums of products of the classes' counts per text, in whole steps so that their order does not matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, CLASSES))
+        for batch in batches:
+            for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
+                hashes, _, _, rows = words.hashed(data, offsets)
+                place = v.value.find(hashes)
+                symbol = np.where(place >= 0, v.value.symbol[place] if len(v.value.symbol) else -1, -1)
+                rank = np.where(symbol >= 0, v.value.rank[symbol], 0)
+                row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+                seen = np.bincount(row * (CLASSES + 1) + rank, minlength=(len(rows) - 1) * (CLASSES + 1)).reshape(-1, CLASSES + 1)
+                x = np.rint(np.log1p(seen[:, 1:]) * 256)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["sums"])
+
+    return run
+
+
+def themes(v, texts: DataFrame, rounds: int = 20) -> np.ndarray:
+    """A theme (0: none) of each class of frequent words, by clustering their counts per text.
+
+    The clusters need only the products of the classes' counts, added up over all ``texts``.
+    """
+    total = np.zeros((CLASSES, CLASSES))
+    for row in texts.mapInArrow(_together(v), "sums binary").toLocalIterator():
+        total += np.frombuffer(zlib.decompress(row["sums"])).reshape(total.shape)
     out = np.zeros(CLASSES + 1, np.int64)
-    if not seen:
-        return out
-    x = np.log1p(np.concatenate(seen)[:, 1:]).T
-    used = np.flatnonzero(x.any(axis=1))
+    used = np.flatnonzero(total.diagonal())
     if not len(used):
         return out
-    x = x[used] / np.linalg.norm(x[used], axis=1, keepdims=True)
-    centers = [x[0]]
+    norm = np.sqrt(total.diagonal()[used])
+    near = total[np.ix_(used, used)] / norm / norm[:, None]  # cosines
+    centers = [0]
     while len(centers) < min(THEMES, len(used)):  # the word least like any center so far
-        centers.append(x[np.argmin(np.max(x @ np.array(centers).T, axis=1))])
-    centers = np.array(centers)
+        centers.append(int(np.argmin(near[:, centers].max(axis=1))))
+    likeness = near[:, centers]
     for _ in range(rounds):
-        near = np.argmax(x @ centers.T, axis=1)
+        group = np.argmax(likeness, axis=1)
         for k in range(len(centers)):
-            if (near == k).any():
-                mean = x[near == k].sum(axis=0)
-                centers[k] = mean / np.linalg.norm(mean)
-    out[used + 1] = near + 1
+            own = group == k
+            if own.any():
+                likeness[:, k] = near[:, own].sum(axis=1) / np.sqrt(near[np.ix_(own, own)].sum())
+    out[used + 1] = group + 1
     return out
 
 
@@ -431,7 +484,7 @@ def _score(v, p):
     return run
 
 
-def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with the base and the model's score.
 
     A null or empty text is its end alone; repeated rows are scored each; a null id
@@ -444,9 +497,9 @@ def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED, sample: i
     learned = docs.where(part != 0).select("text").mapInArrow(_count_words, "kind int, key long, n long")
     counts = cut(learned.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 0"))
     voc = vocabulary(counts, coded, counted)
-    chosen = docs.where(part == MIXER_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    texts = chosen.select("text").toArrow().column("text").combine_chunks()
-    voc.theme = themes(voc, texts)
+    mixer = cut(docs.where(part == MIXER_FOLD).select("text"))
+    sent = spark.sparkContext.broadcast(voc)
+    voc.theme = themes(sent, mixer)
     voc.index = None
     sent = spark.sparkContext.broadcast(voc)
     predictors = Predictors(
@@ -455,7 +508,7 @@ def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED, sample: i
     for row in gather(docs.where((part != 0) & (part != MIXER_FOLD)), sent).toLocalIterator():
         at = row["segment"] * SEGMENT
         predictors.table.reshape(-1)[at : at + SEGMENT] = np.frombuffer(row["entries"], np.int16)
-    predictors = learn_mixing(predictors, voc, texts)
+    predictors = learn_mixing(predictors, sent, mixer)
     model = spark.sparkContext.broadcast(predictors)
     schema = "key long, doc_id long, n_tokens long, known long, total double, score double, bytes long, rest array<struct<h:long,n:long>>"
     scored = cut(docs.mapInArrow(_score(sent, model), schema))

@@ -408,6 +408,24 @@ def test_language_model_odd(odd, none):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_learns_from_every_training_text(spark, docs, monkeypatch):
+    seen = Counter()
+    count = lambda name, f: lambda *a, **k: (seen.update({name: [x for x in a if hasattr(x, "count") and hasattr(x, "columns")][0].count()}), f(*a, **k))[1]
+    for name in ("gather", "learn_mixing", "themes"):
+        monkeypatch.setattr(language_model, name, count(name, getattr(language_model, name)))
+    many = docs.select("doc_id", "text").crossJoin(spark.range(90).withColumnRenamed("id", "k")).select((F.col("doc_id") * 90 + F.col("k")).alias("doc_id"), F.substring("text", 1, 60).alias("text"))
+    rows = language_model.score(many).collect()
+    folds = Counter(language_model.fold_of(r["doc_id"]) for r in rows)
+    assert folds[language_model.MIXER_FOLD] > 1500 and seen["learn_mixing"] == seen["themes"] == folds[language_model.MIXER_FOLD]
+    assert seen["gather"] + seen["learn_mixing"] == len(rows) - folds[0]
+
+
+def test_mixing_ignores_how_texts_are_dealt(docs):
+    few = docs.select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in language_model.score(few.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
+
+
 def test_probabilities_sum_to_one():
     """Over all continuations a code of bits, each with complementary costs, spends exactly the whole."""
     codes, lengths = language_model.huffman(np.array([9, 5, 3, 1, 1, 1]))
