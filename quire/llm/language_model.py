@@ -10,14 +10,16 @@ whole fold of the training texts, by passes in which each task adds up sums of f
 size.
 
 What the predictors know are bit counts gathered from all other training texts: each task
-adds up arrays of fixed size, and the arrays are summed segment by segment.  Word
-counts for the base score are exact: frequent words are looked up in a table of
-bounded size, the others are joined.
+adds up its counts, and they are summed segment by segment.  Slots, contexts and coded
+words grow with the training words, and so does the memory of the model in each task.
+Word counts for the base score are exact: frequent words are looked up in a table, the
+others are joined.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,27 +33,36 @@ from pyspark.sql import functions as F
 from quire.llm import words
 from quire.llm.common import cut, table
 
-#: Bounds of what is sent to every task: coded words, words with counts, slots per predictor.
+#: The least of what is sent to every task, which grows with the training words (``sizes``): coded words, words with counts, slots per predictor.
 CODED = 1 << 18
 COUNTED = 1 << 20
 SLOTS = 1 << 19
+#: Slots up to which a task counts in arrays over all of them.
+DENSE = 1 << 21
+HELD = 1 << 23
 SEGMENT = 1 << 13
 ORDERS = 3
 CLASSES = 512
-#: Groups of frequent words that come together, in effect languages and registers.
+#: Themes at CLASSES, in proportion above: groups of frequent words that come together, in effect languages and registers.
 THEMES = 12
 #: Training texts of the mixer's fold teach themes, mixing weights and map, all others the predictors.
 FOLDS = 10
 MIXER_FOLD = 9
 CHUNK = 1 << 18
 U = np.uint64
-_SHIFT = U(64 - (SLOTS.bit_length() - 1))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GATES = 32
 _STEP, _REACH = 64, 12
 
 
+def sizes(tokens: int) -> tuple[int, int, int, int]:
+    """(coded words, slots, classes, themes) for so many training words: a slot for 64 to 128 words and a coded word for 1,024, classes by their root."""
+    slots = max(SLOTS, 1 << (tokens >> 7).bit_length())
+    classes = max(CLASSES, 1 << (math.isqrt(tokens) >> 4).bit_length() - 1 if tokens >= 256 else 0)
+    return max(CODED, tokens >> 10), slots, classes, THEMES * classes // CLASSES
+
+
 def fold(doc_id):
     """0 for held-out texts; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
@@ -103,6 +114,9 @@ class Vocabulary:
     tokens: int
     distinct: int
     ends: int
+    slots: int = SLOTS
+    classes: int = CLASSES
+    themes: int = THEMES
 
     def __post_init__(self):
         self.index = None
@@ -121,8 +135,8 @@ def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code >> left, (code >> (left - U(1)) & U(1)).astype(np.int8)
 
 
-def _slot(node: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
-    return (((node + U(order * 0x51ED270B)) * U(0x9E3779B97F4A7C15) ^ context) * U(0xD6E8FEB86659FD93) >> _SHIFT).astype(np.int32)
+def _slot(v: Vocabulary, node: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
+    return (((node + U(order * 0x51ED270B)) * U(0x9E3779B97F4A7C15) ^ context) * U(0xD6E8FEB86659FD93) >> U(65 - v.slots.bit_length())).astype(np.int32)
 
 
 @dataclass
@@ -157,12 +171,12 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     one = np.where(latest >= first, rank[latest], 0)
     two = np.where(second >= first, rank[second], 0)
     near = np.where(latest == at - 1, one, 0)
-    theme = v.theme[one] * (THEMES + 1) + v.theme[two]
+    theme = v.theme[one] * (v.themes + 1) + v.theme[two]
     context1 = (theme + 1).astype(U) * U(0xC2B2AE3D27D4EB4F)
-    context2 = (theme * 4096 + near).astype(U) * U(0x165667B19E3779F9)
+    context2 = (theme * max(4096, v.classes + 1) + near).astype(U) * U(0x165667B19E3779F9)
     length = v.length[tokens]
     node, bit = _bits(v.code[tokens], length)
-    slots = [_slot(node, U(0), 0), _slot(node, np.repeat(context1, length), 1), _slot(node, np.repeat(context2, length), 2)]
+    slots = [_slot(v, node, U(0), 0), _slot(v, node, np.repeat(context1, length), 1), _slot(v, node, np.repeat(context2, length), 2)]
     bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [np.repeat(row, length)]
     rare = np.flatnonzero(symbol < 0)
     if len(rare):
@@ -181,7 +195,7 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         node, bit = _bits(v.byte_code[byte], length)
         node = node + U(1 << 40)
         for k, c in enumerate((c0, c1, c2)):
-            slots[k] = np.concatenate([slots[k], _slot(node, np.repeat(c * U(0x9FB21C651E98DF25), length), k)])
+            slots[k] = np.concatenate([slots[k], _slot(v, node, np.repeat(c * U(0x9FB21C651E98DF25), length), k)])
         bits.append(bit)
         spelled.append(np.ones(len(bit), np.int8))
         of.append(np.repeat(owner[rare][word], length))
@@ -344,6 +358,8 @@ def vocabulary(counts: DataFrame, coded: int, counted: int) -> Vocabulary:
     # One row for each value that a count takes: about the square root of the corpus at most.
     histogram = sorted(((r["n"], r["k"]) for r in named.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
     distinct, tokens = sum(k for _, k in histogram), sum(n * k for n, k in histogram)
+    grown, slots, classes, groups = sizes(tokens)
+    coded, counted = max(coded, grown), max(counted, grown)
     few = {r["key"]: r["n"] for r in counts.where("kind = 1").collect()}
     ends = sum(r["n"] for r in counts.where("kind = 2").collect())
     rows = named.where(F.col("n") >= _cutoff(counted, histogram)).select("key", "n").toArrow()
@@ -356,18 +372,19 @@ def vocabulary(counts: DataFrame, coded: int, counted: int) -> Vocabulary:
     rare = max(1, tokens - int(n[own].sum()))
     code, length = huffman(np.concatenate([n[own], [rare, max(1, ends)]]))
     rank = np.zeros(len(code), np.int64)
-    top = np.lexsort((keys[own], -n[own]))[:CLASSES]
+    top = np.lexsort((keys[own], -n[own]))[:classes]
     rank[top] = np.arange(1, len(top) + 1)
     rank[-1] = 0
     byte_code, byte_length = huffman(np.array([few.get(b, 0) + 1 for b in range(257)]))
-    return Vocabulary(keys, n, symbol, rank, code, length, np.zeros(CLASSES + 1, np.int64), byte_code, byte_length, tokens + ends, distinct + (ends > 0), ends)
+    return Vocabulary(keys, n, symbol, rank, code, length, np.zeros(classes + 1, np.int64), byte_code, byte_length, tokens + ends, distinct + (ends > 0), ends, slots, classes, groups)
 
 
 def _together(v):
     """Each task's sums of products of the classes' counts per text, in whole steps so that their order does not matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CLASSES))
+        classes = v.value.classes
+        total = np.zeros((classes, classes))
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
                 hashes, _, _, rows = words.hashed(data, offsets)
@@ -375,7 +392,7 @@ def _together(v):
                 symbol = np.where(place >= 0, v.value.symbol[place] if len(v.value.symbol) else -1, -1)
                 rank = np.where(symbol >= 0, v.value.rank[symbol], 0)
                 row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-                seen = np.bincount(row * (CLASSES + 1) + rank, minlength=(len(rows) - 1) * (CLASSES + 1)).reshape(-1, CLASSES + 1)
+                seen = np.bincount(row * (classes + 1) + rank, minlength=(len(rows) - 1) * (classes + 1)).reshape(-1, classes + 1)
                 x = np.rint(np.log1p(seen[:, 1:]) * 256)
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["sums"])
@@ -388,17 +405,17 @@ def themes(v, texts: DataFrame, rounds: int = 20) -> np.ndarray:
 
     The clusters need only the products of the classes' counts, added up over all ``texts``.
     """
-    total = np.zeros((CLASSES, CLASSES))
+    total = np.zeros((v.value.classes, v.value.classes))
     for row in texts.mapInArrow(_together(v), "sums binary").toLocalIterator():
         total += np.frombuffer(zlib.decompress(row["sums"])).reshape(total.shape)
-    out = np.zeros(CLASSES + 1, np.int64)
+    out = np.zeros(v.value.classes + 1, np.int64)
     used = np.flatnonzero(total.diagonal())
     if not len(used):
         return out
     norm = np.sqrt(total.diagonal()[used])
     near = total[np.ix_(used, used)] / norm / norm[:, None]  # cosines
     centers = [0]
-    while len(centers) < min(THEMES, len(used)):  # the word least like any center so far
+    while len(centers) < min(v.value.themes, len(used)):  # the word least like any center so far
         centers.append(int(np.argmin(near[:, centers].max(axis=1))))
     likeness = near[:, centers]
     for _ in range(rounds):
@@ -411,43 +428,76 @@ def themes(v, texts: DataFrame, rounds: int = 20) -> np.ndarray:
     return out
 
 
-def gather(docs: DataFrame, v) -> DataFrame:
-    """Table entries of all ``docs``: (segment, entries), one row a segment; the counts in between are sent compressed."""
+def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
+    """Table entries of all ``docs``: (segment, entries), one row a segment; the counts in between are sent compressed.
+
+    Up to ``dense`` slots a task counts in arrays over all of them; with more it sends on the slots that it
+    saw (``at``) whenever HELD bits have come together, so its memory does not grow with the slots.
+    """
+    slots = v.value.slots
+    schema = ["segment", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, 2 * SLOTS), np.int32)
+        whole = slots <= dense
+        counts = np.zeros((ORDERS, 2 * slots if whole else 0), np.int32)
         held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
 
         def settle() -> None:
             for k, some in enumerate(held):
                 if some:
-                    counts[k] += np.bincount(np.concatenate(some), minlength=2 * SLOTS).astype(np.int32)
+                    counts[k] += np.bincount(np.concatenate(some), minlength=2 * slots).astype(np.int32)
                     some.clear()
 
+        def seen() -> Iterator[pa.RecordBatch]:
+            for k, some in enumerate(held):
+                if not some:
+                    continue
+                keys, n = np.unique(np.concatenate(some), return_counts=True)
+                some.clear()
+                part = keys // (2 * SEGMENT)
+                edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                ends = np.append(edge[1:], len(keys))
+                at, n = (keys % (2 * SEGMENT)).astype(np.uint16), n.astype(np.int32)
+                for lo in range(0, len(edge), 256):
+                    own = list(zip(edge[lo : lo + 256].tolist(), ends[lo : lo + 256].tolist(), strict=True))
+                    segment = pa.array((part[edge[lo : lo + 256]] + k * (slots // SEGMENT)).astype(np.int32))
+                    packed = [pa.array([zlib.compress(x[i:j].tobytes(), 1) for i, j in own], pa.binary()) for x in (at, n)]
+                    yield pa.RecordBatch.from_arrays([segment, *packed], schema)
+
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
                 c = encode(v.value, data, offsets)
                 for k in range(ORDERS):
                     held[k].append(c.slots[k] * np.int32(2) + c.bits)
-                if sum(len(x) for x in held[0]) > 6 * SLOTS:
+                size = sum(len(x) for x in held[0])
+                if whole and size > 6 * SLOTS:
                     settle()
+                elif size > HELD:
+                    yield from seen()
+        if not whole:
+            yield from seen()
+            return
         settle()
         parts = counts.reshape(-1, 2 * SEGMENT)
         used = np.flatnonzero(parts.any(axis=1))
         for lo in range(0, len(used), 16):
             own = used[lo : lo + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([zlib.compress(parts[i].astype(np.int32 if parts[i].max() > 65535 else np.uint16).tobytes(), 1) for i in own], pa.binary())], ["segment", "counts"])
+            packed = [zlib.compress(parts[i].astype(np.int32 if parts[i].max() > 65535 else np.uint16).tobytes(), 1) for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.binary()), pa.array(packed, pa.binary())], schema)
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SEGMENT, np.int64)
         for part in parts:
-            for one in part.column("counts"):
+            for at, one in zip(part.column("at"), part.column("counts"), strict=True):
                 raw = zlib.decompress(one.as_py())
-                total += np.frombuffer(raw, np.uint16 if len(raw) == 4 * SEGMENT else np.int32)
+                if at.is_valid:
+                    total[np.frombuffer(zlib.decompress(at.as_py()), np.uint16)] += np.frombuffer(raw, np.int32)
+                else:
+                    total += np.frombuffer(raw, np.uint16 if len(raw) == 4 * SEGMENT else np.int32)
         pair = total.reshape(-1, 2).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([entries(pair).tobytes()], pa.binary())], ["segment", "entries"])
 
-    each = docs.select(F.col("text").cast("string")).mapInArrow(run, "segment int, counts binary")
+    each = docs.select(F.col("text").cast("string")).mapInArrow(run, "segment int, at binary, counts binary")
     return each.groupBy("segment").applyInArrow(add, "segment int, entries binary")
 
 
@@ -503,7 +553,7 @@ def score(docs: DataFrame, coded: int = CODED, counted: int = COUNTED) -> DataFr
     voc.index = None
     sent = spark.sparkContext.broadcast(voc)
     predictors = Predictors(
-        np.zeros((ORDERS, SLOTS), np.int16), np.zeros((_GATES, ORDERS + 1), np.float32), np.zeros((_GATES, 4 * _REACH + 1), np.float32)
+        np.zeros((ORDERS, voc.slots), np.int16), np.zeros((_GATES, ORDERS + 1), np.float32), np.zeros((_GATES, 4 * _REACH + 1), np.float32)
     )
     for row in gather(docs.where((part != 0) & (part != MIXER_FOLD)), sent).toLocalIterator():
         at = row["segment"] * SEGMENT

@@ -426,6 +426,19 @@ def test_mixing_ignores_how_texts_are_dealt(docs):
     assert one.keys() == many.keys() and all(math.isclose(one[i], many[i], rel_tol=1e-6) for i in one)
 
 
+def test_model_grows_with_the_training_words(spark, docs, monkeypatch):
+    small, large = language_model.sizes(10**6), language_model.sizes(10**11)
+    assert all(a < b for a, b in zip(small, large, strict=True))
+    held = docs.select(F.col("text"))
+    learned = held.mapInArrow(language_model._count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    monkeypatch.setattr(language_model, "sizes", lambda tokens: (1 << 18, 1 << 20, 1024, 24))
+    voc = language_model.vocabulary(learned, 1 << 10, 1 << 10)
+    assert (voc.slots, voc.classes, voc.themes) == (1 << 20, 1024, 24) and len(voc.code) > 1 << 10
+    sent = spark.sparkContext.broadcast(voc)
+    whole, seen = ({r["segment"]: r["entries"] for r in language_model.gather(held, sent, dense).collect()} for dense in (1 << 20, 0))
+    assert whole == seen and max(whole) >= 3 * language_model.SLOTS // language_model.SEGMENT
+
+
 def test_probabilities_sum_to_one():
     """Over all continuations a code of bits, each with complementary costs, spends exactly the whole."""
     codes, lengths = language_model.huffman(np.array([9, 5, 3, 1, 1, 1]))
