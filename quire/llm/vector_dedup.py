@@ -7,8 +7,9 @@ lists of a node from all its shards are united.  Every node is then searched for
 the graph of its home, greedily from the medoid with a beam and then outwards over
 all nodes in range; each link is verified by its cosine in double precision.  Links
 inside a home are counted there, only links across homes or blocks are sent on as
-pairs.  A sample of nodes is compared with all others to audit the recall, and the
-overlap is doubled if it is too low.
+pairs.  A sample of nodes is compared with all others to audit the recall per node, of
+those with few links and with many, and the overlap is doubled if it is too low.  If
+an overlap of 32 is not enough, all blocks of a label are compared.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ OVERLAP = 4
 DEGREE = 24
 BEAM = 16
 ALPHA = 1.2
-AUDITED = 200
+AUDITED = 2000
+#: Links up to which a node is audited apart from those of large groups.
+FEW = 10
 RECALL = 0.95
 
 
@@ -214,7 +217,7 @@ def _search(least: float):
             q = q / np.linalg.norm(q, axis=1, keepdims=True)
             a, b = np.nonzero(range_search(unit, graph, q, np.full(len(q), -1), least))
             parts.append((asked["cid"].to_numpy()[a], cid[b], None))
-        else:
+        elif key[3] == key[4]:  # a block's own turn
             at = np.flatnonzero(home)
             hits = range_search(unit, graph, unit[at], at, least)
             a, b = np.nonzero(hits[:, ~home])
@@ -266,8 +269,43 @@ def links(nodes: DataFrame, least: float, overlap: int, shard: int = SHARD, bloc
     return total, across.unionByName(found.where("n = -1").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def _exact(least: float):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Rows (x, y, n) as of ``_search`` of all links between two blocks, or inside one."""
+        rows = rows.sort_values(["i", "cid"])
+        cid, copies, left = rows["cid"].to_numpy(), rows["copies"].to_numpy(), rows["i"].to_numpy() == key[2]
+        unit = np.stack(rows["v"].to_numpy())
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        near = unit @ unit.T >= least
+        near |= near.T
+        if key[2] != key[3]:
+            near &= left[:, None] != left
+        np.fill_diagonal(near, False)
+        n, root = near @ copies, _roots(near)
+        linked, moved = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(cid)))
+        return pd.DataFrame({
+            "x": np.concatenate([cid[linked], cid[moved]]), "y": pd.array([None] * len(linked) + cid[root[moved]].tolist(), "Int64"),
+            "n": np.concatenate([n[linked], np.full(len(moved), -1)]),
+        })
+
+    return run
+
+
+def exact(nodes: DataFrame, least: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What ``links`` returns, by comparing every block of a label with every other."""
+    kind = ["label", "dims"]
+    placed = nodes.select("cid", "label", "v", "copies").withColumn("dims", F.size("v"))
+    sizes = placed.groupBy(*kind).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    placed = placed.join(sizes, kind).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("a", F.least("i", "k")).withColumn("b", F.greatest("i", "k"))
+    found = cut(placed.groupBy(*kind, "a", "b").applyInPandas(_exact(least), "x long, y long, n long"))
+    total = found.where("y is null").groupBy(F.col("x").alias("cid")).agg(F.sum("n").alias("n"))
+    return total, found.where("n = -1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def audit(nodes: DataFrame, found: DataFrame, least: float, sample: int = AUDITED) -> float:
-    """Links found of a bounded sample of nodes, as a share of those that comparing it with all nodes finds."""
+    """Share of its links that a node of a bounded sample has found, on average: the lower one of nodes with few links and with many."""
     rows = nodes.orderBy(F.xxhash64("cid", F.lit(11)), "cid").limit(sample).select("cid", "label", "v").collect()
     if not rows:
         return 1.0
@@ -275,20 +313,31 @@ def audit(nodes: DataFrame, found: DataFrame, least: float, sample: int = AUDITE
     for r in rows:
         v = np.array(r["v"])
         by.setdefault((r["label"], len(v)), []).append((r["cid"], v / np.linalg.norm(v)))
+    by = {k: (np.array([c for c, _ in x]), np.stack([u for _, u in x])) for k, x in by.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cid, label, vectors, copies = (c.to_pylist() for c in batch.columns)
+            groups: dict = {}
+            for i, v in enumerate(vectors):
+                groups.setdefault((label[i], len(v)), []).append(i)
             total: dict[int, int] = {}
-            for cid, label, v, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for other, u in by.get((label, len(v)), ()):
-                    if other != cid and float(np.dot(u, v)) >= least * float(np.linalg.norm(v)):
-                        total[other] = total.get(other, 0) + copies
+            for kind in groups.keys() & by.keys():
+                own = groups[kind]
+                v = np.array([vectors[i] for i in own])
+                ids, unit = by[kind]
+                near = unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T >= least
+                near &= ids[:, None] != np.array([cid[i] for i in own])
+                for other, n in zip(ids.tolist(), (near @ np.array([copies[i] for i in own])).tolist(), strict=True):
+                    if n:
+                        total[other] = n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cid", "n"])
 
     truth = {r["cid"]: r["n"] for r in nodes.select("cid", "label", "v", "copies").mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n")).collect()}
     got = {r["cid"]: r["n"] for r in found.where(F.col("cid").isin([r["cid"] for r in rows])).collect()}
-    whole = sum(truth.values())
-    return sum(min(n, got.get(cid, 0)) for cid, n in truth.items()) / whole if whole else 1.0
+    share = [(n, min(n, got.get(cid, 0)) / n) for cid, n in truth.items()]
+    parts = [[x for n, x in share if (n <= FEW) == few] for few in (True, False)]
+    return min((sum(x) / len(x) for x in parts if x), default=1.0)
 
 
 def dedup(vectors: DataFrame, least: float = LEAST, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
@@ -307,7 +356,11 @@ def dedup(vectors: DataFrame, least: float = LEAST, overlap: int = OVERLAP, reca
     while True:
         counted, edges = links(nodes, least, overlap)
         counted = cut(counted)
-        if audit(nodes, counted, least) >= recall or overlap >= 32:
+        if audit(nodes, counted, least) >= recall:
+            break
+        if overlap >= 32:
+            counted, edges = exact(nodes, least)
+            counted = cut(counted)
             break
         overlap *= 2
     roots = components(nodes.select(F.col("cid").alias("id")), edges)

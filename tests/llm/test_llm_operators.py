@@ -494,6 +494,41 @@ def test_vector_dedup(spark):
     assert np.mean([got[i]["component_id"] == root[i] for i in root]) > 0.98 and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def linked_nodes(spark, seed=8):
+    """A group of 60 near copies and 30 isolated pairs as nodes, and each node's number of links."""
+    rng = np.random.default_rng(seed)
+    start = [rng.normal(size=24)] * 60 + [v for v in rng.normal(size=(30, 24)) for _ in range(2)]
+    unit = np.array([v + 0.03 * rng.normal(size=24) for v in start])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= vector_dedup.LEAST).sum(axis=1) - 1
+    nodes = spark.createDataFrame([(i, "a", v.tolist(), 1) for i, v in enumerate(unit)], "cid long, label string, v array<double>, copies long")
+    return nodes, dict(enumerate(near.tolist()))
+
+
+def test_vector_dedup_audit_sees_lost_pairs(spark):
+    nodes, want = linked_nodes(spark)
+    frame = lambda some: spark.createDataFrame(some, "cid long, n long")
+    assert vector_dedup.audit(nodes, frame(list(want.items())), vector_dedup.LEAST) == 1
+    assert vector_dedup.audit(nodes, frame([(i, n) for i, n in want.items() if n > 10]), vector_dedup.LEAST) == 0
+
+
+def test_vector_dedup_counts_no_link_twice(spark):
+    nodes, want = linked_nodes(spark)
+    for overlap, shard, block in ((3, 6, 4), (2, 10, 3), (1, 1000, 16)):
+        got = {r["cid"]: r["n"] for r in vector_dedup.links(nodes, vector_dedup.LEAST, overlap, shard, block)[0].collect()}
+        assert all(n <= want[i] for i, n in got.items())
+
+
+def test_vector_dedup_is_exact_if_the_audit_fails(spark, monkeypatch):
+    nodes, want = linked_nodes(spark)
+    got = {r["cid"]: r["n"] for r in vector_dedup.exact(nodes, vector_dedup.LEAST, 16)[0].collect()}
+    assert got == {i: n for i, n in want.items() if n}
+    lost = lambda *a: (spark.createDataFrame([], "cid long, n long"), spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vector_dedup, "links", lost)
+    rows = vector_dedup.dedup(nodes.select(F.col("cid").alias("vec_id"), F.col("v").alias("embedding"), "label"), overlap=32).collect()
+    assert {r["vec_id"]: r["n_links"] for r in rows} == want and {r["component_id"] for r in rows} == {0, *range(60, 120, 2)}
+
+
 def test_vector_dedup_odd(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (3, [1.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0], None), (8, [None, 1.0], 1), (9, [2.0, 0.0], 1), (10, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
