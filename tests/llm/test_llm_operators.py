@@ -233,6 +233,18 @@ def test_nearest(spark):
     assert [i for i, _, _ in found[0]] == list(range(900, 920))
 
 
+def test_nearest_recall_where_the_share_cuts(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in nearest.search(vectors, vectors.where("vec_id % 20 = 0"), least=20, block=900).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got & {i for i, _ in exact_nearest(rows, q, 20)}) for q, got in found.items())
+    print("recall", hits / 20 / len(found))
+    assert len(found) == 45 and hits >= 0.9 * 20 * len(found)
+
+
 def test_footrule():
     rng = np.random.default_rng(2)
     orders = np.stack([rng.permutation(12)[:5] for _ in range(40)]).astype(np.int16)
