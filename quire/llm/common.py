@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,17 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one of a local session (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name in a plan clashes with one of the caller's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
+def restored(columns: list[str], row: str = "row", **replaced: Column) -> list[Column]:
+    """The columns that ``carried`` packed, some of them replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col(row).getField(c).alias(c) for c in columns]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
@@ -45,19 +57,18 @@ def cut(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     del df
-    return spark.read.schema(schema).parquet(path)
-
-
-def free(df: DataFrame) -> None:
-    """Delete the files behind a ``cut`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quire-" in folder and folder.replace("file:///", "/").startswith(root.replace("file://", "")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the files behind tables that ``cut`` made and no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_cut", None):
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

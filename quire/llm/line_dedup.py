@@ -4,21 +4,22 @@ A line is the set of its space-separated tokens.  A line is removed iff an earli
 one, in the order of (doc_id, line number), is similar enough (a Jaccard similarity
 of 0.8 or more by default, so an equal line as well); lines without a token stay.
 
-Tokens are ordered by rarity: a sketch of fixed size counts all tokens of the corpus,
-and a token's key leads with the class of its count.  Prefix filter: if two lines are
-similar enough, fewer tokens differ than gaps lie between their first shared tokens,
-so that two shared tokens follow each other in both orders, within the first
-2a + b + 2 places, where a and b tokens are in one of the lines only; that is at most
-0.4 n + 2 places of n for 0.8.  (Lines of fewer than ``SHORT`` tokens also have their
-first token follow a common mark, as they may share too few.)  Posting neighbours
-instead of single tokens keeps the lists short.  Lists that one line has alone are
-dropped in one sorted pass; what is left passes the length and positional filters and
-is verified on whole token sets, which are read off the texts again for the lines of
-candidate pairs only.
-
-Groups of near copies do not become all their pairs: a line is first compared with
-the earliest line of its size in its lists, and only a line that this does not
-remove is compared with every earlier line it shares a list with.
+Equal lines become one before anything else is done with them (map-side combined, so
+a line that is a third of all lines is one row of each task).  Tokens are ordered by
+rarity: a sketch of fixed size counts the tokens of all distinct lines, and a token's
+key leads with the class of its count.  Prefix filter: of two similar lines of n
+tokens, the first token that both have is among the first ``n - ceil(0.8 n) + 1`` of
+each, so lines are posted under those tokens only, in one list a token.  At that first
+shared token, the length filter (sizes), the positional filter (what can still be
+shared after it) and an odd sketch of the whole line decide whether a pair is a
+candidate; all three are upper bounds of the overlap, so no similar pair is lost.
+Candidates are verified on their whole token sets, which are read again for the lines
+concerned only.
+
+Lists are in the order of documents.  Up to ``LEADERS`` lines of a list all meet; the
+rest of a longer one meet its first line only, so that a group of near copies does not
+become all its pairs.  Lines of long lists that this has not removed then meet all
+others of their lists.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, free, release, table
+from quire.llm.common import carried, cut, free, release, restored, table
 
 PERCENT = 80
-#: Cells of the frequency sketch and of the filter of wanted lines.
-SKETCH = 1 << 16
-FILTER = 1 << 19
-#: Below this many tokens two similar lines may share fewer tokens than the neighbours need; for 0.8 that is below 5.
-SHORT = 8
+#: Cells of the frequency sketch and of the filter of wanted values.
+SKETCH = 1 << 17
+FILTER = 1 << 20
+#: Lines of a list that all meet.
+LEADERS = 16
 _BITS = (1, 2, 4, 8)
 #: Cells of a line's odd sketch, which with size and place fill one number.
 PARITIES = 39
@@ -42,10 +43,20 @@ _NONE = (1 << 63) - 1
 
 def lines(docs: DataFrame) -> DataFrame:
     """(d, h, line_no, line) of all lines; d and h name the document."""
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("d"), F.xxhash64("text").alias("h"), "text")
+    named = docs.select(_d(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("h"), "text")
     return named.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _d(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(_NONE))
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """(id, line, d, h, line_no) of each distinct line that has a token: where it occurs first."""
+    first = lines(docs).where("trim(line) <> ''").groupBy("line").agg(F.min(F.struct("d", "h", "line_no")).alias("at"))
+    return cut(first.select("line", "at.*").withColumn("id", F.monotonically_increasing_id()))
+
+
 def _cells(codes: DataFrame, size: int) -> Column:
     """A constant of ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or 1."""
     whole = codes.sparkSession.range(size).select(F.col("id").cast("int").alias("cell")).join(codes, "cell", "left")
@@ -61,20 +72,20 @@ def _read(cells: Column, at: Column) -> Column:
 
 def _members(values: DataFrame) -> Column:
     """A filter of the one column of ``values``: FILTER cells, four a byte, whatever the input."""
-    cell = values.toDF("v").select(F.pmod("v", F.lit(FILTER)).cast("int").alias("c")).distinct()
+    cell = values.toDF("v").select(F.pmod(F.xxhash64("v"), F.lit(FILTER)).cast("int").alias("c")).distinct()
     bit = F.element_at(F.array(*map(F.lit, _BITS)), F.col("c").bitwiseAND(F.lit(3)) + 1)
     return _cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4)
 
 
 def _maybe(cells: Column, value: Column) -> Column:
-    at = F.pmod(value, F.lit(FILTER)).cast("int")
+    at = F.pmod(F.xxhash64(value), F.lit(FILTER)).cast("int")
     bit = F.element_at(F.array(*map(F.lit, _BITS)), at.bitwiseAND(F.lit(3)) + 1)
     return _read(cells, F.shiftright(at, 2)).bitwiseAND(bit) != 0
 
 
-def sketch(docs: DataFrame) -> Column:
-    """The frequency class of each cell of the sketch, from the tokens of all lines."""
-    token = lines(docs).select(F.explode(F.split("line", " ")).alias("token"))
+def sketch(unique: DataFrame) -> Column:
+    """The frequency class of each cell of the sketch, from the tokens of all distinct lines."""
+    token = unique.select(F.explode(F.split("line", " ")).alias("token"))
     counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
     return _cells(counted.select("cell", F.greatest(F.lit(1), F.least(F.lit(126), F.floor(F.log2("n") * 3))).cast("int").alias("code")), SKETCH)
 
@@ -87,28 +98,15 @@ def tokens(line: Column, classes: Column) -> Column:
 
 
 def prefix_places(n: Column, percent: int) -> Column:
-    """Places that may be needed: 2a + b + 2 at its largest."""
-    share = 2 * (100 - percent) / 100
-    return (F.floor(n * F.lit(share) + 1e-9) + 2).cast("int")
+    """Places among which two similar lines have their first shared token."""
+    return (n - F.ceil(n * F.lit(percent / 100) - 1e-9) + 1).cast("int")
 
 
 def need(nx: Column, ny: Column, percent: int) -> Column:
+    """Tokens that two similar lines of these sizes share at least."""
     return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - 1e-9)
 
 
-def least_shared(nx: Column, ny: Column, percent: int) -> Column:
-    """Neighbours that two similar lines of these sizes share in their prefixes, at least.
-
-    With a and b tokens of one line only, ``min(px - a, py - b)`` shared tokens are in
-    both prefixes of px and py places, and at most a + b of the gaps between them are
-    broken.
-    """
-    shared = need(nx, ny, percent)
-    a, b = nx - shared, ny - shared
-    inside = F.least(prefix_places(nx, percent) - a, prefix_places(ny, percent) - b)
-    return F.greatest(F.lit(1), inside - 1 - a - b)
-
-
 def _shift(x: Column, by: Column) -> Column:
     return F.call_function("shiftleft", x, by.cast("int"))
 
@@ -134,81 +132,97 @@ def unpacked(sized: Column) -> tuple[Column, Column, Column]:
     return n.cast("int"), place.cast("int"), F.when(small, F.shiftright(sized, 24))
 
 
-def may_be(nx: Column, ny: Column, sx: Column, sy: Column, percent: int) -> Column:
-    """Sizes are near enough, and the odd sketches differ in no more bits than tokens may differ."""
+def may_be(zx: Column, zy: Column, percent: int) -> Column:
+    """Whether two lines posted in one list can be similar, with the list's token as the first that they share."""
+    (nx, px, sx), (ny, py, sy) = unpacked(zx), unpacked(zy)
+    shared = need(nx, ny, percent)
     sizes = (ny * 100 >= nx * percent) & (nx * 100 >= ny * percent)
+    first = (px <= nx - shared) & (py <= ny - shared) & (F.least(nx - px, ny - py) >= shared)
     differ = F.coalesce(F.bit_count(sx.bitwiseXOR(sy)), F.lit(0))
-    return sizes & (differ <= nx + ny - 2 * need(nx, ny, percent))
+    return sizes & first & (differ <= nx + ny - 2 * shared)
 
 
-def postings(docs: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """(key, lh, d, sized) of the neighbours in each line's prefix."""
-    each = lines(docs).where("trim(line) <> ''").select("d", F.xxhash64("line").alias("lh"), tokens(F.col("line"), classes).alias("t"))
+def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """(key, id, d, sized) of the tokens in each line's prefix."""
+    each = unique.select("id", "d", tokens(F.col("line"), classes).alias("t"))
     each = each.withColumn("n", F.size("t")).withColumn("odd", odd_sketch(F.col("t"))).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
-    pair = F.transform("p", lambda x, i: F.xxhash64(x, F.when(i > 0, F.element_at(F.col("p"), i)).otherwise(F.lit(0).cast("long"))))
-    listed = each.select("lh", "d", "n", "odd", F.posexplode(pair).alias("place", "key")).where((F.col("place") > 0) | (F.col("n") < SHORT))
-    return listed.select("key", "lh", "d", packed(F.col("n"), F.col("place"), F.col("odd")).alias("sized"))
+    listed = each.select("id", "d", "n", "odd", F.posexplode("p").alias("place", "key"))
+    return listed.select("key", "id", "d", packed(F.col("n"), F.col("place"), F.col("odd")).alias("sized"))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """The (x, y) pairs that are similar enough, on the whole sets of the lines concerned."""
-    pairs = cut(pairs)
-    release(docs.sparkSession)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("lh")).distinct()
+def _ranked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with their places in their lists, under the names of either side of a join (one exchange for both)."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))
+    told = posted.withColumn("rank", rank)
+    return tuple(told.select("key", F.col("id").alias(c), F.col("sized").alias(f"z{c}"), F.col("rank").alias(f"r{c}")) for c in "xy")
+
+
+def later(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
+    """(id): of each similar one of ``pairs`` (x, y; cut) the line that comes later; verified on the whole sets."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     cells = _members(wanted)
-    maybe = lines(docs).select("line", F.xxhash64("line").alias("lh")).where(_maybe(cells, F.col("lh")))
-    kept = maybe.join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
-    sets = cut(kept.select("lh", tokens(F.col("line"), classes).alias("t")))
-    release(docs.sparkSession)
-    a = sets.select(F.col("lh").alias("x"), F.col("t").alias("tx"))
-    b = sets.select(F.col("lh").alias("y"), F.col("t").alias("ty"))
+    told = F.array_remove(F.array_distinct(F.split("line", " ")), "")
+    sets = unique.where(_maybe(cells, F.col("id"))).join(wanted, "id", "left_semi").select("id", F.struct("d", "h", "line_no").alias("at"), told.alias("t"))
+    sets = cut(sets)
+    x, y = (sets.select(F.col("id").alias(c), F.col("at").alias(f"a{c}"), F.col("t").alias(f"t{c}")) for c in "xy")
     shared = F.size(F.array_intersect("tx", "ty"))
-    out = cut(pairs.join(a, "x").join(b, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared)).select("x", "y"))
+    similar = pairs.join(x, "x").join(y, "y").where(100 * shared >= percent * (F.size("tx") + F.size("ty") - shared))
+    out = cut(similar.select(F.when(F.col("ax") > F.col("ay"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct())
     free(sets)
     return out
 
 
-def later(similar: DataFrame, first: DataFrame) -> DataFrame:
-    """(lh): of each pair the line that comes later."""
-    x, y = (first.select(F.col("lh").alias(c), F.col("at").alias(f"a{c}")) for c in "xy")
-    return similar.join(x, "x").join(y, "y").select(F.when(F.col("ax") > F.col("ay"), F.col("x")).otherwise(F.col("y")).alias("lh")).distinct()
-
-
-def removed_lines(docs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """(lh): lines whose first occurrence (``first``: lh, at) comes after a similar line."""
-    spark = docs.sparkSession
-    classes = sketch(docs)
-    # One exchange and one sort by list: equal lines post alike and stay once, then lists of one line go.
-    once = F.row_number().over(Window.partitionBy("key", "lh").orderBy("d"))
-    list_ = Window.partitionBy("key")
-    posted = postings(docs, classes, percent).repartition("key").withColumn("again", once).where("again = 1").drop("again")
-    lead = F.min(F.struct("d", "lh", "sized")).over(list_)
-    told = posted.withColumn("lead", lead).withColumn("lo", F.min("lh").over(list_)).withColumn("hi", F.max("lh").over(list_))
-    live = cut(told.where("lo <> hi").select("key", "lh", "d", "sized", F.col("lead.lh").alias("lead"), F.col("lead.sized").alias("led")))
-    del posted, told
+def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
+    """(id): distinct lines that come after a similar one."""
+    spark = unique.sparkSession
+    posted = cut(postings(unique, sketch(unique), percent))
+    x, y = _ranked(posted)
+    # Not by a plain bound of the rank, for which Spark would limit and exchange the one side apart.
+    y = y.where(F.pmod("ry", F.lit(1 << 30)) <= LEADERS)
+    fits = may_be(F.col("zx"), F.col("zy"), percent)
+    marks = (F.col("rx") == LEADERS + 1) & (F.col("ry") == 1)  # one row of each list that is longer
+    turn = (F.col("ry") < F.col("rx")) & ((F.col("rx") <= LEADERS) | (F.col("ry") == 1))
+    met = x.join(y, "key").where(turn & (fits | marks))
+    met = cut(met.select(F.when(fits, F.col("x")).alias("x"), F.when(fits, F.col("y")).alias("y"), F.when(marks, F.col("key")).alias("key")))
     release(spark)
-
-    n, _, odd = unpacked(F.col("sized"))
-    first_n, _, first_odd = unpacked(F.col("led"))
-    led = live.where((F.col("lh") != F.col("lead")) & may_be(n, first_n, odd, first_odd, percent)).groupBy(F.col("lh").alias("x"), F.col("lead").alias("y"))
-    led = led.agg(F.count("*").alias("shared"), F.first(n).alias("n"))
-    same = least_shared(F.col("n"), F.col("n"), percent)
-    best = led.where(F.col("shared") >= same).groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
-    settled = cut(later(_similar(best, docs, classes, percent), first))
+    pairs = cut(met.where("x is not null").select("x", "y").distinct())
+    gone = later(pairs, unique, percent)
+    free(pairs)
+
+    long = met.where("key is not null").select("key")
+    if not long.limit(1).count():
+        return gone
+    cells = _members(long)
+    live = cut(posted.where(_maybe(cells, F.col("key"))).join(long, "key", "left_semi"))
+    free(posted)
     release(spark)
+    x, y = _ranked(live)
+    x = x.where(F.pmod("rx", F.lit(1 << 30)) > LEADERS).join(gone.select(F.col("id").alias("x")), "x", "left_anti")
+    rest = cut(x.join(y, "key").where((F.col("ry") < F.col("rx")) & fits).select("x", "y").distinct())
+    found = later(rest, unique, percent)
+    free(met, live, rest)
+    return gone.unionByName(found)
 
-    rest = live.join(settled, "lh", "left_anti")
-    x = rest.select("key", F.col("lh").alias("x"), F.col("sized").alias("zx"), F.col("d").alias("dx"))
-    y = live.select("key", F.col("lh").alias("y"), F.col("sized").alias("zy"), F.col("d").alias("dy"))
-    (nx, px, sx), (ny, py, sy) = unpacked(F.col("zx")), unpacked(F.col("zy"))
-    a = need(nx, ny, percent)
-    most = F.least(px, py) + F.least(nx - px, ny - py)
-    near = (px - py <= nx - a) & (py - px <= ny - a)  # places of a shared token differ by tokens of one line only
-    both = x.join(y, "key").where((F.col("dy") <= F.col("dx")) & (F.col("x") != F.col("y")) & may_be(nx, ny, sx, sy, percent) & (most >= a) & near)
-    pairs = both.groupBy("x", "y").agg(F.count("*").alias("shared"), F.first(nx).alias("nx"), F.first(ny).alias("ny"))
-    pairs = pairs.where(F.col("shared") >= least_shared(F.col("nx"), F.col("ny"), percent)).select("x", "y")
-    found = later(_similar(pairs, docs, classes, percent), first)
-    return settled.unionByName(found)
+
+def kept_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """(row, kept, n_lines, n_removed): all columns of ``docs``, the text that stays, and counts of lines."""
+    unique = distinct_lines(docs.select("doc_id", "text"))
+    release(docs.sparkSession)
+    stays = unique.join(removed_lines(unique, percent), "id", "left_anti")
+    places = stays.groupBy("d", "h").agg(F.sort_array(F.collect_set("line_no")).alias("k"))
+    since = lambda i: F.when(i > 0, F.element_at("k", F.greatest(i, F.lit(1)))).otherwise(F.lit(-1))
+    mask = F.array_join(F.transform("k", lambda x, i: F.concat(F.repeat(F.lit("0"), x - since(i) - 1), F.lit("1"))), "")
+    marks = cut(places.select("d", "h", mask.alias("mask")))
+    free(unique)
+    release(docs.sparkSession)
+    rows = docs.select(carried(docs).alias("row")).withColumn("d", _d(F.col("row.doc_id"))).withColumn("h", F.xxhash64("row.text"))
+    joined = rows.join(marks.hint("shuffle_hash"), ["d", "h"], "left")
+    split = F.split("row.text", "\n")
+    stay = lambda x, i: (F.trim(x) == "") | (_read(F.coalesce("mask", F.lit("")).cast("binary"), i) == ord("1"))
+    told = joined.select("row", F.size(split).alias("n"), F.filter(split, stay).alias("left"))
+    n = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n"))
+    lost = F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n") - F.size("left"))
+    return told.select("row", F.array_join("left", "\n").alias("kept"), n.cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -217,30 +231,11 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A null text stays null with no line, an empty one has one line without a token.
     A null id comes after all others.  Rows that repeat an id and text are one
     document and treated alike; rows that share an id only are ordered by a hash of
-    the text.  Columns of ``docs`` called ``n_lines`` or ``n_removed`` are replaced.
+    the text.  An empty table stays empty.  Columns of ``docs`` called ``n_lines`` or
+    ``n_removed`` are replaced; all others stay, whatever their names.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    slim = docs.select("doc_id", "text")
-    numbered = cut(lines(slim).select("d", "h", "line_no", F.xxhash64("line").alias("lh"), (F.trim("line") == "").alias("blank")))
-    first = numbered.where("not blank").groupBy("lh").agg(F.min(F.struct("d", "h", "line_no")).alias("at"))
-    first = cut(first)
-    gone = removed_lines(slim, first, percent).withColumn("gone", F.lit(True))
-    stays = first.join(gone, "lh", "left_anti").select("at.*").withColumn("stays", F.lit(True))
-    keep = F.col("blank") | F.coalesce("stays", F.lit(False))
-    told = numbered.join(stays, ["d", "h", "line_no"], "left").select("d", "h", F.struct("line_no", keep.alias("keep")).alias("s"))
-    flags = told.groupBy("d", "h").agg(F.transform(F.sort_array(F.collect_set("s")), lambda s: s["keep"]).alias("_keep"))
-    flags = cut(flags)
-    release(docs.sparkSession)
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))).withColumn("_h", F.xxhash64("text"))
-    flags = flags.withColumnRenamed("d", "_d").withColumnRenamed("h", "_h")
-    joined = keyed.join(flags.hint("shuffle_hash"), ["_d", "_h"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.element_at(F.col("_keep"), i + 1)), "\n")
-    n = F.coalesce(F.size("_keep"), F.lit(0)).cast("long")
-    out = joined.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept))
-    lost = F.coalesce(F.size(F.filter("_keep", lambda x: ~x)), F.lit(0)).cast("long")
-    some = F.col("_keep").isNotNull()
-    out = out.withColumn("n_lines", F.when(some, n).otherwise(F.lit(0).cast("long"))).withColumn("n_removed", F.when(some, lost).otherwise(F.lit(0).cast("long")))
-    return out.drop("_d", "_h", "_keep")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return kept_lines(docs, percent).select(*restored(columns, text=F.col("kept")), "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
