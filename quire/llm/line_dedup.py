@@ -7,14 +7,27 @@ of 0.8 or more by default, so an equal line as well); lines without a token stay
 Equal lines become one before anything else is done with them (map-side combined, so
 a line that is a third of all lines is one row of each task).  Tokens are ordered by
 rarity: a sketch of fixed size counts the tokens of all distinct lines, and a token's
-key leads with the class of its count.  Prefix filter: of two similar lines of n
-tokens, the first token that both have is among the first ``n - ceil(0.8 n) + 1`` of
-each, so lines are posted under those tokens only, in one list a token.  At that first
-shared token, the length filter (sizes), the positional filter (what can still be
-shared after it) and an odd sketch of the whole line decide whether a pair is a
-candidate; all three are upper bounds of the overlap, so no similar pair is lost.
-Candidates are verified on their whole token sets, which are read again for the lines
-concerned only.
+key leads with the class of its count.  Tokens of cells that count ``RARE`` at most are
+rare, and come first.
+
+Prefix filter.  Let a and b be the tokens that only the one or the other of two similar
+lines has.  The first token that both have is among the first ``n - ceil(0.8 n) + 1`` of
+each, as all before it are in one line only.  So a line is posted under the rare tokens
+among these; such a list has RARE lines at most.  If all of them are rare, that is all.
+Else a similar line may share none of the line's r rare tokens, but then these are r of
+its a.  Of the other tokens of both lines, merged in the order, ``a - r + b`` at most are
+in one line only, and so they leave two shared tokens side by side among the first
+``a - r + b + 2`` shared ones, which are within the first ``2 (a - r) + b + 2`` places.
+As ``2 a + b`` is at most 0.4 n, a line is posted under each pair of neighbours among the
+first ``0.4 n - 2 r + 2`` of its other tokens: two tokens make far shorter lists than one
+that is not rare.  Lines so short that they may share too few tokens for that are posted
+under single tokens, rare or not.
+
+At a token that two lines share, the length filter (sizes), the positional filter (what
+they can share before and after it) and an odd sketch of the whole line decide whether
+they are a candidate pair; all are upper bounds of the overlap, so no similar pair is
+lost.  Candidates are verified on their whole token sets, which are read again for the
+lines concerned only.
 
 Lists are in the order of documents.  Up to ``LEADERS`` lines of a list all meet; the
 rest of a longer one meet its first line only, so that a group of near copies does not
@@ -31,13 +44,13 @@ from quire.llm.common import carried, cut, free, release, restored, table
 
 PERCENT = 80
 #: Cells of the frequency sketch and of the filter of wanted values.
-SKETCH = 1 << 17
+SKETCH = 1 << 18
 FILTER = 1 << 20
+#: Count of a cell up to which its tokens are rare.
+RARE = 256
 #: Lines of a list that all meet.
 LEADERS = 16
 _BITS = (1, 2, 4, 8)
-#: Cells of a line's odd sketch, which with size and place fill one number.
-PARITIES = 39
 _NONE = (1 << 63) - 1
 
 
@@ -87,7 +100,11 @@ def sketch(unique: DataFrame) -> Column:
     """The frequency class of each cell of the sketch, from the tokens of all distinct lines."""
     token = unique.select(F.explode(F.split("line", " ")).alias("token"))
     counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return _cells(counted.select("cell", F.greatest(F.lit(1), F.least(F.lit(126), F.floor(F.log2("n") * 3))).cast("int").alias("code")), SKETCH)
+    return _cells(counted.select("cell", _class(F.col("n")).alias("code")), SKETCH)
+
+
+def _class(count) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(126), F.floor(F.log2(count) * 3))).cast("int")
 
 
 def tokens(line: Column, classes: Column) -> Column:
@@ -102,59 +119,71 @@ def prefix_places(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * F.lit(percent / 100) - 1e-9) + 1).cast("int")
 
 
-def need(nx: Column, ny: Column, percent: int) -> Column:
-    """Tokens that two similar lines of these sizes share at least."""
-    return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent) - 1e-9)
-
+def neighbour_places(n: Column, rare: Column, percent: int) -> Column:
+    """Places of the tokens that are not rare among which two neighbours are shared, if no rare token is."""
+    return (F.floor(n * F.lit(2 * (100 - percent) / 100) + 1e-9) + 2 - 2 * rare).cast("int")
 
-def _shift(x: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", x, by.cast("int"))
 
+def shortest(percent: int) -> int:
+    """The largest size of a line that may share too few tokens with a similar one to have shared neighbours."""
+    if percent <= 50:
+        raise ValueError("similarities of more than 50 % are asked for")
+    most = 2 * (100 + percent) // (2 * percent - 100) + 2
+    few = 0
+    for n in range(1, most):
+        for m in range(n, most * 2):
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared <= n and shared < n + m - 2 * shared + 2:
+                few = m
+    return few
 
-def odd_sketch(t: Column) -> Column:
-    """Of each of PARITIES cells whether an odd number of a line's tokens hash to it: two lines' sketches
-    differ in at most as many cells as there are tokens in one of them only."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_shift(one, F.pmod(x, F.lit(PARITIES)))))
 
+def odd_sketch(t: Column) -> tuple[Column, Column]:
+    """Of each of 128 cells, in two numbers, whether an odd number of a line's tokens are of it: two lines'
+    sketches differ in at most as many cells as there are tokens in one of them only."""
+    one, bit = F.lit(1).cast("long"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))
+    of = lambda marked: F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", marked(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return of(lambda x: one.bitwiseXOR(bit(x))), of(bit)
 
-def packed(n: Column, place: Column, odd: Column) -> Column:
-    """A size, a place and an odd sketch in one number; of lines of 2^12 tokens and more, negative, without the sketch."""
-    small = F.shiftleft(odd, 24).bitwiseOR(F.shiftleft(n.cast("long"), 12)).bitwiseOR(place.cast("long"))
-    return F.when(n < 4096, small).otherwise(-(F.shiftleft(n.cast("long"), 31) + place))
 
+def may_be(percent: int) -> Column:
+    """Whether lines x and y of sizes nx, ny that share the token at places px, py can be similar.
 
-def unpacked(sized: Column) -> tuple[Column, Column, Column]:
-    """(n, place, odd sketch or null)."""
-    small, mask = sized >= 0, F.lit(4095)
-    n = F.when(small, F.shiftright(sized, 12).bitwiseAND(mask)).otherwise(F.shiftright(-sized, 31))
-    place = F.when(small, sized.bitwiseAND(mask)).otherwise((-sized).bitwiseAND(F.lit((1 << 31) - 1)))
-    return n.cast("int"), place.cast("int"), F.when(small, F.shiftright(sized, 24))
-
-
-def may_be(zx: Column, zy: Column, percent: int) -> Column:
-    """Whether two lines posted in one list can be similar, with the list's token as the first that they share."""
-    (nx, px, sx), (ny, py, sy) = unpacked(zx), unpacked(zy)
-    shared = need(nx, ny, percent)
-    sizes = (ny * 100 >= nx * percent) & (nx * 100 >= ny * percent)
-    first = (px <= nx - shared) & (py <= ny - shared) & (F.least(nx - px, ny - py) >= shared)
-    differ = F.coalesce(F.bit_count(sx.bitwiseXOR(sy)), F.lit(0))
-    return sizes & first & (differ <= nx + ny - 2 * shared)
+    Similar lines share ``percent / (100 + percent)`` of ``nx + ny`` at least.  They can
+    share the lesser of what is before the token and of what comes with it and after,
+    which bounds sizes and places at once; and not what their odd sketches tell apart.
+    """
+    both = F.col("nx") + F.col("ny")
+    most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    differ = (F.bit_count(F.col("ox").bitwiseXOR(F.col("oy"))) + F.bit_count(F.col("ex").bitwiseXOR(F.col("ey")))).cast("long")
+    return (differ * (100 + percent) <= both * (100 - percent)) & (most * (100 + percent) >= both * percent)
 
 
 def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """(key, id, d, sized) of the tokens in each line's prefix."""
-    each = unique.select("id", "d", tokens(F.col("line"), classes).alias("t"))
-    each = each.withColumn("n", F.size("t")).withColumn("odd", odd_sketch(F.col("t"))).withColumn("p", F.slice("t", 1, prefix_places(F.col("n"), percent)))
-    listed = each.select("id", "d", "n", "odd", F.posexplode("p").alias("place", "key"))
-    return listed.select("key", "id", "d", packed(F.col("n"), F.col("place"), F.col("odd")).alias("sized"))
+    """(key, id, d, sized, o, e) of the rare tokens in each line's prefix and of the neighbours after them."""
+    each = unique.select("id", "d", tokens(F.col("line"), classes).alias("t")).withColumn("n", F.size("t"))
+    each = each.withColumn("first", prefix_places(F.col("n"), percent))
+    least = F.shiftleft(_class(F.lit(RARE + 1)).cast("long"), 56)  # of the keys that are not rare
+    each = each.withColumn("r", F.size(F.filter(F.slice("t", 1, F.col("first")), lambda x: x < least)))
+    single = F.when(F.col("n") <= shortest(percent), F.col("first")).otherwise(F.col("r"))
+    places = F.when(F.col("r") < F.col("first"), F.greatest(F.lit(1), neighbour_places(F.col("n"), F.col("r"), percent))).otherwise(F.lit(1))
+    each = each.withColumn("s", single).withColumn("rest", F.slice("t", F.col("r") + 1, places))
+    o, e = odd_sketch(F.col("t"))
+    after = F.concat(F.slice("t", 1, F.col("s")), F.slice("rest", 2, F.col("n")))
+    before = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("s")), F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - 1)))
+    listed = each.select("id", "d", "n", o.alias("o"), e.alias("e"), "s", "r", F.posexplode(F.arrays_zip(after.alias("a"), before.alias("b"))).alias("i", "p"))
+    lone = F.col("i") < F.col("s")
+    key = F.when(lone, F.col("p.a")).otherwise(F.xxhash64("p.a", "p.b"))
+    place = F.when(lone, F.col("i")).otherwise(F.col("i") - F.col("s") + 1 + F.col("r"))
+    return listed.select(key.alias("key"), "id", "d", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("sized"), "o", "e")
 
 
 def _ranked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their places in their lists, under the names of either side of a join (one exchange for both)."""
     rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))
-    told = posted.withColumn("rank", rank)
-    return tuple(told.select("key", F.col("id").alias(c), F.col("sized").alias(f"z{c}"), F.col("rank").alias(f"r{c}")) for c in "xy")
+    n, place = F.shiftright("sized", 32), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))
+    told = posted.withColumn("rank", rank).select("key", "id", n.alias("n"), place.alias("p"), "o", "e", F.col("rank").alias("r"))
+    return tuple(told.select("key", F.col("id").alias(c), *(F.col(v).alias(v + c) for v in "npoer")) for c in "xy")
 
 
 def later(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +208,7 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
     x, y = _ranked(posted)
     # Not by a plain bound of the rank, for which Spark would limit and exchange the one side apart.
     y = y.where(F.pmod("ry", F.lit(1 << 30)) <= LEADERS)
-    fits = may_be(F.col("zx"), F.col("zy"), percent)
+    fits = may_be(percent)
     marks = (F.col("rx") == LEADERS + 1) & (F.col("ry") == 1)  # one row of each list that is longer
     turn = (F.col("ry") < F.col("rx")) & ((F.col("rx") <= LEADERS) | (F.col("ry") == 1))
     met = x.join(y, "key").where(turn & (fits | marks))
