@@ -169,9 +169,10 @@ def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
     places = F.when(F.col("r") < F.col("first"), F.greatest(F.lit(1), neighbour_places(F.col("n"), F.col("r"), percent))).otherwise(F.lit(1))
     each = each.withColumn("s", single).withColumn("rest", F.slice("t", F.col("r") + 1, places))
     o, e = odd_sketch(F.col("t"))
+    each = each.withColumn("o", o).withColumn("e", e)  # once a line, before there is a row a posting
     after = F.concat(F.slice("t", 1, F.col("s")), F.slice("rest", 2, F.col("n")))
     before = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("s")), F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - 1)))
-    listed = each.select("id", "d", "n", o.alias("o"), e.alias("e"), "s", "r", F.posexplode(F.arrays_zip(after.alias("a"), before.alias("b"))).alias("i", "p"))
+    listed = each.select("id", "d", "n", "o", "e", "s", "r", F.posexplode(F.arrays_zip(after.alias("a"), before.alias("b"))).alias("i", "p"))
     lone = F.col("i") < F.col("s")
     key = F.when(lone, F.col("p.a")).otherwise(F.xxhash64("p.a", "p.b"))
     place = F.when(lone, F.col("i")).otherwise(F.col("i") - F.col("s") + 1 + F.col("r"))
