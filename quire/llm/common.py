@@ -46,8 +46,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the writer, and read it back.
 
     The result has no lineage, so a lost executor costs no recomputation of what
     came before, and what was written (hash salts, arbitrary choices) stays fixed.
@@ -55,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     del df
     out = spark.read.schema(schema).parquet(path)
     out._cut = path

@@ -37,6 +37,8 @@ others of their lists.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ FILTER = 1 << 20
 RARE = 256
 #: Lines of a list that all meet.
 LEADERS = 16
+#: Parts of the lists that are shuffled one after the other, which bounds the disk they take at once.
+PASSES = 2
 _BITS = (1, 2, 4, 8)
 _NONE = (1 << 63) - 1
 
@@ -67,7 +71,7 @@ def _d(doc_id: Column) -> Column:
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(id, line, d, h, line_no) of each distinct line that has a token: where it occurs first."""
     first = lines(docs).where("trim(line) <> ''").groupBy("line").agg(F.min(F.struct("d", "h", "line_no")).alias("at"))
-    return cut(first.select("line", "at.*").withColumn("id", F.monotonically_increasing_id()))
+    return cut(first.select("line", "at.*").withColumn("id", F.monotonically_increasing_id()), compression="zstd")
 
 
 def _cells(codes: DataFrame, size: int) -> Column:
@@ -179,12 +183,16 @@ def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
     return listed.select(key.alias("key"), "id", "d", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("sized"), "o", "e")
 
 
+def _named(posted: DataFrame) -> DataFrame:
+    """Postings under short names: i of the line, n its size, p the place, o and e its sketch, d its document, r the rank."""
+    n, place = F.shiftright("sized", 32), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))
+    return posted.select("key", F.col("id").alias("i"), n.alias("n"), place.alias("p"), "o", "e", "d", F.col("rank").alias("r"))
+
+
 def _ranked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their places in their lists, under the names of either side of a join (one exchange for both)."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))
-    n, place = F.shiftright("sized", 32), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))
-    told = posted.withColumn("rank", rank).select("key", "id", n.alias("n"), place.alias("p"), "o", "e", F.col("rank").alias("r"))
-    return tuple(told.select("key", F.col("id").alias(c), *(F.col(v).alias(v + c) for v in "npoer")) for c in "xy")
+    told = _named(posted.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))))
+    return tuple(told.select("key", F.col("i").alias(c), *(F.col(v).alias(v + c) for v in "npoer")) for c in "xy")
 
 
 def later(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
@@ -206,31 +214,41 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
     """(id): distinct lines that come after a similar one."""
     spark = unique.sparkSession
     posted = cut(postings(unique, sketch(unique), percent))
-    x, y = _ranked(posted)
-    # Not by a plain bound of the rank, for which Spark would limit and exchange the one side apart.
-    y = y.where(F.pmod("ry", F.lit(1 << 30)) <= LEADERS)
-    fits = may_be(percent)
+    parts = [posted.where(F.pmod(F.xxhash64("key"), F.lit(PASSES)) == i) for i in range(PASSES)]
+    fits, met = may_be(percent), []
     marks = (F.col("rx") == LEADERS + 1) & (F.col("ry") == 1)  # one row of each list that is longer
     turn = (F.col("ry") < F.col("rx")) & ((F.col("rx") <= LEADERS) | (F.col("ry") == 1))
-    met = x.join(y, "key").where(turn & (fits | marks))
-    met = cut(met.select(F.when(fits, F.col("x")).alias("x"), F.when(fits, F.col("y")).alias("y"), F.when(marks, F.col("key")).alias("key")))
-    release(spark)
-    pairs = cut(met.where("x is not null").select("x", "y").distinct())
+    for part in parts:
+        x, y = _ranked(part)
+        # Not by a plain bound of the rank, for which Spark would limit and exchange the one side apart.
+        y = y.where(F.pmod("ry", F.lit(1 << 30)) <= LEADERS)
+        both = x.join(y, "key").where(turn & (fits | marks))
+        met.append(cut(both.select(F.when(fits, F.col("x")).alias("x"), F.when(fits, F.col("y")).alias("y"), F.when(marks, F.col("key")).alias("key"))))
+        del x, y, both
+        release(spark)
+    whole = reduce(DataFrame.unionByName, met)
+    pairs = cut(whole.where("x is not null").select("x", "y").distinct())
     gone = later(pairs, unique, percent)
     free(pairs)
+    release(spark)
 
-    long = met.where("key is not null").select("key")
+    long = whole.where("key is not null").select("key")
     if not long.limit(1).count():
         return gone
-    cells = _members(long)
-    live = cut(posted.where(_maybe(cells, F.col("key"))).join(long, "key", "left_semi"))
+    is_long, settled, rest = _members(long), _members(gone), []
+    for part in parts:
+        live = part.where(_maybe(is_long, F.col("key")))
+        sure = live.where(~_maybe(settled, F.col("id")))
+        left = live.where(_maybe(settled, F.col("id"))).join(gone, "id", "left_anti").select(*sure.columns)
+        x, y = (_named(df.withColumn("rank", F.lit(0))).select("key", *(F.col(v).alias(f"{v}{c}") for v in "inpoed")) for c, df in (("x", sure.unionByName(left)), ("y", live)))
+        before = (F.col("dy") < F.col("dx")) | (F.col("dy") == F.col("dx")) & (F.col("iy") < F.col("ix"))
+        rest.append(cut(x.join(y, "key").where(before & fits).select(F.col("ix").alias("x"), F.col("iy").alias("y")).distinct()))
+        del live, sure, left, x, y
+        release(spark)
     free(posted)
-    release(spark)
-    x, y = _ranked(live)
-    x = x.where(F.pmod("rx", F.lit(1 << 30)) > LEADERS).join(gone.select(F.col("id").alias("x")), "x", "left_anti")
-    rest = cut(x.join(y, "key").where((F.col("ry") < F.col("rx")) & fits).select("x", "y").distinct())
-    found = later(rest, unique, percent)
-    free(met, live, rest)
+    pairs = cut(reduce(DataFrame.unionByName, rest).distinct())
+    found = later(pairs, unique, percent)
+    free(*met, *rest, pairs)
     return gone.unionByName(found)
 
 
