@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -40,10 +41,15 @@ def restored(columns: list[str], row: str = "row", **replaced: Column) -> list[C
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The first collection lets go of what Python held, the second of what that held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     pa.default_memory_pool().release_unused()
-    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame, **options: str) -> DataFrame:
