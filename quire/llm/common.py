@@ -30,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by names that may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def carried(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct, so that no name in a plan clashes with one of the caller's."""
-    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return F.struct(*quoted(docs.columns))
 
 
 def restored(columns: list[str], row: str = "row", **replaced: Column) -> list[Column]:

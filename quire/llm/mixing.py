@@ -4,7 +4,7 @@ Token counts are aggregated per source (map-side combined, so a source with a
 third of all rows is one small partial row per task).  Targets come from filling
 the sources in order of the rate at which they reach their cap; each document is
 then emitted floor(rate) times, plus once more if a draw seeded by a hash of its
-id is below the rate's fraction.  Reruns agree because nothing else is random.
+id and text is below the rate's fraction.  Reruns agree because nothing else is random.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import carried, restored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -24,9 +24,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from 52 bits of a hash; a null id draws as an empty one."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from 52 bits of a hash of id and text; null draws as empty."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
@@ -52,26 +52,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return held.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * rest).alias("target"))
 
 
+def rated(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
+    """(row, size, source_size, target, copies): all columns of ``docs`` as one struct, and what is made of each row."""
+    rows = docs.select(carried(docs).alias("row"), F.col("source").alias("own"), size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
+    sizes = docs.select("source", size_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    out = rows.join(targets(sizes, **how), F.col("own").eqNullSafe(F.col("source")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate).cast("long") + (F.col("drawn") < rate - F.floor(rate)).cast("long")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``.
 
     Null texts have size 0 and null sources form one source; an empty table stays
-    empty; repeated rows draw alike.  Columns of ``docs`` with these names are replaced.
+    empty; rows that share id and text draw alike, others apart, also without an id.
+    Columns of ``docs`` with these four names are replaced; all others stay.
     """
-    docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
-    rates = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
-    rates = rates.withColumnRenamed("source", "_source")
-    out = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]), "left").drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return out.withColumn("copies", F.floor(rate).cast("long") + extra)
+    made = ["size", "source_size", "target", "copies"]
+    return rated(docs, seed, **how).select(*restored([c for c in docs.columns if c not in made]), *made)
 
 
 def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    columns = docs.columns
+    """The mix itself: the columns of ``docs``, whatever their names, each row as often as it is taken."""
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mix(docs, **how).where("copies > 0").withColumn("_copy", copies).select(*columns)
+    return rated(docs, **how).where("copies > 0").select("row", copies).select(*restored(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,7 @@ def rates_sql(docs: str) -> str:
         ELSE weight * (SELECT max(level) FROM levels WHERE ratio > level) END AS target FROM levels),
     rated_docs AS (SELECT d.*, r.source_size, r.target,
         CASE WHEN r.source_size > 0 THEN r.target / r.source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+        ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(d.text, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
         FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
     mixed AS (SELECT *, floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT AS copies FROM rated_docs)"""
 

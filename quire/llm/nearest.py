@@ -123,16 +123,17 @@ def search(
     Both have (vec_id, embedding).  Vectors that are null, zero or hold null or
     non-finite components take no part, nor does a null id; vectors of other lengths
     are no candidates; a query's own id is no candidate; ties go to the smaller id.
-    Repeated rows count once; a block that is smaller than ``least`` is searched whole,
-    so ``k`` are returned wherever there are as many.
+    Rows that repeat an id are one vector, the smallest usable of theirs.  A block that
+    is smaller than ``least`` is searched whole, so ``k`` are returned wherever there are
+    as many.  An empty table gives no rows; no other column is read.
     """
-    both = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    both = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest.
-    ranked = both(vectors).withColumn("h", F.xxhash64("embedding")).groupBy("vec_id", "h", "embedding").agg(F.lit(1).alias("one"))
+    ranked = both(vectors).withColumn("h", F.xxhash64("embedding"))
     first = Window.partitionBy("h", "embedding").orderBy("vec_id")
     few = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = cut(few.groupBy("h", "embedding").agg(F.min("vec_id").alias("vid"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    asked = cut(both(queries).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding"))
+    asked = cut(both(queries).select(F.col("vec_id").alias("query_id"), "embedding"))
     sample = distinct.orderBy(F.xxhash64("h", "vid"), "vid").limit(pivots).select("embedding").collect()
     by: dict[int, list] = {}
     for row in sample:

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm import words
-from quire.llm.common import cut, table
+from quire.llm.common import carried, cut, quoted, table
 
 #: Labelled documents that the models are fitted to at most (those of smallest hash).
 SAMPLE = 20_000
@@ -30,6 +31,8 @@ FEATURES = 3000
 SINGLE = 40
 GROUPS = 8
 FOLDS = 5
+#: Rows of a batch that go back to Spark at once.
+SLICE = 1000
 HEADS = (4, 5, 6)
 PATTERNS = 4
 
@@ -163,11 +166,15 @@ def _fit(rows: list[np.ndarray], n: int, target: np.ndarray, start: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = FEATURES) -> Model:
-    """The classifier; documents with several labels count as toxic if one says so, null labels are unknown."""
+    """The classifier; documents with several labels count as toxic if one says so, null labels are unknown.
+
+    Rows that repeat an id are one document of the sample, with the smallest of their texts.
+    """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 0)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most SAMPLE rows of two numbers
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     keys, odds, support = lexicon(texts, limit)
     if not len(keys):
         share = texts.agg(F.avg("toxic")).first()[0] or 0.0
@@ -209,29 +216,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
     return Model(ranked, _fit(lists, n, post, start))
 
 
-def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with ``score``; reads nothing but ``text``, null being empty."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, text, score): the text of ``docs``, the score that is read off it, and all other columns as one struct.
+
+    A null text is scored as an empty one and stays null.  Every row has its own score,
+    which depends on its text alone: ties and repeated rows are scored alike, an empty
+    table gives an empty one, and no column's name matters but that of the text.
+    """
     keys, weights = model.keys, model.weights
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select((carried(docs.select(*quoted(others))) if others else F.struct(F.lit(0))).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.zeros(0)]
-            for first, end, data, offsets in words.chunks(batch.column(batch.num_columns - 1)):
-                row, at = _hits(data, offsets, keys)
-                z = np.bincount(row, weights=weights[at], minlength=end - first) if len(keys) else np.zeros(end - first)
-                z = z + _patterns(data, offsets) @ weights[len(keys) : len(keys) + PATTERNS] + weights[-1]
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], [*batch.schema.names[:-1], "score"])
+            for lo in range(0, batch.num_rows, SLICE):
+                some = batch.slice(lo, SLICE)
+                out = [np.zeros(0)]
+                for first, end, data, offsets in words.chunks(some.column(1)):
+                    row, at = _hits(data, offsets, keys)
+                    z = np.bincount(row, weights=weights[at], minlength=end - first) if len(keys) else np.zeros(end - first)
+                    z = z + _patterns(data, offsets) @ weights[len(keys) : len(keys) + PATTERNS] + weights[-1]
+                    out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.concatenate(out))], ["row", "text", "score"])
 
-    text = F.col("text").cast("string").alias("_text")
-    return docs.select(*carry, text).mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
-    out = score(docs, model, ["doc_id"])
+    out = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -256,6 +256,13 @@ def test_footrule():
             assert d == sum(abs(a.get(p, 5) - b.get(p, 5)) for p in range(12)) + 0 * len(a)
 
 
+def test_nearest_takes_one_vector_of_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 0.2]), (3, [0.1, 1.0]), (4, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.search(vectors, vectors.where("vec_id % 20 = 0")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == [(20, 1, 3, 1.0), (20, 2, 4, 0.5)]
+
+
 def test_nearest_odd(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (20, [1.0, 0.5]), (40, []), (6, [1.0, 2.0, 3.0]), (7, [float("inf"), 0.0]), (21, [1.0, 0.5])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -468,7 +475,7 @@ def test_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    rows = [(toxicity.fold_of(r["doc_id"]) == 0, truth.get(r["doc_id"]), r["score"] >= 0.5) for r in toxicity.score(docs, model, ["doc_id"]).collect()]
+    rows = [(toxicity.fold_of(r["doc_id"]) == 0, truth.get(r["doc_id"]), r["score"] >= 0.5) for r in toxicity.score(docs, model).select("row.doc_id", "score").collect()]
     held = [(t, p) for h, t, p in rows if h and t is not None]
     hits, bad, said = sum(t and p for t, p in held), sum(t for t, _ in held), sum(p for _, p in held)
     assert hits >= 0.8 * bad and hits >= 0.9 * said and len(held) > 300
@@ -477,10 +484,11 @@ def test_toxicity_held_out(spark):
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, None), (7, 1, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
-    rows = toxicity.score(odd, model, ["doc_id", "key"]).collect()
-    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    rows = toxicity.score(odd, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 and r["row"]["key"] == "k" for r in rows)
     empty = toxicity.train(none, labels.where("false"))
-    assert toxicity.score(none, empty, ["doc_id"]).count() == 0 and len(toxicity.score(odd, empty, ["doc_id"]).collect()) == len(ODD)
+    assert toxicity.score(none, empty).count() == 0 and len(toxicity.score(odd, empty).collect()) == len(ODD)
+    assert toxicity.score(odd.select("text"), empty).count() == len(ODD)
 
 
 # -- 10 vector dedup --------------------------------------------------------------
@@ -581,3 +589,47 @@ def test_pipeline_odd(spark, odd):
     again = odd.unionByName(odd)
     assert len(stages.distinct_documents(spark, again, SMALL).collect()) == 9
     assert {r["doc_id"] for r in stages.unrepeated_lines(spark, odd, SMALL).collect()} == {1, 2, 3, 4, None, 5, 6, 8}
+
+
+CLASHES = [
+    "score", "_text", "size", "source_size", "target", "copies", "_id", "_copy", "n_lines", "n_removed", "_d", "_h", "_keep", "key", "component_id",
+    "row", "id", "d", "h", "kept", "mask", "place", "own", "drawn", "toxic", "line", "a.b", "sequence_id", "doc_tokens",
+]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs = spark.createDataFrame(ODD, DOCS)
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(f"mine {i}"))
+    return docs
+
+
+@pytest.mark.parametrize("stage", ["clean", "unrepeated_lines", "distinct_documents", "mixed"])
+def test_stages_keep_columns_that_clash(spark, clashing, stage):
+    from quire.llm import stages
+
+    out = getattr(stages, stage)(spark, clashing, SMALL)
+    rows = out.collect()
+    assert out.columns == clashing.columns and rows
+    assert all(r[name] == f"mine {i}" for r in rows for i, name in enumerate(CLASHES))
+
+
+def test_operators_read_past_columns_that_clash(spark, clashing):
+    plain = spark.createDataFrame(ODD, DOCS)
+    same = lambda f, *names: sorted(map(repr, f(clashing).select(*names).collect())) == sorted(map(repr, f(plain).select(*names).collect()))
+    assert same(line_dedup.dedup, "doc_id", "text", "n_lines", "n_removed")
+    assert same(mixing.mix, "doc_id", "size", "source_size", "target", "copies")
+    assert same(ngram_join.join, "doc_id", "n_shingles", "component_id")
+    assert same(packing.pack, "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+
+
+def test_pipeline_runs_on_odd_and_empty_tables(spark, clashing, none, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for name, docs, labelled in (("odd", clashing, labels), ("none", none, labels.where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labelled.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (name == "odd") == bool(rows) and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
