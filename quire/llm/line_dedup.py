@@ -74,24 +74,23 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return cut(first.select("line", "at.*").withColumn("id", F.monotonically_increasing_id()), compression="zstd")
 
 
-def _cells(codes: DataFrame, size: int) -> Column:
-    """A constant of ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or 1."""
+def _cells(codes: DataFrame, size: int) -> DataFrame:
+    """One row with ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or 1."""
     whole = codes.sparkSession.range(size).select(F.col("id").cast("int").alias("cell")).join(codes, "cell", "left")
     each = F.struct("cell", F.char(F.coalesce("code", F.lit(1)).cast("long")).alias("c"))
-    text = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["c"]), "").alias("text")).first()["text"]
-    return F.lit(text).cast("binary")
+    return whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["c"]), "").cast("binary").alias("cells"))
 
 
 def _read(cells: Column, at: Column) -> Column:
-    """The byte at a place of such a constant."""
+    """The byte at a place of such bytes."""
     return F.ascii(F.substring(cells, (at + 1).cast("int"), 1).cast("string"))
 
 
 def _members(values: DataFrame) -> Column:
-    """A filter of the one column of ``values``: FILTER cells, four a byte, whatever the input."""
+    """A filter of the one column of ``values``: FILTER cells, four a byte, whatever the input; read by a scalar subquery."""
     cell = values.toDF("v").select(F.pmod(F.xxhash64("v"), F.lit(FILTER)).cast("int").alias("c")).distinct()
     bit = F.element_at(F.array(*map(F.lit, _BITS)), F.col("c").bitwiseAND(F.lit(3)) + 1)
-    return _cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4)
+    return cut(_cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4)).scalar()
 
 
 def _maybe(cells: Column, value: Column) -> Column:
@@ -104,7 +103,7 @@ def sketch(unique: DataFrame) -> Column:
     """The frequency class of each cell of the sketch, from the tokens of all distinct lines."""
     token = unique.select(F.explode(F.split("line", " ")).alias("token"))
     counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return _cells(counted.select("cell", _class(F.col("n")).alias("code")), SKETCH)
+    return F.lit(bytes(_cells(counted.select("cell", _class(F.col("n")).alias("code")), SKETCH).first()["cells"]))
 
 
 def _class(count) -> Column:
