@@ -5,9 +5,11 @@ same label (the first is their home), shards above a bounded size are split into
 blocks, and each block builds a graph whose edges are robustly pruned.  The adjacency
 lists of a node from all its shards are united.  Every node is then searched for in
 the graph of its home, greedily from the medoid with a beam and then outwards over
-all nodes in range; each link is verified by its cosine in double precision.  Links
-inside a home are counted there, only links across homes or blocks are sent on as
-pairs.  A sample of nodes is compared with all others to audit the recall per node, of
+all nodes in range; each link is verified by its cosine in double precision.  A link
+that could be found from the homes of both its nodes belongs to one of them, the
+smaller, and one between blocks of a home to the turn of the smaller block; so every
+task counts the links it owns and sends on a count a node and a forest that connects
+them, and no pair is ever a row.  A sample of nodes is compared with all others to audit the recall per node, of
 those with few links and with many, and the overlap is doubled if it is too low.  If
 an overlap of 32 is not enough, all blocks of a label are compared.
 """
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, cut, table
+from quire.llm.common import components, cut, free, table
 from quire.llm.vectors import matrix, usable
 
 LEAST = 0.93
@@ -34,6 +36,8 @@ DEGREE = 24
 BEAM = 16
 ALPHA = 1.2
 AUDITED = 2000
+#: Pairs of vectors that are gathered at once.
+GATHER = 1 << 14
 #: Links up to which a node is audited apart from those of large groups.
 FEW = 10
 RECALL = 0.95
@@ -128,14 +132,14 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own:
         fr, fv = np.nonzero(hits)
         while len(fr):
             next_r, next_v = [], []
-            for at in range(0, len(fr), 8192):
-                near = graph[fv[at : at + 8192]]
-                r, v = np.repeat(fr[at : at + 8192], near.shape[1]), near.ravel()
+            for at in range(0, len(fr), 4096):
+                near = graph[fv[at : at + 4096]]
+                r, v = np.repeat(fr[at : at + 4096], near.shape[1]), near.ravel()
                 fresh = ~seen[r, v]
                 key = np.unique(r[fresh] * (n + 1) + v[fresh])
                 r, v = key // (n + 1), key % (n + 1)
                 seen[r, v] = True
-                hit = np.einsum("ij,ij->i", q[r], ext[v]) >= least
+                hit = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", q[r[k : k + GATHER]], ext[v[k : k + GATHER]]) >= least for k in range(0, len(r), GATHER))])
                 hits[r[hit], v[hit]] = True
                 next_r.append(r[hit])
                 next_v.append(v[hit])
@@ -143,6 +147,26 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own:
     return found
 
 
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of edges that connect the rows and columns of a relation as it does, fewer than there are of both."""
+    rows, cols = linked.any(axis=1), linked.any(axis=0)
+    a, b = [], []
+    while rows.any():
+        front = np.array([int(np.argmax(rows))])
+        rows[front] = False
+        while len(front):
+            new = np.flatnonzero(linked[front].any(axis=0) & cols)
+            cols[new] = False
+            a.append(front[np.argmax(linked[np.ix_(front, new)], axis=0)])
+            b.append(new)
+            front = np.flatnonzero(linked[:, new].any(axis=1) & rows)
+            rows[front] = False
+            a.append(front)
+            b.append(new[np.argmax(linked[np.ix_(front, new)], axis=1)] if len(front) else new[:0])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
 def _assign(centroids: dict[str, np.ndarray], overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +174,7 @@ def _assign(centroids: dict[str, np.ndarray], overlap: int):
                 continue
             label = np.array(batch.column(1).to_pylist(), object)
             vectors = batch.column(2).to_pylist()
-            rows, cells, homes = [], [], []
+            rows, cells, homes, lists = [], [], [], []
             for name in set(label.tolist()):
                 own = np.flatnonzero(label == name)
                 points = centroids.get(name)
@@ -162,8 +186,9 @@ def _assign(centroids: dict[str, np.ndarray], overlap: int):
                     rows += [i] * len(ids)
                     cells += ids.tolist()
                     homes += [True] + [False] * (len(ids) - 1)
+                    lists += [ids.tolist()] * len(ids)
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64()), pa.array(homes)], ["cid", "label", "v", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64()), pa.array(homes), pa.array(lists, pa.list_(pa.int64()))], ["cid", "label", "v", "cell", "home", "cells"])
 
     return run
 
@@ -194,14 +219,14 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 def _search(least: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Rows (x, y, n): links of x counted here (y null), a pair across homes or blocks (n null), or an edge of a home's forest (n -1)."""
+        """Rows (x, y, n): links of x owned here (y null), or an edge of a forest of them (n null)."""
         nodes, asked = rows[rows["node"]], rows[~rows["node"]]
-        cid, home = nodes["cid"].to_numpy(), nodes["home"].to_numpy()
+        own_turn = key[3] == key[4]
         empty = pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        if not len(cid):
+        if not len(nodes) or not (own_turn or len(asked)):
             return empty
-        order = np.argsort(cid)
-        nodes, cid, home = nodes.iloc[order], cid[order], home[order]
+        nodes = nodes.iloc[np.argsort(nodes["cid"].to_numpy())]
+        cid, home, copies = nodes["cid"].to_numpy(), nodes["home"].to_numpy(), nodes["copies"].to_numpy()
         unit = np.stack(nodes["v"].to_numpy())
         unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
         lists = []
@@ -210,29 +235,37 @@ def _search(least: float):
             at = np.minimum(np.searchsorted(cid, near), len(cid) - 1)
             lists.append(at[cid[at] == near] if len(near) else np.zeros(0, np.int64))
         graph = padded(lists, len(cid))
-        copies = nodes["copies"].to_numpy()
-        parts = []
-        if len(asked):  # homes of other blocks of this cell
-            q = np.stack(asked["v"].to_numpy())
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            a, b = np.nonzero(range_search(unit, graph, q, np.full(len(q), -1), least))
-            parts.append((asked["cid"].to_numpy()[a], cid[b], None))
-        elif key[3] == key[4]:  # a block's own turn
+        if own_turn:
             at = np.flatnonzero(home)
+            if not len(at):
+                return empty
+            some = nodes.iloc[at]
             hits = range_search(unit, graph, unit[at], at, least)
-            a, b = np.nonzero(hits[:, ~home])
-            parts.append((cid[at[a]], cid[np.flatnonzero(~home)[b]], None))
-            own = hits[:, home]
-            own |= own.T
-            np.fill_diagonal(own, False)
-            links_ = own @ copies[home]
-            linked = np.flatnonzero(links_)
-            parts.append((cid[at[linked]], None, links_[linked]))
-            root = _roots(own)
-            moved = np.flatnonzero(root != np.arange(len(at)))
-            parts.append((cid[at[moved]], cid[at[root[moved]]], np.full(len(moved), -1)))
-        out = [pd.DataFrame({"x": x, "y": pd.array([None] * len(x) if y is None else y, "Int64"), "n": pd.array([None] * len(x) if n is None else n, "Int64")}) for x, y, n in parts]
-        return pd.concat(out) if out else empty
+            hits[:, at] |= hits[:, at].T
+            hits[np.arange(len(at)), at] = False
+        else:  # homes of another block of this cell
+            some, q = asked, np.stack(asked["v"].to_numpy())
+            hits = range_search(unit, graph, q / np.linalg.norm(q, axis=1, keepdims=True), np.full(len(q), -1), least)
+            if key[4] > key[3]:
+                hits[:, home] = False
+        # The link to a node of another home is that home's, if it is the smaller and meets this node too.
+        away = np.array([c[0] for c in nodes["cells"]], np.int64)
+        there = np.array([list(c) for c in some["cells"]], np.int64)
+        smaller = away < key[2]
+        for column in there.T:
+            hits &= ~(smaller & (column[:, None] == away))
+        who, own = some["cid"].to_numpy(), some["copies"].to_numpy()
+        n = hits @ copies
+        back = own @ hits
+        if own_turn:
+            back[home] = 0  # both directions are in the rows
+        x, y = np.flatnonzero(n), np.flatnonzero(back)
+        a, b = forest(hits)
+        none = lambda k: [None] * k
+        return pd.DataFrame({
+            "x": np.concatenate([who[x], cid[y], who[a]]), "y": pd.array(none(len(x) + len(y)) + cid[b].tolist(), "Int64"),
+            "n": pd.array(n[x].tolist() + back[y].tolist() + none(len(a)), "Int64"),
+        })
 
     return run
 
@@ -247,7 +280,7 @@ def links(nodes: DataFrame, least: float, overlap: int, shard: int = SHARD, bloc
         v = np.array(row["v"])
         centroids.setdefault(row["label"], {}).setdefault(len(v), []).append((i, v / np.linalg.norm(v)))
     centroids = {k: {d: (np.array([i for i, _ in x]), np.stack([v for _, v in x])) for d, x in by.items()} for k, by in centroids.items()}
-    placed = nodes.select("cid", "label", "v").mapInArrow(_assign(centroids, overlap), "cid long, label string, v array<double>, cell long, home boolean")
+    placed = nodes.select("cid", "label", "v").mapInArrow(_assign(centroids, overlap), "cid long, label string, v array<double>, cell long, home boolean, cells array<long>")
     placed = placed.withColumn("dims", F.size("v"))
     cell = ["label", "dims", "cell"]
     sizes = placed.groupBy(*cell).count().select(*cell, F.ceil(F.col("count") / block).cast("long").alias("blocks"))
@@ -258,15 +291,10 @@ def links(nodes: DataFrame, least: float, overlap: int, shard: int = SHARD, bloc
     joined = placed.join(graph, "cid").withColumn("j", every).withColumn("node", F.lit(True))
     asked = placed.where("home and blocks > 1").withColumn("near", F.lit(None).cast("array<long>")).withColumn("j", F.col("i")).drop("i").withColumn("i", every)
     asked = asked.where("i <> j").withColumn("node", F.lit(False)).select(*joined.columns)
-    found = joined.unionByName(asked).groupBy(*cell, "i", "j").applyInPandas(_search(least), "x long, y long, n long")
-    found = cut(found)
-    across = found.where("n is null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = cut(across)
-    both = across.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(across.select(F.col("b").alias("cid"), F.col("a").alias("other")))
-    counted = both.join(nodes.select(F.col("cid").alias("other"), "copies"), "other").groupBy("cid").agg(F.sum("copies").alias("n"))
-    inside = found.where("y is null").select(F.col("x").alias("cid"), "n")
-    total = inside.unionByName(counted).groupBy("cid").agg(F.sum("n").alias("n"))
-    return total, across.unionByName(found.where("n = -1").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = cut(joined.unionByName(asked).groupBy(*cell, "i", "j").applyInPandas(_search(least), "x long, y long, n long"))
+    free(placed)
+    total = found.where("y is null").groupBy(F.col("x").alias("cid")).agg(F.sum("n").alias("n"))
+    return total, found.where("n is null").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _exact(least: float):

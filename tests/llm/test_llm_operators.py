@@ -539,6 +539,37 @@ def test_vector_dedup_counts_no_link_twice(spark):
         assert all(n <= want[i] for i, n in got.items())
 
 
+def test_vector_dedup_over_shards_and_blocks(spark):
+    """Overlapping shards, united lists and blocks that meet: counts and components against brute force."""
+    rng = np.random.default_rng(5)
+    start = [rng.normal(size=16)] * 300 + [v for v in rng.normal(size=(60, 16)) for _ in range(5)] + list(rng.normal(size=(200, 16)))
+    unit = np.array([v + 0.1 * rng.normal(size=16) for v in start])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    copies = rng.integers(1, 4, len(unit))
+    near = unit @ unit.T >= vector_dedup.LEAST
+    np.fill_diagonal(near, False)
+    nodes = spark.createDataFrame([(i, "a", v.tolist(), int(c)) for i, (v, c) in enumerate(zip(unit, copies, strict=True))], "cid long, label string, v array<double>, copies long")
+    for overlap, shard, block in ((4, 50, 64), (8, 100, 32)):
+        counted, edges = vector_dedup.links(nodes, vector_dedup.LEAST, overlap, shard, block)
+        got, want = {r["cid"]: r["n"] for r in counted.collect()}, near @ copies
+        assert all(n <= want[i] for i, n in got.items()) and sum(got.values()) >= 0.95 * want.sum()
+        pairs = [(r["a"], r["b"]) for r in edges.collect()]
+        assert all(near[a, b] for a, b in pairs) and len(pairs) < 12 * overlap * len(unit)
+        found, true = groups(pairs, range(len(unit))), groups(list(zip(*map(lambda x: x.tolist(), np.nonzero(near)), strict=True)), range(len(unit)))
+        assert np.mean([found[i] == true[i] for i in true]) > 0.95
+
+
+def test_vector_forest():
+    rng = np.random.default_rng(1)
+    for density in (0, 0.01, 0.03, 0.3):
+        linked = rng.random((60, 80)) < density
+        a, b = vector_dedup.forest(linked)
+        assert linked[a, b].all() and len(a) < 140
+        pairs = lambda x, y: [(int(i), 1000 + int(j)) for i, j in zip(x, y, strict=True)]
+        ids = [*range(60), *range(1000, 1080)]
+        assert groups(pairs(a, b), ids) == groups(pairs(*np.nonzero(linked)), ids)
+
+
 def test_vector_dedup_is_exact_if_the_audit_fails(spark, monkeypatch):
     nodes, want = linked_nodes(spark)
     got = {r["cid"]: r["n"] for r in vector_dedup.exact(nodes, vector_dedup.LEAST, 16)[0].collect()}
