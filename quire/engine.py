@@ -16,15 +16,15 @@ from quire.operators import lookup, verify
 from quire.operators.search import LIMIT, search
 from quire.plans import dsl, match
 from quire.plans.filters import Filters
-from quire.schema import CATALOG
+from quire.schema import CATALOG, GRAMS
 from quire.sources import corpus
 
 
 class Engine:
     """The lines stay those of the artifact that was opened, even if another becomes current."""
 
-    def __init__(self, spark: SparkSession, lines: DataFrame, catalog: DataFrame | None = None, meta: dict | None = None, traditional: bool = True, gaiji: dict[str, str] | None = None):
-        self.spark, self.lines, self.catalog, self.meta, self.gaiji = spark, lines, catalog, meta or {}, gaiji or {}
+    def __init__(self, spark: SparkSession, lines: DataFrame, catalog: DataFrame | None = None, meta: dict | None = None, traditional: bool = True, gaiji: dict[str, str] | None = None, grams: DataFrame | None = None):
+        self.spark, self.lines, self.catalog, self.meta, self.gaiji, self.grams = spark, lines, catalog, meta or {}, gaiji or {}, grams
         self.script = tx.script_map(spark, "Hans-Hant") if traditional else {}
         self._stats: dict[str, int] = {}
 
@@ -33,20 +33,26 @@ class Engine:
         artifact = corpus.active_artifact(index_root)
         meta = json.loads((artifact / "meta.json").read_text()) if (artifact / "meta.json").is_file() else {}
         rows = spark.read.schema(CATALOG).parquet(f"file://{artifact.resolve()}/catalog")
-        return cls(spark, corpus.open_lines(spark, artifact.resolve()).cache(), rows, meta | {"index_path": str(artifact)}, **how)
+        grams = spark.read.schema(GRAMS).parquet(f"file://{artifact.resolve()}/grams") if (artifact / "grams").is_dir() else None
+        return cls(spark, corpus.open_lines(spark, artifact.resolve()), rows, meta | {"index_path": str(artifact)}, grams=grams, **how)
 
     def norm(self, text: str) -> str:
         return tx.search_key_text(text, self.script, self.gaiji)
 
     @cached_property
     def size(self) -> tuple[int, float]:
+        if "lines" in self.meta:
+            return self.meta["lines"], self.meta["mean_length"]
         row = self.lines.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
         return row["n"], row["mean"] or 0.0
 
     def statistics(self, grams: set[str]) -> match.Stats:
-        """Counts of grams are kept; only those not asked for before cost a pass."""
+        """Counts of grams are kept; those not asked for before are looked up in the index, or cost a pass where it has none."""
         new = grams - self._stats.keys()
-        if new:
+        if new and self.grams is not None and all(len(g) <= 2 for g in new):
+            found = self.grams.where(F.col("gram").isin(*sorted(new))).collect()  # as many rows as the query has grams
+            self._stats |= dict.fromkeys(new, 0) | {r["gram"]: r["df"] for r in found}
+        elif new:
             self._stats |= match.statistics(self.lines, new).with_gram
         return match.Stats(*self.size, {g: self._stats[g] for g in grams})
 

@@ -24,12 +24,14 @@ def strip_punct_text(text: str) -> str:
 
 
 def nfkc(text: Column) -> Column:
+    """Only texts that are not plain ASCII, which folding leaves as they are, go to Python."""
+
     @F.pandas_udf("string")
     def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return fold(text)
+    return F.coalesce(fold(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), text)
 
 
 _scripts: dict[str, dict[str, str]] = {}

@@ -39,14 +39,37 @@ def assemble(parsed: DataFrame, catalog: DataFrame, tag: str, label: str, to_tra
 def selected_files(spark: SparkSession, scope: Path, manifest: corpus.Manifest) -> DataFrame:
     """Listed files with a catalog row, without skipped canons; a path that leaves the corpus is an error."""
     listed = corpus.read_file_list(spark, str(scope / "files.txt"))
-    outside = [r["path"] for r in listed.select("path").collect() if not corpus.is_below(r["path"])]
+    outside = listed.where(~corpus.below(F.col("path"))).select("path").take(1)
     if outside:
-        raise BuildError(f"path outside the corpus: {outside[0]}")
+        raise BuildError(f"path outside the corpus: {outside[0]['path']}")
     rows = corpus.read_catalog(spark, str(scope / "catalog.jsonl"))
-    skipped = (*tx.SKIPPED_CANONS, *manifest.exclude_canons)
     placed = rows.withColumn("_at", F.monotonically_increasing_id())
     last = placed.groupBy("path").agg(F.max_by(F.struct(*[f.name for f in CATALOG]), "_at").alias("r")).select("r.*")
-    return listed.join(last, "path").where(~F.col("canon").isin(*skipped))
+    return cat.selected(listed, last, (*tx.SKIPPED_CANONS, *manifest.exclude_canons))
+
+
+def write_index(lines: DataFrame, folder: Path) -> tuple[DataFrame, dict]:
+    """Lines, and how many of them have each gram of one or two characters, in the order of grams so that a lookup reads few row groups.
+
+    Returns the lines as written, and their number and mean length.
+    """
+    publish.write_lines(lines, folder)
+    written = lines.sparkSession.read.schema(LINES).parquet(f"file://{folder}/lines")
+    each = written.select(F.explode(F.array_distinct(F.concat(tx.grams(F.col("text_norm"), 1), tx.grams(F.col("text_norm"), 2)))).alias("gram"))
+    publish.write_grams(each.groupBy("gram").agg(F.count("*").alias("df")), folder)
+    row = written.agg(F.count("*").alias("lines"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean_length")).first()
+    return written, row.asDict()
+
+
+def index_lines(lines: DataFrame, catalog: DataFrame, index_root: str, meta: Mapping[str, object]) -> Path:
+    """Publish lines that are parsed already, with their catalog, as the current index; ``meta`` has tag and scope_hash."""
+    root, name = Path(index_root), f"{meta['tag']}-{meta['scope_hash']}"
+    with publish.single_writer(root):
+        aside = publish.stage(root, name)
+        written, size = write_index(require(lines, LINES), aside)
+        require(catalog, CATALOG).write.parquet(f"file://{aside}/catalog")
+        publish.write_json(aside / "meta.json", {"scope": "", **meta, "work_count": cat.work_count(written)} | size)
+        return publish.publish(root, name, aside)
 
 
 def xml_root(corpus_root: Path) -> Path:
@@ -86,8 +109,7 @@ def build(spark: SparkSession, corpus_root: str, scope: str, index_root: str, go
         whole = lines.select("path", "seq", "line_id", "work_id", "juan", "text_raw")
         whole = whole.unionByName(reused) if reused is not None else whole
         script = tx.script_map(spark, "Hans-Hant") if traditional else {}
-        publish.write_lines(assemble(whole, files, manifest.tag, manifest.label, script, gaiji), aside)
-        written = spark.read.schema(LINES).parquet(f"file://{aside}/lines")
+        written, size = write_index(assemble(whole, files, manifest.tag, manifest.label, script, gaiji), aside)
         if golden:
             work = tx.work_of_text(golden.partition("_p")[0])
             expected = files.where(F.col("work_id") == work).limit(1).count()
@@ -98,6 +120,6 @@ def build(spark: SparkSession, corpus_root: str, scope: str, index_root: str, go
         require(works.withColumn("line_count", F.coalesce("line_count", F.lit(0))), WORKS).write.parquet(f"file://{aside}/works")
         require(files, CATALOG).write.parquet(f"file://{aside}/catalog")
         count = cat.work_count(spark.read.parquet(f"file://{aside}/works"), manifest.work_count)
-        publish.write_json(aside / "meta.json", {"tag": manifest.tag, "scope": manifest.scope, "scope_hash": manifest.scope_hash, "work_count": count, "label": manifest.label})
+        publish.write_json(aside / "meta.json", {"tag": manifest.tag, "scope": manifest.scope, "scope_hash": manifest.scope_hash, "work_count": count, "label": manifest.label} | size)
         files.unpersist()
         return publish.publish(root, manifest.artifact, aside)

@@ -14,6 +14,11 @@ def entries(catalog: DataFrame, tag: str, scope_hash: str, filters: Filters = Fi
     return kept.select("work_id", "title", "author", "dynasty", "category", "work_type", F.lit(tag).alias("tag"), F.lit(scope_hash).alias("scope_hash"))
 
 
+def selected(listed: DataFrame, catalog: DataFrame, skipped: tuple[str, ...]) -> DataFrame:
+    """Listed paths with their catalog rows, without those that have none and those of skipped canons."""
+    return listed.join(catalog, "path").where(~F.col("canon").isin(*skipped))
+
+
 def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("work_id", "path").agg(F.count("*").alias("line_count"))
 

@@ -8,11 +8,12 @@ overlap; the finitely many texts in which two terms overlap are spelled out.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from quire.functions.text import occurrences, quoted
 from quire.plans.dsl import WINDOW, ParsedQuery
 
 K1, B = 1.2, 0.75
-#: An unordered query tries the orders of its terms.
+#: An unordered query of up to so many terms tries their orders as expressions.
 MOST_UNORDERED = 6
 Norm = Callable[[str], str]
 
@@ -60,6 +61,42 @@ def in_order(text: Column, terms: list[str], window: int) -> Column:
     return F.exists(begins, lambda x: x.rlike(chain))
 
 
+def fits(text: str, terms: list[str], window: int) -> bool:
+    """Whether all terms come in some order, without overlap, from a first start to a last end of at most ``window``.
+
+    From each start, the earliest end of every set of terms follows from those of the
+    sets with one term less; the number of orders does not matter.
+    """
+    full = (1 << len(terms)) - 1
+    starts = sorted({i for t in set(terms) for i in range(len(text)) if text.startswith(t, i)})
+    for start in starts:
+        ends = {0: start}
+        for known in range(full):
+            at = ends.get(known)
+            if at is None:
+                continue
+            for k, term in enumerate(terms):
+                if not known >> k & 1:
+                    found = text.find(term, at, start + window)
+                    if found >= 0 and (known or found == start):
+                        both = known | 1 << k
+                        ends[both] = min(ends.get(both, len(text)), found + len(term))
+        if full in ends:
+            return True
+    return False
+
+
+def in_any_order(text: Column, terms: list[str], window: int) -> Column:
+    """``fits`` for texts that hold all terms, of which there are few; so many orders are no expression."""
+
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda x: fits(x, terms, window))
+
+    return run(text)
+
+
 def within(text: Column, terms: list[str], window: int, ordered: bool) -> Column:
     """Whether the terms come within the window, in order or in any."""
     every = reduce(lambda a, b: a & b, [holds(text, t) for t in terms])
@@ -70,9 +107,9 @@ def within(text: Column, terms: list[str], window: int, ordered: bool) -> Column
     if len(terms) == 2:
         found = [in_order(text, list(p), window) for p in ({tuple(terms), tuple(terms[::-1])})]
         found += [holds(text, m) for m in overlaps(*terms, window)]
+    elif len(terms) > MOST_UNORDERED:
+        return every & in_any_order(text, terms, window)
     else:
-        if len(terms) > MOST_UNORDERED:
-            raise ValueError(f"more than {MOST_UNORDERED} unordered terms")
         found = [in_order(text, list(p), window) for p in sorted(set(permutations(terms)))]
     return every & reduce(lambda a, b: a | b, found)
 

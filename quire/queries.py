@@ -13,7 +13,7 @@ from quire.operators import lookup, verify
 from quire.operators.search import LIMIT, search
 from quire.plans import dsl, match
 from quire.plans.filters import Filters
-from quire.sources import testbed
+from quire.sources import corpus, testbed
 from quire.sources.testbed import CATALOG_SQL, LINES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +65,11 @@ def search_sql(p: match.Plan, where: str, limit: int = LIMIT, before: str = "tru
     SELECT line_id, work_id, title, author, juan, text_raw, citation, score, tag FROM best WHERE {after}"""
 
 
-def _search(name: str, query: str, where: str, filters: Filters = Filters(), before: str = "true", after: str = "true", mode: str | None = None, **how) -> None:
+def _search(name: str, query: str, where: str | None, filters: Filters = Filters(), before: str = "true", after: str = "true", mode: str | None = None, **how) -> None:
     parsed = dsl.with_mode(dsl.parse(query), mode)
     p = match.plan(parsed, norm, how.get("extended", False))
 
-    @register(name, search_sql(p, where, before=before, after=after))
+    @register(name, search_sql(p, where, before=before, after=after) if where else None)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = search(testbed.lines(spark, sf_dir), parsed, norm, filters, **how)
         return found.withColumn("score", F.round("score", 6))
@@ -107,6 +107,7 @@ def _chain(terms: tuple[str, ...], window: int) -> str:
 _all3 = " AND ".join(_holds(t) for t in ("was", "for", "by"))
 _search("search_near3", "was+for+by", f"{_all3} AND ({' OR '.join(_chain(o, 30) for o in _orders)})")
 _search("search_before3", "the*and*of", " AND ".join(map(_holds, ("the", "and", "of"))) + f" AND {_chain(('the', 'and', 'of'), 30)}")
+_search("search_near7", "was+for+by+the+and+of+in", None)
 _search("search_near_not", "moron NEAR/30 and NOT idiot", f"({_near('moron', 'and', 30)} OR {_near('and', 'moron', 30)}) AND NOT {_holds('idiot')}")
 _search("filter_work", "th", _holds("th"), Filters(works=(WORK, "E000009")), f"work_id IN ('{WORK}', 'E000009')")
 _search("filter_author", "tion", _holds("tion"), Filters(authors=("src1",)), "instr(author, 'src1') > 0")
@@ -151,11 +152,11 @@ def ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ngram_df", f"WITH {LINES_SQL}, g AS ({_gram_sql((2,))}) SELECT gram, count(*) AS tf, count(DISTINCT line_id) AS df FROM g GROUP BY gram")
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = testbed.lines(spark, sf_dir).select("text_norm")
-    lines = lines.select(tx.grams(F.col("text_norm"), 2).alias("g"))
-    tf = lines.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"))
-    df = lines.select(F.explode(F.array_distinct("g")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    return tf.join(df, "gram")
+    """One pass: a line's grams in order, so that those unlike the one before are the distinct ones."""
+    lines = testbed.lines(spark, sf_dir).select(F.array_sort(tx.grams(F.col("text_norm"), 2)).alias("g"))
+    last = F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0))))
+    each = lines.where(F.size("g") > 0).select(F.explode(F.arrays_zip(F.col("g").alias("gram"), last.alias("last"))).alias("p")).select("p.*")
+    return each.groupBy("gram").agg(F.count("*").alias("tf"), F.count_if(~F.col("gram").eqNullSafe(F.col("last"))).alias("df"))
 
 
 @register("bm25_statistics", f"WITH {LINES_SQL} SELECT count(*) AS lines, round(avg(dl), 6) AS mean_length, count(*) FILTER ({_holds('t')}) AS with_t, count(*) FILTER ({_holds('th')}) AS with_th FROM lines")
@@ -266,15 +267,15 @@ def _similar_sql() -> str:
     named = sorted(set(grams))
     counts = ", ".join(f"count(*) FILTER ({_holds(g)}) AS g{i}" for i, g in enumerate(named))
     weight = " + ".join(f"CASE WHEN {_holds(g)} THEN {float(grams.count(g))}::DOUBLE * ln(1 + (n - g{i} + 0.5::DOUBLE) / (g{i} + 0.5::DOUBLE)) ELSE 0 END" for i, g in enumerate(named))
-    return f"""WITH {LINES_SQL}, ascii AS (SELECT * FROM lines WHERE regexp_full_match(text_norm, '[ -~]+')), stats AS (SELECT count(*)::DOUBLE AS n, {counts} FROM ascii),
-    w AS (SELECT ascii.*, {weight} AS weight FROM ascii, stats), near AS (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, line_id LIMIT {verify.RECALL}),
-    s AS (SELECT *, 1 - levenshtein(text_norm, {_lit(QUOTE)})::DOUBLE / greatest(length(text_norm), {len(QUOTE)}) AS exact FROM near)
+    # The engine's edit distance counts bytes; a character that the quote cannot have is one byte, whichever it is.
+    return f"""WITH {LINES_SQL}, stats AS (SELECT count(*)::DOUBLE AS n, {counts} FROM lines),
+    w AS (SELECT lines.*, {weight} AS weight FROM lines, stats), near AS (SELECT * FROM w WHERE weight > 0 ORDER BY weight DESC, line_id LIMIT {verify.RECALL}),
+    s AS (SELECT *, 1 - levenshtein(regexp_replace(text_norm, '[^ -~]', chr(1), 'g'), {_lit(QUOTE)})::DOUBLE / greatest(length(text_norm), {len(QUOTE)}) AS exact FROM near)
     SELECT line_id, work_id, title, author, juan, text_raw, citation, round(exact, 9) AS score, tag FROM s WHERE exact > 0 ORDER BY exact DESC, line_id LIMIT {verify.SIMILAR}"""
 
 
 @register("verify_similar", _similar_sql())
 def verify_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all lines; the SQL sees those of printable ASCII only, since its engine's edit distance counts bytes."""
     return verify.similar(testbed.lines(spark, sf_dir), norm(QUOTE)).withColumn("score", F.round("score", 9))
 
 
@@ -299,6 +300,42 @@ def incremental_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.changed(*_works(spark, sf_dir))
 
 
+@register("build_selection", f"WITH {_FILES} SELECT c.path, c.work_id, c.canon, c.title FROM catalog c WHERE substring(c.work_id, 2)::BIGINT % 13 <> 0 AND c.canon <> 'E'")
+def build_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a build: those listed that the catalog knows, without skipped canons and paths that leave the corpus."""
+    rows = testbed.catalog(spark, sf_dir)
+    listed = rows.where(F.substring("work_id", 2, 99).cast("long") % 13 != 0).select("path")
+    listed = listed.unionByName(spark.createDataFrame([("Z/none.xml",), ("../out.xml",), ("/abs.xml",)], "path string"))
+    return cat.selected(listed.where(corpus.below(F.col("path"))), rows, (*tx.SKIPPED_CANONS, "E")).select("path", "work_id", "canon", "title")
+
+
+@register("work_count", f"WITH {CATALOG_SQL} SELECT count(DISTINCT path) AS works FROM catalog")
+def work_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(cat.work_count(testbed.catalog(spark, sf_dir)),)], "works long")
+
+
+@register("canon_prefix", f"WITH {CATALOG_SQL} SELECT work_id, canon AS prefix FROM catalog")
+def canon_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testbed.catalog(spark, sf_dir).select("work_id", tx.canon_of(F.col("work_id")).alias("prefix"))
+
+
+@register("search_key", f"WITH {LINES_SQL} SELECT line_id, text_norm AS search_key FROM lines")
+def search_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole key, folding included, which leaves these texts as they are."""
+    return testbed.lines(spark, sf_dir).select("line_id", tx.search_key(F.col("text_raw"), tx.script_map(spark, "Hans-Hant")).alias("search_key"))
+
+
+@register("read_work", f"WITH {LINES_SQL} SELECT line_id, work_id, juan, text_raw, citation FROM lines WHERE work_id = '{WORK}'")
+def read_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.read_work(testbed.lines(spark, sf_dir), WORK).select("line_id", "work_id", "juan", "text_raw", "citation")
+
+
+@register("newest_release", "SELECT '2026R10' AS tag")
+def newest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = spark.createDataFrame([(t,) for t in TAGS], "tag string")
+    return spark.createDataFrame([(cat.newest_tag(tags),)], "tag string")
+
+
 TAGS = ("2024R3", "2025R1", "2026R2", "2026R10", "2026R1", "draft", "2023R4")
 _TAGS = "tags(tag) AS (VALUES " + ", ".join(f"('{t}')" for t in TAGS) + ")"
 _PARTS = "coalesce(try_cast(nullif(regexp_extract(tag, '^([0-9]{1,9})R', 1), '') AS BIGINT), 0)", "coalesce(try_cast(nullif(regexp_extract(tag, '^[^R]*R([0-9]{1,9})$', 1), '') AS BIGINT), 0)"

@@ -19,6 +19,7 @@ LINES = _of(
 )
 CATALOG = _of(work_id=_s, canon=_s, path=_s, title=_s, author=_s, dynasty=_s, category=_s, work_type=_s)
 WORKS = _of(work_id=_s, path=_s, xml_sha256=_s, line_count=_l)
+GRAMS = _of(gram=_s, df=_l)
 HIT = ("line_id", "work_id", "title", "author", "juan", "text_raw", "citation", "score", "tag")
 
 

@@ -61,6 +61,10 @@ def write_lines(lines: DataFrame, folder: Path) -> None:
     ordered.write.option("parquet.bloom.filter.enabled#norm_hash", "true").parquet(f"file://{folder}/lines")
 
 
+def write_grams(grams: DataFrame, folder: Path) -> None:
+    grams.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"file://{folder}/grams")
+
+
 def write_json(path: Path, value: dict) -> None:
     _replace(path, json.dumps(value, ensure_ascii=False, indent=1))
 

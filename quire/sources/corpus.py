@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.schema import CATALOG, LINES
@@ -94,6 +94,11 @@ def is_below(path: str) -> bool:
     return not path.startswith("/") and ".." not in path.split("/")
 
 
+def below(path: Column) -> Column:
+    """The same of a column."""
+    return ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..")
+
+
 def active_artifact(root: str) -> Path:
     """What CURRENT names, else the only finished build."""
     base = Path(root)

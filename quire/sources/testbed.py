@@ -11,15 +11,9 @@ TAG, LABEL = "2026R2", "BED"
 PAGE, COLUMN, CHAPTER = 87, 29, 20
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table of so few files that most cores would be idle are dealt out; a table of many files is left as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) * 4 < cores else rows
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``documents``; its texts are NFKC already and in no Han script, so the key is the text without punctuation."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
     raw = docs.select("doc_id", "source", F.upper(F.substring("lang", 1, 1)).alias("canon"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     number = F.lpad(F.col("doc_id").cast("string"), 6, "0")
     place = F.col("at") % PAGE

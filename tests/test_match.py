@@ -62,9 +62,10 @@ def test_extended_wildcard(lines):
     assert {r["text_norm"] for r in lines.where(match.predicate(p, F.col("text_norm"))).collect()} == {t for t in TEXTS if any(t[i] == "a" and t[i + 2] == "c" for i in range(len(t) - 2))}
 
 
-def test_too_many_unordered(spark):
-    with pytest.raises(ValueError):
-        match.within(F.lit("x"), list("abcdefg"), 30, False)
+def test_seven_unordered(spark):
+    rows = spark.createDataFrame([("gfedcba",), ("g.f.e.d.c.b.a",), ("abcdef",), ("a.......bcdefg",)], "t string")
+    found = rows.where(match.within(F.col("t"), list("abcdefg"), 13, False)).collect()
+    assert {r["t"] for r in found} == {"gfedcba", "g.f.e.d.c.b.a"}
 
 
 def test_overlaps():
@@ -83,3 +84,31 @@ def test_scores_rank_by_rarity_and_length(spark):
     hits = search(full.withColumn("juan", F.lit(1)), dsl.parse("moon"), lambda t: t).collect()
     assert [h["line_id"] for h in hits][:2] == ["d", "b"] and hits[-1]["line_id"] == "a"
     assert all(h["score"] > 0 for h in hits)
+
+
+def test_any_order_of_many_terms():
+    """The sets' earliest ends against every order of the terms' places."""
+    from itertools import permutations, product
+
+    import numpy as np
+
+    from quire.plans.match import fits
+
+    def slow(text, terms, window):
+        places = [[i for i in range(len(text)) if text.startswith(t, i)] for t in terms]
+        for order in permutations(range(len(terms))):
+            for at in product(*(places[k] for k in order)):
+                ends = [a + len(terms[k]) for a, k in zip(at, order, strict=True)]
+                if all(e <= b for e, b in zip(ends, at[1:], strict=False)) and ends[-1] - at[0] <= window:
+                    return True
+        return False
+
+    rng = np.random.default_rng(2)
+    seen = set()
+    for _ in range(300):
+        text = "".join(rng.choice(list("abc"), 12))
+        terms = ["".join(rng.choice(list("abc"), rng.integers(1, 3))) for _ in range(4)]
+        window = int(rng.integers(3, 10))
+        seen.add(slow(text, terms, window))
+        assert fits(text, terms, window) == slow(text, terms, window), (text, terms, window)
+    assert seen == {True, False}
