@@ -153,7 +153,7 @@ def ngrams_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ngram_df", f"WITH {LINES_SQL}, g AS ({_gram_sql((2,))}) SELECT gram, count(*) AS tf, count(DISTINCT line_id) AS df FROM g GROUP BY gram")
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass: a line's grams in order, so that those unlike the one before are the distinct ones."""
-    lines = testbed.lines(spark, sf_dir).select(F.array_sort(tx.grams(F.col("text_norm"), 2)).alias("g"))
+    lines = testbed.lines(spark, sf_dir).select(F.sort_array(tx.grams(F.col("text_norm"), 2)).alias("g"))
     last = F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0))))
     each = lines.where(F.size("g") > 0).select(F.explode(F.arrays_zip(F.col("g").alias("gram"), last.alias("last"))).alias("p")).select("p.*")
     return each.groupBy("gram").agg(F.count("*").alias("tf"), F.count_if(~F.col("gram").eqNullSafe(F.col("last"))).alias("df"))
