@@ -32,7 +32,9 @@ lines concerned only.
 Lists are in the order of documents.  Up to ``LEADERS`` lines of a list all meet; the
 rest of a longer one meet its first line only, so that a group of near copies does not
 become all its pairs.  Lines of long lists that this has not removed then meet all
-others of their lists.
+others of their lists.  Two lines meet in the first list only of a run of keys that
+follow each other in both: a posting names its line's key before, and lines that have
+that one in common as well have met there.
 """
 
 from __future__ import annotations
@@ -155,15 +157,18 @@ def may_be(percent: int) -> Column:
     Similar lines share ``percent / (100 + percent)`` of ``nx + ny`` at least.  They can
     share the lesser of what is before the token and of what comes with it and after,
     which bounds sizes and places at once; and not what their odd sketches tell apart.
+    The neighbours that the prefix filter promises are within these lines' own
+    ``2 a + b + 2`` places.
     """
     both = F.col("nx") + F.col("ny")
     most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     differ = (F.bit_count(F.col("ox").bitwiseXOR(F.col("oy"))) + F.bit_count(F.col("ex").bitwiseXOR(F.col("ey")))).cast("long")
-    return (differ * (100 + percent) <= both * (100 - percent)) & (most * (100 + percent) >= both * percent)
+    place = lambda p, n: (F.col(p) - 1) * (100 + percent) <= (F.col(n) + both) * (100 + percent) - 3 * percent * both  # noqa: E731  2 a + b + 1 at most
+    return (differ * (100 + percent) <= both * (100 - percent)) & (most * (100 + percent) >= both * percent) & place("px", "nx") & place("py", "ny")
 
 
 def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
-    """(key, id, d, sized, o, e) of the rare tokens in each line's prefix and of the neighbours after them."""
+    """(key, id, d, sized, o, e, v) of the rare tokens in each line's prefix and of the neighbours after them; v is the line's key before, or 0."""
     each = unique.select("id", "d", tokens(F.col("line"), classes).alias("t")).withColumn("n", F.size("t"))
     each = each.withColumn("first", prefix_places(F.col("n"), percent))
     least = F.shiftleft(_class(F.lit(RARE + 1)).cast("long"), 56)  # of the keys that are not rare
@@ -173,25 +178,30 @@ def postings(unique: DataFrame, classes: Column, percent: int) -> DataFrame:
     each = each.withColumn("s", single).withColumn("rest", F.slice("t", F.col("r") + 1, places))
     o, e = odd_sketch(F.col("t"))
     each = each.withColumn("o", o).withColumn("e", e)  # once a line, before there is a row a posting
-    after = F.concat(F.slice("t", 1, F.col("s")), F.slice("rest", 2, F.col("n")))
-    before = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("s")), F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - 1)))
-    listed = each.select("id", "d", "n", "o", "e", "s", "r", F.posexplode(F.arrays_zip(after.alias("a"), before.alias("b"))).alias("i", "p"))
-    lone = F.col("i") < F.col("s")
-    key = F.when(lone, F.col("p.a")).otherwise(F.xxhash64("p.a", "p.b"))
-    place = F.when(lone, F.col("i")).otherwise(F.col("i") - F.col("s") + 1 + F.col("r"))
-    return listed.select(key.alias("key"), "id", "d", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("sized"), "o", "e")
+    none = F.lit(0).cast("long")
+    each = each.withColumn("a", F.concat(F.slice("t", 1, F.col("s")), F.slice("rest", 2, F.col("n"))))
+    each = each.withColumn("b", F.concat(F.array_repeat(none, F.col("s")), F.slice("rest", 1, F.greatest(F.lit(0), F.size("rest") - 1))))
+    last = lambda c: F.concat(F.array(none), F.slice(c, 1, F.greatest(F.lit(0), F.size(c) - 1)))
+    both = F.arrays_zip(F.col("a"), F.col("b"), last("a").alias("la"), last("b").alias("lb"))
+    listed = each.select("id", "d", "n", "o", "e", "s", "r", F.posexplode(both).alias("i", "p"))
+    key = lambda i, a, b: F.when(i < F.col("s"), a).otherwise(F.xxhash64(a, b))
+    place = F.when(F.col("i") < F.col("s"), F.col("i")).otherwise(F.col("i") - F.col("s") + 1 + F.col("r"))
+    return listed.select(
+        key(F.col("i"), F.col("p.a"), F.col("p.b")).alias("key"), "id", "d", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(place.cast("long")).alias("sized"), "o", "e",
+        F.when(F.col("i") == 0, none).otherwise(key(F.col("i") - 1, F.col("p.la"), F.col("p.lb"))).alias("v"),
+    )
 
 
 def _named(posted: DataFrame) -> DataFrame:
     """Postings under short names: i of the line, n its size, p the place, o and e its sketch, d its document, r the rank."""
     n, place = F.shiftright("sized", 32), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))
-    return posted.select("key", F.col("id").alias("i"), n.alias("n"), place.alias("p"), "o", "e", "d", F.col("rank").alias("r"))
+    return posted.select("key", F.col("id").alias("i"), n.alias("n"), place.alias("p"), "o", "e", "d", "v", F.col("rank").alias("r"))
 
 
 def _ranked(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings with their places in their lists, under the names of either side of a join (one exchange for both)."""
     told = _named(posted.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("d", "id"))))
-    return tuple(told.select("key", F.col("i").alias(c), *(F.col(v).alias(v + c) for v in "npoer")) for c in "xy")
+    return tuple(told.select("key", F.col("i").alias(c), *(F.col(v).alias(v + c) for v in "npoerv")) for c in "xy")
 
 
 def later(pairs: DataFrame, unique: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +226,9 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
     parts = [posted.where(F.pmod(F.xxhash64("key"), F.lit(PASSES)) == i) for i in range(PASSES)]
     fits, met = may_be(percent), []
     marks = (F.col("rx") == LEADERS + 1) & (F.col("ry") == 1)  # one row of each list that is longer
-    turn = (F.col("ry") < F.col("rx")) & ((F.col("rx") <= LEADERS) | (F.col("ry") == 1))
+    # Two lines that also have the key before in common meet in that one's list already.
+    anew = (F.col("vx") == 0) | (F.col("vx") != F.col("vy"))
+    turn = (F.col("ry") < F.col("rx")) & ((F.col("rx") <= LEADERS) & anew | (F.col("ry") == 1))
     for part in parts:
         x, y = _ranked(part)
         # Not by a plain bound of the rank, for which Spark would limit and exchange the one side apart.
@@ -239,9 +251,9 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
         live = part.where(_maybe(is_long, F.col("key")))
         sure = live.where(~_maybe(settled, F.col("id")))
         left = live.where(_maybe(settled, F.col("id"))).join(gone, "id", "left_anti").select(*sure.columns)
-        x, y = (_named(df.withColumn("rank", F.lit(0))).select("key", *(F.col(v).alias(f"{v}{c}") for v in "inpoed")) for c, df in (("x", sure.unionByName(left)), ("y", live)))
+        x, y = (_named(df.withColumn("rank", F.lit(0))).select("key", *(F.col(v).alias(f"{v}{c}") for v in "inpoedv")) for c, df in (("x", sure.unionByName(left)), ("y", live)))
         before = (F.col("dy") < F.col("dx")) | (F.col("dy") == F.col("dx")) & (F.col("iy") < F.col("ix"))
-        rest.append(cut(x.join(y, "key").where(before & fits).select(F.col("ix").alias("x"), F.col("iy").alias("y")).distinct()))
+        rest.append(cut(x.join(y, "key").where(before & anew & fits).select(F.col("ix").alias("x"), F.col("iy").alias("y")).distinct()))
         del live, sure, left, x, y
         release(spark)
     free(posted)
