@@ -55,7 +55,7 @@ RARE = 256
 #: Lines of a list that all meet.
 LEADERS = 16
 #: Parts of the lists that are shuffled one after the other, which bounds the disk they take at once.
-PASSES = 2
+PASSES = 4
 _BITS = (1, 2, 4, 8)
 _NONE = (1 << 63) - 1
 
