@@ -2,9 +2,11 @@
 
 A text is its lower-cased words and an end.  Each frequent word has a Huffman code;
 any other is an escape and its bytes, which have a code of their own.  Every bit is
-predicted by hashed-context predictors (order 0, and two that see the latest frequent
-words or the bytes before); their stretched probabilities are mixed with weights that
-a gate picks by how well the contexts are known, and the result is refined by an
+predicted by hashed-context predictors: order 0, two that see the themes of the latest
+frequent words, one that sees the word before and one that sees the two before; in a
+spelled word, the two, three or five bytes before, all of them, and those after the
+word before.  Their stretched probabilities are mixed with weights that
+a gate picks by how well the last two contexts are known, and the result is refined by an
 adaptive map of (gate, prediction).  Weights, map and themes are learned from one
 whole fold of the training texts, by passes in which each task adds up sums of fixed
 size.
@@ -36,12 +38,12 @@ from quire.llm.common import cut, table
 #: The least of what is sent to every task, which grows with the training words (``sizes``): coded words, words with counts, slots per predictor.
 CODED = 1 << 18
 COUNTED = 1 << 20
-SLOTS = 1 << 19
+SLOTS = 1 << 21
 #: Slots up to which a task counts in arrays over all of them.
 DENSE = 1 << 21
 HELD = 1 << 23
 SEGMENT = 1 << 13
-ORDERS = 3
+ORDERS = 5
 CLASSES = 512
 #: Themes at CLASSES, in proportion above: groups of frequent words that come together, in effect languages and registers.
 THEMES = 12
@@ -172,11 +174,19 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     two = np.where(second >= first, rank[second], 0)
     near = np.where(latest == at - 1, one, 0)
     theme = v.theme[one] * (v.themes + 1) + v.theme[two]
+    # The words themselves, whether frequent or not: the one before, and the two before.
+    said = np.ones(len(tokens), U)
+    said[np.arange(n) + owner] = hashes
+    before = np.where(at > first, np.roll(said, 1), U(2))
+    further = np.where(at > first + 1, np.roll(said, 2), U(2))
     context1 = (theme + 1).astype(U) * U(0xC2B2AE3D27D4EB4F)
     context2 = (theme * max(4096, v.classes + 1) + near).astype(U) * U(0x165667B19E3779F9)
+    context3 = before * U(0xA0761D6478BD642F)
+    context4 = (context3 ^ further) * U(0xE7037ED1A0B428DB)
     length = v.length[tokens]
     node, bit = _bits(v.code[tokens], length)
-    slots = [_slot(v, node, U(0), 0), _slot(v, node, np.repeat(context1, length), 1), _slot(v, node, np.repeat(context2, length), 2)]
+    slots = [_slot(v, node, U(0), 0)]
+    slots += [_slot(v, node, np.repeat(context, length), k + 1) for k, context in enumerate((context1, context2, context3, context4))]
     bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [np.repeat(row, length)]
     rare = np.flatnonzero(symbol < 0)
     if len(rare):
@@ -190,12 +200,17 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         c0 = back(1) * 512 + back(2)
         c1 = c0 * 512 + back(3)
         c2 = (c1 * 512 + back(4)) * 512 + back(5)
-        c0, c1, c2 = c0.astype(U), c1.astype(U), c2.astype(U)
+        # All the bytes before, alone and with the word before.
+        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, U))[offset]
+        sums = np.cumsum((byte + 1).astype(U) * power)
+        c3 = np.concatenate([np.zeros(1, U), sums[:-1]])
+        c3 -= c3[total - size][word]
+        c4 = (c3 ^ before[rare + owner[rare]][word]) * U(0xE7037ED1A0B428DB)
         length = v.byte_length[byte]
         node, bit = _bits(v.byte_code[byte], length)
         node = node + U(1 << 40)
-        for k, c in enumerate((c0, c1, c2)):
-            slots[k] = np.concatenate([slots[k], _slot(v, node, np.repeat(c * U(0x9FB21C651E98DF25), length), k)])
+        for k, c in enumerate((c0, c1, c2, c3, c4)):
+            slots[k] = np.concatenate([slots[k], _slot(v, node, np.repeat(c.astype(U) * U(0x9FB21C651E98DF25), length), k)])
         bits.append(bit)
         spelled.append(np.ones(len(bit), np.int8))
         of.append(np.repeat(owner[rare][word], length))
@@ -221,8 +236,8 @@ def gate_and_inputs(p: Predictors, c: Coded) -> tuple[np.ndarray, np.ndarray]:
     for k in range(ORDERS):
         entry = np.take(p.table[k], c.slots[k], mode="clip")
         np.multiply(entry >> 2, np.float32(1 / 512), out=x[k])
-        if k:
-            gate = (gate + (entry & 3).astype(np.int8)) * np.int8(4 if k == 1 else 1)
+        if k >= ORDERS - 2:
+            gate = (gate + (entry & 3).astype(np.int8)) * np.int8(4 if k == ORDERS - 2 else 1)
     x[ORDERS] = 0.3
     return gate, x
 
@@ -273,10 +288,13 @@ def _mixing_sums(v, p):
                 loss += np.bincount(gate, weights=np.log1p(np.exp(-z * (c.bits * np.int8(2) - np.int8(1)))), minlength=_GATES)
                 share = 1 / (1 + np.exp(-z))
                 error, spread = c.bits - share, share * (1 - share)
-                for j in range(ORDERS + 1):
-                    slope[:, j] += np.bincount(gate, weights=error * x[j], minlength=_GATES)
-                    for k in range(j + 1):
-                        curve[:, j, k] += np.bincount(gate, weights=spread * x[j] * x[k], minlength=_GATES)
+                order = np.argsort(gate, kind="stable")
+                ends = np.searchsorted(gate[order], np.arange(_GATES + 1))
+                for g in np.flatnonzero(np.diff(ends)):
+                    own = order[ends[g] : ends[g + 1]]
+                    part = x[:, own].astype(float)
+                    slope[g] += part @ error[own]
+                    curve[g] += part * spread[own] @ part.T
         sums = np.concatenate([part.ravel() for part in (loss, slope, curve, all_, ones)])
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["task", "sums"])
 
@@ -289,7 +307,7 @@ def learn_mixing(p: Predictors, v, texts: DataFrame, rounds: int = 12) -> Predic
     A pass adds up sums of fixed size in every task; a gate whose loss rose goes back by half.
     """
     grid = (np.arange(4 * _REACH + 1) - 2 * _REACH) / 2
-    p.weights[:] = start = np.array([0.4, 0.3, 0.4, 0.0], np.float32)
+    p.weights[:] = start = np.array([0.2, 0.15, 0.25, 0.25, 0.25, 0.0], np.float32)
     p.refined[:] = grid.astype(np.float32)
     best, least, counts = p.weights.astype(float), np.full(_GATES, np.inf), np.zeros((2, *p.refined.shape))
     step, before = np.zeros(best.shape), np.inf
@@ -302,7 +320,7 @@ def learn_mixing(p: Predictors, v, texts: DataFrame, rounds: int = 12) -> Predic
             sums += np.frombuffer(row["sums"])
         loss, slope, curve, seen = np.split(sums, np.cumsum([_GATES, _GATES * (ORDERS + 1), _GATES * (ORDERS + 1) ** 2]))
         slope, curve, seen = slope.reshape(best.shape), curve.reshape(_GATES, ORDERS + 1, ORDERS + 1), seen.reshape(counts.shape)
-        curve = curve + np.tril(curve, -1).transpose(0, 2, 1) + np.eye(ORDERS + 1)
+        curve = curve + np.eye(ORDERS + 1)
         loss = loss + 0.5 * ((p.weights - start) ** 2).sum(axis=1)
         better = loss < least
         least[better], best[better], counts[:, better] = loss[better], p.weights[better], seen[:, better]
@@ -470,7 +488,7 @@ def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
                 for k in range(ORDERS):
                     held[k].append(c.slots[k] * np.int32(2) + c.bits)
                 size = sum(len(x) for x in held[0])
-                if whole and size > 6 * SLOTS:
+                if whole and size > SLOTS:
                     settle()
                 elif size > HELD:
                     yield from seen()

@@ -421,6 +421,11 @@ def test_language_model(spark, texts):
         assert r["score"] < 0
 
 
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    rows = language_model.query(spark, SMALL.replace("sf0.001", "sf0.01")).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("model")).first()
+    assert rows["model"] > 0.95 * rows["base"]
+
+
 def test_language_model_odd(odd, none):
     rows = {r["doc_id"]: r for r in language_model.score(odd).collect()}
     assert rows[2]["n_tokens"] == rows[3]["n_tokens"] == 1 and rows[2]["bits_per_byte"] is None and rows[None]["held_out"] and rows[5]["n_tokens"] == 30_001
@@ -450,12 +455,12 @@ def test_model_grows_with_the_training_words(spark, docs, monkeypatch):
     assert all(a < b for a, b in zip(small, large, strict=True))
     held = docs.select(F.col("text"))
     learned = held.mapInArrow(language_model._count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    monkeypatch.setattr(language_model, "sizes", lambda tokens: (1 << 18, 1 << 20, 1024, 24))
+    monkeypatch.setattr(language_model, "sizes", lambda tokens: (1 << 18, 1 << 22, 1024, 24))
     voc = language_model.vocabulary(learned, 1 << 10, 1 << 10)
-    assert (voc.slots, voc.classes, voc.themes) == (1 << 20, 1024, 24) and len(voc.code) > 1 << 10
+    assert (voc.slots, voc.classes, voc.themes) == (1 << 22, 1024, 24) and len(voc.code) > 1 << 10
     sent = spark.sparkContext.broadcast(voc)
-    whole, seen = ({r["segment"]: r["entries"] for r in language_model.gather(held, sent, dense).collect()} for dense in (1 << 20, 0))
-    assert whole == seen and max(whole) >= 3 * language_model.SLOTS // language_model.SEGMENT
+    whole, seen = ({r["segment"]: r["entries"] for r in language_model.gather(held, sent, dense).collect()} for dense in (1 << 22, 0))
+    assert whole == seen and max(whole) >= language_model.ORDERS * language_model.SLOTS // language_model.SEGMENT
 
 
 def test_probabilities_sum_to_one():
