@@ -129,16 +129,33 @@ class Vocabulary:
         return self.index.find(hashes)
 
 
-def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, bit) of each bit of a run of codes; a node is the bits before, led by a 1."""
-    total = int(length.sum())
-    left = (np.repeat(np.cumsum(length), length) - np.arange(total)).astype(U)  # bits to come, this one included
-    code = np.repeat(code | (U(1) << length.astype(U)), length)
-    return code >> left, (code >> (left - U(1)) & U(1)).astype(np.int8)
+def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of up to four bits of a run of codes: (groups of each code, node, bits of each group), and each bit's node within its group and value.
+
+    A node is the bits before, led by a 1.
+    """
+    groups = (length + 3) >> 2
+    place = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    left = np.repeat(length, groups) - 4 * place  # bits to come, the group's included
+    size = np.minimum(left, 4)
+    code = np.repeat(code | (U(1) << length.astype(U)), groups)
+    node = code >> left.astype(U)
+    own = (code >> (left - size).astype(U)).astype(np.int64) & ((1 << size) - 1) | (1 << size)
+    total = int(size.sum())
+    own = np.repeat(own.astype(np.int8), size)
+    left = (np.repeat(np.cumsum(size), size) - np.arange(total)).astype(np.int8)
+    return groups, node, size, own >> left, own >> (left - np.int8(1)) & np.int8(1)
 
 
 def _slot(v: Vocabulary, node: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
-    return (((node + U(order * 0x51ED270B)) * U(0x9E3779B97F4A7C15) ^ context) * U(0xD6E8FEB86659FD93) >> U(65 - v.slots.bit_length())).astype(np.int32)
+    return (((node + U(order * 0x51ED270B)) * U(0x9E3779B97F4A7C15) ^ context) * U(0xD6E8FEB86659FD93) >> U(65 - v.slots.bit_length())).astype(np.int64)
+
+
+def _spread(slot: np.ndarray, size: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The slots of the bits of groups with a slot each."""
+    out = np.repeat(slot, size)
+    out ^= inner
+    return out
 
 
 @dataclass
@@ -184,9 +201,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     context3 = before * U(0xA0761D6478BD642F)
     context4 = (context3 ^ further) * U(0xE7037ED1A0B428DB)
     length = v.length[tokens]
-    node, bit = _bits(v.code[tokens], length)
-    slots = [_slot(v, node, U(0), 0)]
-    slots += [_slot(v, node, np.repeat(context, length), k + 1) for k, context in enumerate((context1, context2, context3, context4))]
+    groups, node, size, inner, bit = _bits(v.code[tokens], length)
+    # The bits of a group share a hash and lie side by side.
+    slots = [_spread(_slot(v, node, U(0), 0), size, inner)]
+    slots += [_spread(_slot(v, node, np.repeat(context, groups), k + 1), size, inner) for k, context in enumerate((context1, context2, context3, context4))]
     bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [np.repeat(row, length)]
     rare = np.flatnonzero(symbol < 0)
     if len(rare):
@@ -207,10 +225,10 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         c3 -= c3[total - size][word]
         c4 = (c3 ^ before[rare + owner[rare]][word]) * U(0xE7037ED1A0B428DB)
         length = v.byte_length[byte]
-        node, bit = _bits(v.byte_code[byte], length)
+        groups, node, size, inner, bit = _bits(v.byte_code[byte], length)
         node = node + U(1 << 40)
         for k, c in enumerate((c0, c1, c2, c3, c4)):
-            slots[k] = np.concatenate([slots[k], _slot(v, node, np.repeat(c.astype(U) * U(0x9FB21C651E98DF25), length), k)])
+            slots[k] = np.concatenate([slots[k], _spread(_slot(v, node, np.repeat(c.astype(U) * U(0x9FB21C651E98DF25), groups), k), size, inner)])
         bits.append(bit)
         spelled.append(np.ones(len(bit), np.int8))
         of.append(np.repeat(owner[rare][word], length))
@@ -285,16 +303,17 @@ def _mixing_sums(v, p):
                 at = gate.astype(np.int64) * pred.refined.shape[1] + bucket(z)
                 all_ += np.bincount(at, minlength=all_.size).reshape(all_.shape)
                 ones += np.bincount(at, weights=c.bits, minlength=all_.size).reshape(all_.shape)
-                loss += np.bincount(gate, weights=np.log1p(np.exp(-z * (c.bits * np.int8(2) - np.int8(1)))), minlength=_GATES)
-                share = 1 / (1 + np.exp(-z))
-                error, spread = c.bits - share, share * (1 - share)
+                sign = c.bits * np.int8(2) - np.int8(1)
+                share = 1 / (1 + np.exp((-z * sign).astype(float)))  # of the bit that came
+                miss = 1 - share
+                loss -= np.bincount(gate, weights=np.log(share), minlength=_GATES)
                 order = np.argsort(gate, kind="stable")
-                ends = np.searchsorted(gate[order], np.arange(_GATES + 1))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=_GATES))])
+                x, error, spread = np.take(x, order, axis=1), (miss * sign)[order], (share * miss)[order]
                 for g in np.flatnonzero(np.diff(ends)):
-                    own = order[ends[g] : ends[g + 1]]
-                    part = x[:, own].astype(float)
-                    slope[g] += part @ error[own]
-                    curve[g] += part * spread[own] @ part.T
+                    part = x[:, ends[g] : ends[g + 1]].astype(float)
+                    slope[g] += part @ error[ends[g] : ends[g + 1]]
+                    curve[g] += part * spread[ends[g] : ends[g + 1]] @ part.T
         sums = np.concatenate([part.ravel() for part in (loss, slope, curve, all_, ones)])
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["task", "sums"])
 
@@ -310,7 +329,7 @@ def learn_mixing(p: Predictors, v, texts: DataFrame, rounds: int = 12) -> Predic
     p.weights[:] = start = np.array([0.2, 0.15, 0.25, 0.25, 0.25, 0.0], np.float32)
     p.refined[:] = grid.astype(np.float32)
     best, least, counts = p.weights.astype(float), np.full(_GATES, np.inf), np.zeros((2, *p.refined.shape))
-    step, before = np.zeros(best.shape), np.inf
+    step, gain = np.zeros(best.shape), np.zeros(_GATES)
     for _ in range(rounds):
         sent = texts.sparkSession.sparkContext.broadcast(p)
         rows = texts.mapInArrow(_mixing_sums(v, sent), "task long, sums binary").collect()
@@ -324,12 +343,12 @@ def learn_mixing(p: Predictors, v, texts: DataFrame, rounds: int = 12) -> Predic
         loss = loss + 0.5 * ((p.weights - start) ** 2).sum(axis=1)
         better = loss < least
         least[better], best[better], counts[:, better] = loss[better], p.weights[better], seen[:, better]
-        newton = np.linalg.solve(curve, (slope - (p.weights - start))[:, :, None])[:, :, 0]
+        pull = slope - (p.weights - start)
+        newton = np.linalg.solve(curve, pull[:, :, None])[:, :, 0]
+        gain[better] = 0.5 * (pull * newton).sum(axis=1)[better]  # what the next step promises
         step = np.where(better[:, None], newton, step / 2)
-        now = float(least.sum())
-        if not rows or max(before - now, float((loss - least).sum())) <= 1e-4 * now:
+        if not rows or float(gain.sum()) <= 1e-4 * float(least.sum()):
             break
-        before = now
         p.weights[:] = best + step
     p.weights[:] = best
     all_, ones = counts
@@ -460,12 +479,6 @@ def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
         counts = np.zeros((ORDERS, 2 * slots if whole else 0), np.int32)
         held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
 
-        def settle() -> None:
-            for k, some in enumerate(held):
-                if some:
-                    counts[k] += np.bincount(np.concatenate(some), minlength=2 * slots).astype(np.int32)
-                    some.clear()
-
         def seen() -> Iterator[pa.RecordBatch]:
             for k, some in enumerate(held):
                 if not some:
@@ -486,16 +499,17 @@ def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
             for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
                 c = encode(v.value, data, offsets)
                 for k in range(ORDERS):
-                    held[k].append(c.slots[k] * np.int32(2) + c.bits)
-                size = sum(len(x) for x in held[0])
-                if whole and size > SLOTS:
-                    settle()
-                elif size > HELD:
+                    at = c.slots[k] << 1
+                    at |= c.bits
+                    if whole:
+                        np.add.at(counts[k], at, np.int32(1))
+                    else:
+                        held[k].append(at.astype(np.int32))
+                if sum(len(x) for x in held[0]) > HELD:
                     yield from seen()
         if not whole:
             yield from seen()
             return
-        settle()
         parts = counts.reshape(-1, 2 * SEGMENT)
         used = np.flatnonzero(parts.any(axis=1))
         for lo in range(0, len(used), 16):
