@@ -293,6 +293,18 @@ def test_quotation(spark):
     assert quotation.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotation_of_several_lines(spark):
+    long = "a one\na two\n\nb one\nb two\nb three\n\nc one"
+    rows = [
+        (1, 0, "u", long), (1, 1, "a", "unrelated"), (1, 2, "u", "> b one\n> B  two\nyes"), (1, 3, "a", "> a two\n>\n> b one\n> b two\n> b three\nno"), (1, 4, "u", "> b one\n> b three"),
+        (1, 5, "u", "> b three\n> c one\n> more"), (2, 0, "u", "> b one\n> b two"), (2, 1, "a", "said later"), (3, 0, "u", "> said first"), (3, 1, "u", "said first"), (4, 0, "u", "said first"),
+    ]
+    columns = "conv_id long, turn long, role string, text string"
+    found = {(r["conv_id"], r["turn"]): r for r in quotation.link(spark.createDataFrame(rows, columns)).collect()}
+    assert [found[1, t]["parent"] for t in range(6)] == [0, 1, 1, 1, 4, 5] and [found[1, t]["n_linked"] for t in range(2, 6)] == [1, 1, 0, 0]
+    assert found[2, 0]["n_linked"] == 0 and found[3, 0]["n_linked"] == 1 and found[3, 0]["parent"] == 0
+
+
 # -- 6 n-gram join ----------------------------------------------------------------
 
 
