@@ -16,10 +16,18 @@ from quire.engine import Engine, load_session, pick, save_session
 from quire.lifecycle import Store, newest, order_key, read_lock, remote_tags
 from quire.plans import dsl
 from quire.plans.filters import Filters
+from quire.serve import passage
 from quire.sources.corpus import CorpusError, NoIndex
 
 VERBS = "search verify get read cite catalog info build serve completion bench fetch releases use pull current gc prune".split()
 
+#: What each shell reads to complete the first word.
+COMPLETIONS = {
+    "bash": "complete -W '{verbs}' quire",
+    "fish": "complete -c quire -f -n __fish_use_subcommand -a '{verbs}'",
+    "zsh": "#compdef quire\ncompadd -- {verbs}",
+}
+
 
 def parser() -> argparse.ArgumentParser:
     shared = argparse.ArgumentParser(add_help=False)
@@ -46,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     add("info")
     add("build", ("--corpus", {"required": True}), ("--scope", {"required": True}), ("--golden", {}))
     add("serve", ("--http", {"metavar": "HOST:PORT"}), ("--allow-remote", {"action": "store_true"}))
-    add("completion")
+    add("completion", ("shell", {"nargs": "?", "choices": sorted(COMPLETIONS), "default": "bash"}))
     add("bench", ("queries", {"nargs": "*"}), ("--samples", {"type": int, "default": 50}))
     add("fetch", ("tag", {}), ("--path", {"required": True}))
     add("releases", ("--remote", {}), ("--lock", {}))
@@ -100,7 +108,11 @@ def _asked(engine: Engine, args: argparse.Namespace) -> int:
             print(cited or "")
             return 0 if cited else 1
         rows = sorted((r.asDict() for r in engine.get(line_id, getattr(args, "context", 0)).collect()), key=lambda r: r["line_id"])
-        _show(args, rows)
+        if args.json and args.verb == "get":
+            found = passage(rows)
+            print(json.dumps(found if args.context else {"hit": found["hit"]}, ensure_ascii=False))
+        else:
+            _show(args, rows)
         return 0 if rows else 1
     if args.verb == "read":
         rows = [r.asDict() for r in engine.read(args.work_id, args.juan).collect()]
@@ -150,7 +162,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(stop.code or 0) and 2
     try:
         if args.verb == "completion":
-            print(f"complete -W '{' '.join(VERBS)}' quire")
+            print(COMPLETIONS[args.shell].format(verbs=" ".join(VERBS)))
             return 0
         if args.verb in ("fetch", "releases", "use", "pull", "current", "gc", "prune"):
             return _lifecycle(args)

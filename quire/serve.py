@@ -22,6 +22,23 @@ TOOLS = {
 }
 
 
+_TEXT, _WHOLE = {"type": "string"}, {"type": "integer", "minimum": 0}
+_TEXTS = {"type": "array", "items": _TEXT}
+_FILTERS = {name: _TEXTS for name in ("canons", "works", "authors", "categories", "types", "titles")} | {"juans": {"type": "array", "items": _WHOLE}}
+_MODE = {"enum": ["keyword", "phrase", "near", "before"]}
+#: The arguments of each tool; all that are not required may be left out.
+ARGUMENTS = {
+    "search": {"properties": {"q": _TEXT, "clauses": _TEXTS, "mode": _MODE, "limit": _WHOLE | {"default": 50}, **_FILTERS}, "anyOf": [{"required": ["q"]}, {"required": ["clauses"]}]},
+    "verify_quote": {"properties": {"quote": _TEXT}, "required": ["quote"]},
+    "get_passage": {
+        "properties": {"action": {"enum": ["get", "read", "cite"], "default": "get"}, "line_id": _TEXT, "context": _WHOLE | {"default": 0}, "work_id": _TEXT, "juan": _WHOLE},
+        "anyOf": [{"required": ["line_id"]}, {"required": ["work_id", "juan"]}],
+    },
+    "catalog": {"properties": _FILTERS},
+    "info": {"properties": {}},
+}
+
+
 def filters_of(request: dict) -> Filters:
     names = ("canons", "works", "authors", "categories", "types", "titles")
     return Filters(**{n: tuple(request.get(n) or ()) for n in names}, juans=tuple(int(j) for j in request.get("juans") or ()))
@@ -43,6 +60,14 @@ def _rows(df) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
 
+def passage(rows: list[dict]) -> dict:
+    """Rows of a line and its neighbours as ``hit`` (null if there is none), ``before`` and ``after``."""
+    rows = sorted(rows, key=lambda r: r["line_id"])
+    plain = [{k: v for k, v in r.items() if k != "role"} for r in rows]
+    of = lambda role: [p for p, r in zip(plain, rows, strict=True) if r["role"] == role]
+    return {"hit": (of("hit") or [None])[0], "before": of("before"), "after": of("after")}
+
+
 def call(engine: Engine, tool: str, request: dict) -> dict:
     if tool == "search":
         return {"hits": _rows(engine.search(parsed_of(request), filters_of(request), int(request.get("limit") or 50)))}
@@ -56,10 +81,7 @@ def call(engine: Engine, tool: str, request: dict) -> dict:
             return {"citation": engine.cite(request["line_id"])}
         if action != "get":
             raise dsl.ParseError(f"unknown action {action!r}")
-        rows = sorted(_rows(engine.get(request["line_id"], int(request.get("context") or 0))), key=lambda r: r["line_id"])
-        plain = [{k: v for k, v in r.items() if k != "role"} for r in rows]
-        of = lambda role: [p for p, r in zip(plain, rows, strict=True) if r["role"] == role]
-        return {"hit": (of("hit") or [None])[0], "before": of("before"), "after": of("after")}
+        return passage(_rows(engine.get(request["line_id"], int(request.get("context") or 0))))
     if tool == "catalog":
         return {"entries": _rows(engine.entries(filters_of(request)))}
     if tool == "info":
@@ -78,7 +100,7 @@ def answer(engine: Engine | None, message: dict) -> dict | None:
     if method == "ping":
         return reply | {"result": {}}
     if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, d in TOOLS.items()]}}
+        return reply | {"result": {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", **ARGUMENTS[n]}} for n, d in TOOLS.items()]}}
     if method == "tools/call":
         try:
             if engine is None:

@@ -177,6 +177,15 @@ def test_cli(place, spark, capsys):
     assert main(["search", "月光+水", "--explain", "--root", root], spark) == 0 and "near" in capsys.readouterr().out
     for argv in (["verify", "山中無甲子"], ["get", "A12n0345_p0001a05", "-C", "2"], ["read", "A0345", "1"], ["cite", "A12n0345_p0001a05"], ["catalog"], ["info"], ["completion"], ["bench", "月光", "--samples", "1"]):
         assert main([*argv, "--root", root], spark) == 0
+    capsys.readouterr()
+    for more, keys in (([], {"hit"}), (["-C", "1"], {"hit", "before", "after"})):
+        assert main(["get", "A12n0345_p0001a05", "--json", *more, "--root", root], spark) == 0
+        got = json.loads(capsys.readouterr().out)
+        assert got.keys() == keys and got["hit"]["line_id"] == "A12n0345_p0001a05" and "role" not in got["hit"]
+    assert main(["get", "A12n0345_p9999a05", "--json", "--root", root], spark) == 1 and json.loads(capsys.readouterr().out) == {"hit": None}
+    for shell in ("bash", "zsh", "fish"):
+        assert main(["completion", shell], spark) == 0 and "verify" in capsys.readouterr().out
+    assert main(["completion", "csh"], spark) == 2
     assert main(["nonsense-verb-less", "--mode", "fuzzy", "--root", root], spark) == 2
 
 
@@ -227,6 +236,8 @@ def test_tools(engine):
     serve.serve_stdio(engine, [json.dumps(m) for m in messages] + ["{", " "], out)
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
     assert len(replies) == 10 and len(replies[1]["result"]["tools"]) == 5
+    known = {t["name"]: t["inputSchema"] for t in replies[1]["result"]["tools"]}
+    assert all(t["type"] == "object" for t in known.values()) and known["verify_quote"]["required"] == ["quote"] and "clauses" in known["search"]["properties"]
     passage = json.loads(replies[4]["result"]["content"][0]["text"])
     assert passage["hit"]["line_id"] == "A12n0345_p0001a05" and len(passage["before"]) == len(passage["after"]) == 1
     assert replies[7]["result"]["isError"] and replies[8]["error"]["code"] == -32601 and replies[9]["error"]["code"] == -32700
