@@ -475,6 +475,19 @@ def test_model_grows_with_the_training_words(spark, docs, monkeypatch):
     assert whole == seen and max(whole) >= language_model.ORDERS * language_model.SLOTS // language_model.SEGMENT
 
 
+def test_groups_of_bits():
+    """Groups, inner nodes and bits of codes as a walk from bit to bit finds them."""
+    rng = np.random.default_rng(0)
+    length = np.append(rng.integers(1, 63, 300), [1, 4, 5, 62])
+    code = np.array([int(rng.integers(0, 1 << min(n, 62))) for n in length.tolist()], np.uint64)
+    groups, node, size, inner, bit = language_model._bits(code, length)
+    told = [format(c, f"0{n}b") for c, n in zip(code.tolist(), length.tolist(), strict=True)]
+    assert "".join(map(str, bit.tolist())) == "".join(told) and groups.tolist() == [-(-n // 4) for n in length.tolist()]
+    assert node.tolist() == [int("1" + t[:i], 2) for t in told for i in range(0, len(t), 4)]
+    assert size.tolist() == [min(4, len(t) - i) for t in told for i in range(0, len(t), 4)]
+    assert inner.tolist() == [int("1" + t[i - i % 4 : i], 2) for t in told for i in range(len(t))]
+
+
 def test_probabilities_sum_to_one():
     """Over all continuations a code of bits, each with complementary costs, spends exactly the whole."""
     codes, lengths = language_model.huffman(np.array([9, 5, 3, 1, 1, 1]))
