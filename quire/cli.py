@@ -91,7 +91,11 @@ def _asked(engine: Engine, args: argparse.Namespace) -> int:
         hits = [r.asDict() for r in found.collect()]
         if args.save:
             save_session(engine, args.root, args.query or "", _filters(args), hits)
-        _show(args, [r.asDict() for r in engine.shown(found, args.script).collect()] if args.script == "s" else hits)
+        colour = sys.stdout.isatty() and not (args.plain or args.json or args.copy)
+        if hits and (colour or args.script == "s"):
+            view = engine.shown(engine.spark.createDataFrame(hits, found.schema), args.script)
+            hits = [r.asDict() for r in (engine.marked(view, parsed.terms) if colour else view).collect()]
+        _show(args, hits)
         return 0 if hits else 1
     if args.verb == "verify":
         report = vars(engine.verify(args.quote))

@@ -106,6 +106,12 @@ class Engine:
         simple = tx.script_map(self.spark, "Hant-Hans")
         return hits.withColumns({c: tx.convert_script(F.col(c), simple) for c in ("title", "author", "text_raw")})
 
+    def marked(self, hits: DataFrame, terms, before: str = "\x1b[1;31m", after: str = "\x1b[0m") -> DataFrame:
+        """Texts with the first term that occurs between marks, each term as it is, then in either script."""
+        maps = [{}, *(tx.script_map(self.spark, name) for name in ("Hans-Hant", "Hant-Hans"))]
+        needles = dict.fromkeys(term.translate(str.maketrans(m)) for term in terms for m in maps)
+        return hits.withColumn("text_raw", tx.highlighted(F.col("text_raw"), list(needles), before, after))
+
 
 def session_file(root: str) -> Path:
     return Path(root) / "last.json"

@@ -2,6 +2,7 @@
 
 import io
 import json
+import sys
 import threading
 import urllib.error
 import urllib.request
@@ -189,6 +190,18 @@ def test_cli(place, spark, capsys):
     assert main(["nonsense-verb-less", "--mode", "fuzzy", "--root", root], spark) == 2
 
 
+def test_terms_are_marked(engine, place, spark, capsys, monkeypatch):
+    root = str(place / "index")
+    texts = engine.spark.createDataFrame([("天上月光明",), ("無月",)], "text_raw string")
+    assert [r[0] for r in engine.marked(texts, ["", "没有", "无", "月光"], "<", ">").collect()] == ["天上<月光>明", "<無>月"]
+    assert main(["月光", "--root", root], spark) == 0 and "\x1b" not in capsys.readouterr().out
+    monkeypatch.setattr(type(sys.stdout), "isatty", lambda self: True, raising=False)
+    assert main(["月光", "--root", root], spark) == 0
+    assert capsys.readouterr().out.count("\x1b[1;31m月光\x1b[0m") == 2
+    assert main(["月光", "--plain", "--root", root], spark) == 0 and "\x1b" not in capsys.readouterr().out
+    assert main(["月光", "--script", "s", "--json", "--root", root], spark) == 0 and len(json.loads(capsys.readouterr().out)["hits"]) == 2
+
+
 def test_prompt(engine, place, capsys):
     root = str(place / "index")
     assert prompt(engine, root, ["月光\n", ":copy 1\n", ":open 1\n", ":scope\n", ":verify 山中無甲子\n", ":open 9\n", ":q\n", "never\n"]) == 0
