@@ -39,9 +39,8 @@ from quire.llm.common import cut, table
 CODED = 1 << 18
 COUNTED = 1 << 20
 SLOTS = 1 << 21
-#: Slots up to which a task counts in arrays over all of them.
+#: Slots up to which a task counts in whole numbers; beyond, in bytes.
 DENSE = 1 << 21
-HELD = 1 << 23
 SEGMENT = 1 << 13
 ORDERS = 5
 CLASSES = 512
@@ -465,35 +464,34 @@ def themes(v, texts: DataFrame, rounds: int = 20) -> np.ndarray:
     return out
 
 
-def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
-    """Table entries of all ``docs``: (segment, entries), one row a segment; the counts in between are sent compressed.
+def _packed(counts: np.ndarray) -> bytes:
+    """Compressed counts; of bytes, which are small numbers in no order, by their frequencies alone."""
+    if counts.dtype != np.uint8:
+        return zlib.compress(counts.tobytes(), 1)
+    by = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return by.compress(counts.tobytes()) + by.flush()
 
-    Up to ``dense`` slots a task counts in arrays over all of them; with more it sends on the slots that it
-    saw (``at``) whenever HELD bits have come together, so its memory does not grow with the slots.
-    """
+
+def _counting(v, whole: bool):
+    """Each task's counts of the bits of its texts: (segment, at, counts); ``gather`` says how."""
     slots = v.value.slots
     schema = ["segment", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = slots <= dense
-        counts = np.zeros((ORDERS, 2 * slots if whole else 0), np.int32)
-        held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            for k, some in enumerate(held):
-                if not some:
-                    continue
-                keys, n = np.unique(np.concatenate(some), return_counts=True)
-                some.clear()
-                part = keys // (2 * SEGMENT)
-                edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                ends = np.append(edge[1:], len(keys))
-                at, n = (keys % (2 * SEGMENT)).astype(np.uint16), n.astype(np.int32)
-                for lo in range(0, len(edge), 256):
-                    own = list(zip(edge[lo : lo + 256].tolist(), ends[lo : lo + 256].tolist(), strict=True))
-                    segment = pa.array((part[edge[lo : lo + 256]] + k * (slots // SEGMENT)).astype(np.int32))
-                    packed = [pa.array([zlib.compress(x[i:j].tobytes(), 1) for i, j in own], pa.binary()) for x in (at, n)]
-                    yield pa.RecordBatch.from_arrays([segment, *packed], schema)
+        counts = np.zeros((ORDERS, 2 * slots), np.int32 if whole else np.uint8)
+        over = words.Tally()  # by cells of all orders, in steps of 256
+
+        def beyond() -> Iterator[pa.RecordBatch]:
+            keys, n = over.take()
+            keys, n = keys.astype(np.int64), n << 8
+            part = keys // (2 * SEGMENT)
+            edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(keys) else np.zeros(0, np.int64)
+            ends = np.append(edge[1:], len(keys))
+            at, n = (keys % (2 * SEGMENT)).astype(np.uint16), n.astype(np.int32)
+            for lo in range(0, len(edge), 256):
+                own = list(zip(edge[lo : lo + 256].tolist(), ends[lo : lo + 256].tolist(), strict=True))
+                packed = [pa.array([zlib.compress(x[i:j].tobytes(), 1) for i, j in own], pa.binary()) for x in (at, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[lo : lo + 256]].astype(np.int32)), *packed], schema)
 
         for batch in batches:
             for _, _, data, offsets in words.chunks(batch.column(0), CHUNK):
@@ -503,19 +501,36 @@ def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
                     at |= c.bits
                     if whole:
                         np.add.at(counts[k], at, np.int32(1))
-                    else:
-                        held[k].append(at.astype(np.int32))
-                if sum(len(x) for x in held[0]) > HELD:
-                    yield from seen()
-        if not whole:
-            yield from seen()
-            return
+                        continue
+                    at = np.sort(at.astype(np.int32))
+                    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                    cells, n = at[first], np.diff(np.append(first, len(at)))
+                    n += counts[k][cells]
+                    counts[k][cells] = n & 255
+                    high = np.flatnonzero(n > 255)
+                    over.add((cells[high] + 2 * slots * k).astype(U), n[high] >> 8)
+                if over.full():
+                    over.add(*over.take())
         parts = counts.reshape(-1, 2 * SEGMENT)
         used = np.flatnonzero(parts.any(axis=1))
         for lo in range(0, len(used), 16):
             own = used[lo : lo + 16]
-            packed = [zlib.compress(parts[i].astype(np.int32 if parts[i].max() > 65535 else np.uint16).tobytes(), 1) for i in own]
+            packed = [_packed(parts[i] if not whole else parts[i].astype(np.int32 if parts[i].max() > 65535 else np.uint16)) for i in own]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.nulls(len(own), pa.binary()), pa.array(packed, pa.binary())], schema)
+        yield from beyond()
+
+    return run
+
+
+def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
+    """Table entries of all ``docs``: (segment, entries), one row a segment; the counts in between are sent compressed.
+
+    Up to ``dense`` slots a task counts in arrays of whole numbers.  With more it counts in a byte a slot and bit, which
+    is as much as the model itself takes, and holds what goes beyond 255 apart (``at``).  Each task then reads as many
+    words as there are slots, as far as its partitions go, so all tasks together send in proportion to the words.
+    """
+    slots = v.value.slots
+    whole = slots <= dense
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SEGMENT, np.int64)
@@ -525,11 +540,14 @@ def gather(docs: DataFrame, v, dense: int = DENSE) -> DataFrame:
                 if at.is_valid:
                     total[np.frombuffer(zlib.decompress(at.as_py()), np.uint16)] += np.frombuffer(raw, np.int32)
                 else:
-                    total += np.frombuffer(raw, np.uint16 if len(raw) == 4 * SEGMENT else np.int32)
+                    total += np.frombuffer(raw, {2: np.uint8, 4: np.uint16, 8: np.int32}[len(raw) // SEGMENT])
         pair = total.reshape(-1, 2).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([entries(pair).tobytes()], pa.binary())], ["segment", "entries"])
 
-    each = docs.select(F.col("text").cast("string")).mapInArrow(run, "segment int, at binary, counts binary")
+    texts = docs.select(F.col("text").cast("string"))
+    if not whole:
+        texts = texts.coalesce(max(1, v.value.tokens // slots))
+    each = texts.mapInArrow(_counting(v, whole), "segment int, at binary, counts binary")
     return each.groupBy("segment").applyInArrow(add, "segment int, entries binary")
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,6 +476,32 @@ def test_model_grows_with_the_training_words(spark, docs, monkeypatch):
     assert whole == seen and max(whole) >= language_model.ORDERS * language_model.SLOTS // language_model.SEGMENT
 
 
+def test_large_models_count_little_to_send(spark, docs, monkeypatch):
+    """With more slots than DENSE, tasks send less than a byte a slot and bit, however often one is met, and count right."""
+    text = docs.select(F.col("text")).limit(400)
+    often = spark.createDataFrame([("often " * 3000 + "again",)] * 3, "text string")
+    held = text.unionByName(often).repartition(6)
+    learned = held.mapInArrow(language_model._count_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    monkeypatch.setattr(language_model, "sizes", lambda tokens: (1 << 18, 1 << 16, 512, 12))
+    voc = language_model.vocabulary(learned, 1 << 10, 1 << 10)
+    sent = spark.sparkContext.broadcast(voc)
+    whole, small = ({r["segment"]: r["entries"] for r in language_model.gather(held, sent, dense).collect()} for dense in (1 << 16, 0))
+    assert whole == small
+
+    class Task:
+        select = coalesce = groupBy = applyInArrow = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    task = language_model.gather(Task(), sent, 0)
+    batch = pa.RecordBatch.from_pylist([{"text": r["text"]} for r in held.collect()])
+    out = list(task.run(iter([batch] * 12)))
+    assert any(x.column("at").null_count < x.num_rows for x in out)
+    assert sum(x.nbytes for x in out) < 2 * language_model.ORDERS * voc.slots
+
+
 def test_groups_of_bits():
     """Groups, inner nodes and bits of codes as a walk from bit to bit finds them."""
     rng = np.random.default_rng(0)
