@@ -53,9 +53,11 @@ FILTER = 1 << 20
 #: Count of a cell up to which its tokens are rare.
 RARE = 256
 #: Lines of a list that all meet.
-LEADERS = 16
+LEADERS = 64
+#: Tokens above which a line's odd sketch has two halves.
+HALVED = 16
 #: Parts of the lists that are shuffled one after the other, which bounds the disk they take at once.
-PASSES = 4
+PASSES = 3
 _BITS = (1, 2, 4, 8)
 _NONE = (1 << 63) - 1
 
@@ -76,10 +78,10 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return cut(first.select("line", "at.*").withColumn("id", F.monotonically_increasing_id()), compression="zstd")
 
 
-def _cells(codes: DataFrame, size: int) -> DataFrame:
-    """One row with ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or 1."""
+def _cells(codes: DataFrame, size: int, none: int) -> DataFrame:
+    """One row with ``size`` bytes: of each ``cell`` its ``code`` (1 to 127), or ``none``."""
     whole = codes.sparkSession.range(size).select(F.col("id").cast("int").alias("cell")).join(codes, "cell", "left")
-    each = F.struct("cell", F.char(F.coalesce("code", F.lit(1)).cast("long")).alias("c"))
+    each = F.struct("cell", F.char(F.coalesce("code", F.lit(none)).cast("long")).alias("c"))
     return whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["c"]), "").cast("binary").alias("cells"))
 
 
@@ -92,7 +94,7 @@ def _members(values: DataFrame) -> Column:
     """A filter of the one column of ``values``: FILTER cells, four a byte, whatever the input; read by a scalar subquery."""
     cell = values.toDF("v").select(F.pmod(F.xxhash64("v"), F.lit(FILTER)).cast("int").alias("c")).distinct()
     bit = F.element_at(F.array(*map(F.lit, _BITS)), F.col("c").bitwiseAND(F.lit(3)) + 1)
-    return cut(_cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4)).scalar()
+    return cut(_cells(cell.groupBy(F.shiftright("c", 2).alias("cell")).agg((F.sum(bit) + 64).cast("int").alias("code")), FILTER // 4, 64)).scalar()
 
 
 def _maybe(cells: Column, value: Column) -> Column:
@@ -105,7 +107,7 @@ def sketch(unique: DataFrame) -> Column:
     """The frequency class of each cell of the sketch, from the tokens of all distinct lines."""
     token = unique.select(F.explode(F.split("line", " ")).alias("token"))
     counted = token.groupBy(F.pmod(F.xxhash64("token"), F.lit(SKETCH)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return F.lit(bytes(_cells(counted.select("cell", _class(F.col("n")).alias("code")), SKETCH).first()["cells"]))
+    return F.lit(bytes(_cells(counted.select("cell", _class(F.col("n")).alias("code")), SKETCH, 1).first()["cells"]))
 
 
 def _class(count) -> Column:
@@ -144,11 +146,13 @@ def shortest(percent: int) -> int:
 
 
 def odd_sketch(t: Column) -> tuple[Column, Column]:
-    """Of each of 128 cells, in two numbers, whether an odd number of a line's tokens are of it: two lines'
-    sketches differ in at most as many cells as there are tokens in one of them only."""
-    one, bit = F.lit(1).cast("long"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1))
-    of = lambda marked: F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", marked(x), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return of(lambda x: one.bitwiseXOR(bit(x))), of(bit)
+    """Of each of 64 cells, or of 128 in two numbers for more than HALVED tokens, whether an odd number of a line's tokens
+    are of it: two lines' sketches differ in at most as many cells as there are tokens in one of them only.  The first
+    number is of all tokens, the second of one half of a long line's; the other half is their xor."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    of = lambda c: F.aggregate(c, zero, lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
+    half = F.when(F.size(t) > HALVED, of(F.filter(t, lambda x: x.bitwiseAND(F.lit(64)) != 0))).otherwise(zero)
+    return of(t), half
 
 
 def may_be(percent: int) -> Column:
@@ -162,7 +166,9 @@ def may_be(percent: int) -> Column:
     """
     both = F.col("nx") + F.col("ny")
     most = F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    differ = (F.bit_count(F.col("ox").bitwiseXOR(F.col("oy"))) + F.bit_count(F.col("ex").bitwiseXOR(F.col("ey")))).cast("long")
+    whole, half = F.col("ox").bitwiseXOR(F.col("oy")), F.col("ex").bitwiseXOR(F.col("ey"))
+    halved = (F.col("nx") > HALVED) & (F.col("ny") > HALVED)
+    differ = F.when(halved, F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole)).cast("long")
     place = lambda p, n: (F.col(p) - 1) * (100 + percent) <= (F.col(n) + both) * (100 + percent) - 3 * percent * both  # noqa: E731  2 a + b + 1 at most
     return (differ * (100 + percent) <= both * (100 - percent)) & (most * (100 + percent) >= both * percent) & place("px", "nx") & place("py", "ny")
 
@@ -238,17 +244,22 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
         del x, y, both
         release(spark)
     whole = reduce(DataFrame.unionByName, met)
+    long = whole.where("key is not null").select("key")
+    any_long = long.limit(1).count() > 0
+    lists = cut(posted.where(_maybe(_members(long), F.col("key"))).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PASSES)).cast("int"))) if any_long else None
+    del parts, part
+    free(posted)
     pairs = cut(whole.where("x is not null").select("x", "y").distinct())
+    free(*met)
     gone = later(pairs, unique, percent)
     free(pairs)
     release(spark)
-
-    long = whole.where("key is not null").select("key")
-    if not long.limit(1).count():
+    if not any_long:
         return gone
-    is_long, settled, rest = _members(long), _members(gone), []
-    for part in parts:
-        live = part.where(_maybe(is_long, F.col("key")))
+
+    settled, rest = _members(gone), []
+    for i in range(PASSES):
+        live = lists.where(F.col("part") == i).drop("part")
         sure = live.where(~_maybe(settled, F.col("id")))
         left = live.where(_maybe(settled, F.col("id"))).join(gone, "id", "left_anti").select(*sure.columns)
         x, y = (_named(df.withColumn("rank", F.lit(0))).select("key", *(F.col(v).alias(f"{v}{c}") for v in "inpoedv")) for c, df in (("x", sure.unionByName(left)), ("y", live)))
@@ -256,10 +267,10 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
         rest.append(cut(x.join(y, "key").where(before & anew & fits).select(F.col("ix").alias("x"), F.col("iy").alias("y")).distinct()))
         del live, sure, left, x, y
         release(spark)
-    free(posted)
+    free(lists)
     pairs = cut(reduce(DataFrame.unionByName, rest).distinct())
     found = later(pairs, unique, percent)
-    free(*met, *rest, pairs)
+    free(*rest, pairs)
     return gone.unionByName(found)
 
 

@@ -476,6 +476,22 @@ def test_model_grows_with_the_training_words(spark, docs, monkeypatch):
     assert whole == seen and max(whole) >= language_model.ORDERS * language_model.SLOTS // language_model.SEGMENT
 
 
+def test_filter_of_few_values_passes_few_others(spark):
+    cells = line_dedup._members(spark.range(10))
+    assert spark.range(10).where(line_dedup._maybe(cells, F.col("id"))).count() == 10
+    assert spark.range(1000, 11000).where(line_dedup._maybe(cells, F.col("id"))).count() < 100
+
+
+def test_long_lists_and_halved_sketches_lose_nothing(docs, monkeypatch):
+    few = docs.select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, line_dedup.dedup(few).collect()))
+    usual = rows()
+    monkeypatch.setattr(line_dedup, "LEADERS", 2)
+    for halved in (4, 40):
+        monkeypatch.setattr(line_dedup, "HALVED", halved)
+        assert rows() == usual
+
+
 def test_large_models_count_little_to_send(spark, docs, monkeypatch):
     """With more slots than DENSE, tasks send less than a byte a slot and bit, however often one is met, and count right."""
     text = docs.select(F.col("text")).limit(400)
