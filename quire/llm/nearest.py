@@ -47,15 +47,17 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 class Files:
-    """Inverted files of a block: for each pivot the vectors posted there and their places."""
+    """Inverted files of a block: for each pivot what the place of each vector posted there lacks to the end, 0 for the others.
+
+    A vector is posted under a good part of all pivots, so a file has a cell for each.
+    """
 
     def __init__(self, order: np.ndarray, pivots: int):
         n, self.size = order.shape
-        flat = order.ravel()
-        by = np.argsort(flat, kind="stable")
-        self.bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
-        self.vector, self.place = (by // self.size).astype(np.int32), (by % self.size).astype(np.int32)
-        self.count = n
+        # A sum of shared places is size * (size + 1) / 2 at most.
+        self.files = np.zeros((pivots, n), np.uint16 if self.size < 256 else np.uint32)
+        self.files[order, np.arange(n)[:, None]] = lacks = self.size - np.arange(self.size)
+        self.lacks = np.repeat(lacks.astype(self.files.dtype), n).reshape(-1, n)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Distance of a query's order to each vector's.
@@ -63,12 +65,18 @@ class Files:
         Both orders alone cost ``size * (size + 1)``; a shared pivot takes off what
         either place lacks to the end and adds the difference of the places.
         """
-        out = np.full(self.count, self.size * (self.size + 1), np.int32)
+        shared, one = np.zeros((2, self.files.shape[1]), self.files.dtype)
         for place, pivot in enumerate(order.tolist()):
-            lo, hi = self.bounds[pivot], self.bounds[pivot + 1]
-            own = self.place[lo:hi]
-            out[self.vector[lo:hi]] -= 2 * (self.size - np.maximum(own, place))
-        return out
+            shared += np.minimum(self.files[pivot], self.lacks[place], out=one)
+        return self.size * (self.size + 1) - 2 * shared.astype(np.int32)
+
+
+def top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, largest first, ties to the smaller id."""
+    if k < len(score) and np.isfinite(score).all():
+        some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        return some[np.lexsort((ids[some], -score[some]))[:k]]
+    return np.lexsort((ids, -score))[:k]
 
 
 def _ordered(pivots: dict[int, np.ndarray], prefix: int):
@@ -101,12 +109,15 @@ def _meet(pivots: dict[int, int], k: int, share: float, least: int):
             ids = mine["ids"].to_numpy()
             take = max(least, int(share * len(v)))
             files = Files(np.stack(mine["order"].to_numpy()), pivots[dims]) if dims in pivots else None
+            room = np.empty((min(take, len(v)), dims))  # reranked vectors; a new array for each query costs more than the copy
             for i, query_id in enumerate(some["query_id"].tolist()):
-                near = np.arange(len(v))
+                near, some_v = np.arange(len(v)), v
                 if files is not None and take < len(v):
                     near = np.argpartition(files.footrule(np.asarray(some["order"].iloc[i])), take - 1)[:take]
-                score = np.einsum("ij,j->i", v[near], q[i])
-                best = np.lexsort((first[near], -score))[: k + 1]
+                    near.sort()
+                    some_v = np.take(v, near, axis=0, out=room, mode="clip")
+                score = np.einsum("ij,j->i", some_v, q[i])
+                best = top(score, first[near], k + 1)
                 ids_ += [query_id] * len(best)
                 scores += score[best].tolist()
                 lists += [ids[j] for j in near[best]]
