@@ -142,19 +142,20 @@ def _bits(code: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     own = (code >> (left - size).astype(U)).astype(np.int64) & ((1 << size) - 1) | (1 << size)
     total = int(size.sum())
     own = np.repeat(own.astype(np.int8), size)
-    left = (np.repeat(np.cumsum(size), size) - np.arange(total)).astype(np.int8)
+    narrow = np.int32 if total < 1 << 31 else np.int64
+    left = np.repeat(np.cumsum(size, dtype=narrow), size)
+    left -= np.arange(total, dtype=narrow)
+    left = left.astype(np.int8)
     return groups, node, size, own >> left, own >> (left - np.int8(1)) & np.int8(1)
 
 
 def _slot(v: Vocabulary, node: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
-    return (((node + U(order * 0x51ED270B)) * U(0x9E3779B97F4A7C15) ^ context) * U(0xD6E8FEB86659FD93) >> U(65 - v.slots.bit_length())).astype(np.int64)
-
-
-def _spread(slot: np.ndarray, size: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """The slots of the bits of groups with a slot each."""
-    out = np.repeat(slot, size)
-    out ^= inner
-    return out
+    out = node + U(order * 0x51ED270B)
+    out *= U(0x9E3779B97F4A7C15)
+    out ^= context
+    out *= U(0xD6E8FEB86659FD93)
+    out >>= U(65 - v.slots.bit_length())
+    return out.view(np.int64)
 
 
 @dataclass
@@ -199,12 +200,9 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
     context2 = (theme * max(4096, v.classes + 1) + near).astype(U) * U(0x165667B19E3779F9)
     context3 = before * U(0xA0761D6478BD642F)
     context4 = (context3 ^ further) * U(0xE7037ED1A0B428DB)
-    length = v.length[tokens]
-    groups, node, size, inner, bit = _bits(v.code[tokens], length)
-    # The bits of a group share a hash and lie side by side.
-    slots = [_spread(_slot(v, node, U(0), 0), size, inner)]
-    slots += [_spread(_slot(v, node, np.repeat(context, groups), k + 1), size, inner) for k, context in enumerate((context1, context2, context3, context4))]
-    bits, spelled, of = [bit], [np.zeros(len(bit), np.int8)], [np.repeat(row, length)]
+    code, length, of = v.code[tokens], v.length[tokens], row
+    contexts = [U(0), context1, context2, context3, context4]
+    words_ = len(tokens)
     rare = np.flatnonzero(symbol < 0)
     if len(rare):
         size = end[rare] - start[rare] + 1
@@ -223,15 +221,20 @@ def encode(v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Coded:
         c3 = np.concatenate([np.zeros(1, U), sums[:-1]])
         c3 -= c3[total - size][word]
         c4 = (c3 ^ before[rare + owner[rare]][word]) * U(0xE7037ED1A0B428DB)
-        length = v.byte_length[byte]
-        groups, node, size, inner, bit = _bits(v.byte_code[byte], length)
-        node = node + U(1 << 40)
-        for k, c in enumerate((c0, c1, c2, c3, c4)):
-            slots[k] = np.concatenate([slots[k], _spread(_slot(v, node, np.repeat(c.astype(U) * U(0x9FB21C651E98DF25), groups), k), size, inner)])
-        bits.append(bit)
-        spelled.append(np.ones(len(bit), np.int8))
-        of.append(np.repeat(owner[rare][word], length))
-    return Coded(slots, np.concatenate(bits), np.concatenate(spelled), np.concatenate(of), place, hashes, rows)
+        code, length, of = (np.concatenate(both) for both in ((code, v.byte_code[byte]), (length, v.byte_length[byte]), (row, owner[rare][word])))
+        contexts[0] = np.zeros(words_, U)
+        contexts = [np.concatenate([one, c.astype(U) * U(0x9FB21C651E98DF25)]) for one, c in zip(contexts, (c0, c1, c2, c3, c4), strict=True)]
+    # Words and spelled bytes together, so that what there is for every bit is made once.
+    groups, node, size, inner, bit = _bits(code, length)
+    node[int(groups[:words_].sum()) :] += U(1 << 40)
+    inner = inner.astype(np.int64)
+    of_group, of_bit = np.repeat(np.arange(len(code)), groups), np.repeat(np.arange(len(node)), size)
+    slots = [np.take(_slot(v, node, np.take(c, of_group, mode="clip") if c.ndim else c, k), of_bit, mode="clip") for k, c in enumerate(contexts)]
+    for one in slots:
+        one ^= inner  # the bits of a group share a hash and lie side by side
+    spelled = np.zeros(len(bit), np.int8)
+    spelled[int(length[:words_].sum()) :] = 1
+    return Coded(slots, bit, spelled, np.repeat(of, length), place, hashes, rows)
 
 
 @dataclass
@@ -308,9 +311,11 @@ def _mixing_sums(v, p):
                 loss -= np.bincount(gate, weights=np.log(share), minlength=_GATES)
                 order = np.argsort(gate, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=_GATES))])
-                x, error, spread = np.take(x, order, axis=1), (miss * sign)[order], (share * miss)[order]
+                error, spread, by = (miss * sign)[order], (share * miss)[order], np.empty(x.shape)
+                for k, one in enumerate(x):  # a row at a time: along an axis numpy takes element by element
+                    by[k] = np.take(one, order, mode="clip")
                 for g in np.flatnonzero(np.diff(ends)):
-                    part = x[:, ends[g] : ends[g + 1]].astype(float)
+                    part = by[:, ends[g] : ends[g + 1]]
                     slope[g] += part @ error[ends[g] : ends[g + 1]]
                     curve[g] += part * spread[ends[g] : ends[g + 1]] @ part.T
         sums = np.concatenate([part.ravel() for part in (loss, slope, curve, all_, ones)])

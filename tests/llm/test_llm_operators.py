@@ -565,6 +565,39 @@ def test_groups_of_bits():
     assert inner.tolist() == [int("1" + t[i - i % 4 : i], 2) for t in told for i in range(len(t))]
 
 
+def test_words_and_spelled_bytes_are_encoded_together(monkeypatch):
+    """Slots and bits of known and spelled words are those of a walk from bit to bit, cut into bits in one go."""
+    m, u = language_model, 1 << 64
+    known = [b"ab", b"cd", b"efg"]
+    keys = np.array([words.hashed(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in known], np.uint64)
+    keys = np.sort(keys)
+    code, length = m.huffman(np.array([60, 17, 9, 3, 2]))
+    byte_code, byte_length = m.huffman(np.arange(1, 258))
+    voc = m.Vocabulary(keys, np.array([60, 17, 9]), np.arange(3), np.array([1, 2, 3, 0, 0]), code, length, np.array([0, 1, 2, 1] + [0] * (m.CLASSES - 3)), byte_code, byte_length, 91, 4, 2)
+    calls, bits = [], m._bits
+    monkeypatch.setattr(m, "_bits", lambda *x: calls.append(1) or bits(*x))
+    texts = [b"ab zz cd", b"", b"efg Qrst ab", b"ab cd"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    c = m.encode(voc, data, offsets)
+    assert len(calls) == 1
+    told, spelled, zero = [], [], []
+    for row, text in enumerate(texts):
+        for word in [*text.lower().split(), None]:
+            at = np.flatnonzero(keys == words.hashed(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0]) if word else []
+            symbol = 4 if word is None else int(at[0]) if len(at) else 3
+            told += [(row, 0, 0, x) for x in [format(int(code[symbol]), f"0{length[symbol]}b")]]
+            before = [0, 0]
+            for b in [*word, 256] if symbol == 3 else []:
+                spelled.append((row, 1, before[-1] * 512 + before[-2], format(int(byte_code[b]), f"0{byte_length[b]}b")))
+                before.append(b + 1)
+    for row, kind, context, x in told + spelled:
+        for i, b in enumerate(x):
+            base = int("1" + x[: i - i % 4], 2) + (kind << 40)
+            h = ((base * 0x9E3779B97F4A7C15) % u ^ context * 0x9FB21C651E98DF25 % u) * 0xD6E8FEB86659FD93 % u >> 65 - voc.slots.bit_length()
+            zero.append((row, kind, h ^ int("1" + x[i - i % 4 : i], 2), int(b)))
+    assert list(zip(c.row.tolist(), c.spelled.tolist(), c.slots[0].tolist(), c.bits.tolist(), strict=True)) == zero
+
+
 def test_probabilities_sum_to_one():
     """Over all continuations a code of bits, each with complementary costs, spends exactly the whole."""
     codes, lengths = language_model.huffman(np.array([9, 5, 3, 1, 1, 1]))
