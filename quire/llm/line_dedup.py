@@ -263,7 +263,7 @@ def removed_lines(unique: DataFrame, percent: int) -> DataFrame:
         sure = live.where(~_maybe(settled, F.col("id")))
         left = live.where(_maybe(settled, F.col("id"))).join(gone, "id", "left_anti").select(*sure.columns)
         x, y = (_named(df.withColumn("rank", F.lit(0))).select("key", *(F.col(v).alias(f"{v}{c}") for v in "inpoedv")) for c, df in (("x", sure.unionByName(left)), ("y", live)))
-        before = (F.col("dy") < F.col("dx")) | (F.col("dy") == F.col("dx")) & (F.col("iy") < F.col("ix"))
+        before = (F.col("dy") <= F.col("dx")) & (F.col("iy") != F.col("ix"))  # ids are in no order within a document
         rest.append(cut(x.join(y, "key").where(before & anew & fits).select(F.col("ix").alias("x"), F.col("iy").alias("y")).distinct()))
         del live, sure, left, x, y
         release(spark)

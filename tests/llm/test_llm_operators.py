@@ -526,6 +526,16 @@ def test_long_lists_and_halved_sketches_lose_nothing(docs, monkeypatch):
         assert rows() == usual
 
 
+def test_long_lists_within_a_document(spark, monkeypatch):
+    """Of lines of one document, the later of two goes even if the earlier one is gone already, whatever their ids."""
+    rng = np.random.default_rng(5)
+    said = [[f"w{i}" if rng.random() > 0.12 else f"n{rng.integers(0, 12)}" for i in range(24)] for _ in range(150)]
+    rows = [(1, "\n".join(map(" ".join, said)))]
+    monkeypatch.setattr(line_dedup, "LEADERS", 2)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_kept(rows)
+
+
 def test_large_models_count_little_to_send(spark, docs, monkeypatch):
     """With more slots than DENSE, tasks send less than a byte a slot and bit, however often one is met, and count right."""
     text = docs.select(F.col("text")).limit(400)
